@@ -2,14 +2,45 @@
 
 from __future__ import annotations
 
-from . import simhash
-from .common import table
+import os
+
+from . import records, sentencepieces, simhash, warc
+from .common import scratch, table
+
+#: The folder of public vocabulary files.
+TOKENIZERS = os.environ.get("LEDGERPROOF_TOKENIZERS", "/opt/tokenizers")
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+WORDS = f"{TOKENIZERS}/word_bpe_49k.json"
+
+
+def op2_token_records(spark, sf_dir):
+    return records.roundtrip(table(spark, sf_dir, "documents"), WORDS, scratch(spark, "records"), end_id=2)
+
+
+def op3_sentencepiece_agenda(spark, sf_dir):
+    return sentencepieces.encode_documents(table(spark, sf_dir, "documents"), PIECES)
 
 
 def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op4_simhash_near_dedup,)}
+def op8_warc_revisits(spark, sf_dir):
+    return warc.roundtrip(table(spark, sf_dir, "pages"), scratch(spark, "warc")).drop("target_uri")
+
+
+QUERIES = {q.__name__: q for q in (op2_token_records, op3_sentencepiece_agenda, op4_simhash_near_dedup, op8_warc_revisits)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Payloads below 100 bytes never revisit; the least page_id of equal payloads is the response.
+ORACLE_SQL = {
+    "op8_warc_revisits": """
+WITH heads AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), first AS (
+    SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS least FROM heads
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN least < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN least < page_id THEN least END AS refers_to
+FROM first""",
+}
