@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of each part hold about `most_bytes` (one text at least)."""
-    lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+    lengths = pc.binary_length(batch.column(column)).to_pylist()
     begin, size = 0, 0
     for i, n in enumerate(lengths):
         if size and size + (n or 0) > most_bytes:
