@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import records, sentencepieces, simhash, warc
+from . import decontaminate, langid, records, sentencepieces, simhash, toxicity, warc
 from .common import scratch, table
 
 #: The folder of public vocabulary files.
@@ -13,6 +13,10 @@ PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 WORDS = f"{TOKENIZERS}/word_bpe_49k.json"
 
 
+def op1_template_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_records(spark, sf_dir):
     return records.roundtrip(table(spark, sf_dir, "documents"), WORDS, scratch(spark, "records"), end_id=2)
 
@@ -25,11 +29,22 @@ def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_revisits(spark, sf_dir):
     return warc.roundtrip(table(spark, sf_dir, "pages"), scratch(spark, "warc")).drop("target_uri")
 
 
-QUERIES = {q.__name__: q for q in (op2_token_records, op3_sentencepiece_agenda, op4_simhash_near_dedup, op8_warc_revisits)}
+def op10_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (op1_template_decontamination, op2_token_records, op3_sentencepiece_agenda, op4_simhash_near_dedup, op6_language_id, op8_warc_revisits, op10_toxicity)
+}
 
 #: Payloads below 100 bytes never revisit; the least page_id of equal payloads is the response.
 ORACLE_SQL = {
