@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import decontaminate, langid, records, sentencepieces, simhash, toxicity, warc
+from . import decontaminate, langid, quotes, records, sentencepieces, simhash, toxicity, warc
 from .common import scratch, table
 
 #: The folder of public vocabulary files.
@@ -33,6 +33,10 @@ def op6_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_quotation_threads(spark, sf_dir):
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op8_warc_revisits(spark, sf_dir):
     return warc.roundtrip(table(spark, sf_dir, "pages"), scratch(spark, "warc")).drop("target_uri")
 
@@ -43,7 +47,7 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_template_decontamination, op2_token_records, op3_sentencepiece_agenda, op4_simhash_near_dedup, op6_language_id, op8_warc_revisits, op10_toxicity)
+    for q in (op1_template_decontamination, op2_token_records, op3_sentencepiece_agenda, op4_simhash_near_dedup, op6_language_id, op7_quotation_threads, op8_warc_revisits, op10_toxicity)
 }
 
 #: Payloads below 100 bytes never revisit; the least page_id of equal payloads is the response.
