@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import decontaminate, langid, quotes, records, sentencepieces, simhash, toxicity, warc
+from . import decontaminate, langid, lm, quotes, records, sentencepieces, simhash, toxicity, warc
 from .common import scratch, table
 
 #: The folder of public vocabulary files.
@@ -29,6 +29,10 @@ def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_log_bilinear_scores(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_template_decontamination, op2_token_records, op3_sentencepiece_agenda, op4_simhash_near_dedup, op6_language_id, op7_quotation_threads, op8_warc_revisits, op10_toxicity)
+    for q in (op1_template_decontamination, op2_token_records, op3_sentencepiece_agenda, op4_simhash_near_dedup, op5_log_bilinear_scores, op6_language_id, op7_quotation_threads, op8_warc_revisits, op10_toxicity)
 }
 
 #: Payloads below 100 bytes never revisit; the least page_id of equal payloads is the response.
