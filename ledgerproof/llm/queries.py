@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import decontaminate, langid, lm, quotes, records, sentencepieces, simhash, toxicity, warc
+from . import decontaminate, embeddings, langid, lm, quotes, records, sentencepieces, simhash, toxicity, warc
 from .common import scratch, table
 
 #: The folder of public vocabulary files.
@@ -45,13 +45,20 @@ def op8_warc_revisits(spark, sf_dir):
     return warc.roundtrip(table(spark, sf_dir, "pages"), scratch(spark, "warc")).drop("target_uri")
 
 
+def op9_embedding_near_dedup(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_template_decontamination, op2_token_records, op3_sentencepiece_agenda, op4_simhash_near_dedup, op5_log_bilinear_scores, op6_language_id, op7_quotation_threads, op8_warc_revisits, op10_toxicity)
+    for q in (
+        op1_template_decontamination, op2_token_records, op3_sentencepiece_agenda, op4_simhash_near_dedup, op5_log_bilinear_scores,
+        op6_language_id, op7_quotation_threads, op8_warc_revisits, op9_embedding_near_dedup, op10_toxicity,
+    )
 }
 
 #: Payloads below 100 bytes never revisit; the least page_id of equal payloads is the response.
