@@ -159,6 +159,11 @@ def sample(docs: DataFrame, most: int = MOST_ROWS) -> pd.DataFrame:
     return got.groupby("lang", sort=False).head(most)[["text", "lang"]]
 
 
+def learn(docs: DataFrame) -> Model:
+    got = sample(docs)
+    return fit(got["text"].tolist(), got["lang"].tolist())
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected for every row of `docs` (text and doc_id are read, lang only to learn).
 
@@ -166,9 +171,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     below the model's calibrated limit. Repeated rows are scored alike; without any labelled row all are und.
     """
     spark = docs.sparkSession
-    if model is None:
-        got = sample(docs)
-        model = fit(got["text"].tolist(), got["lang"].tolist())
+    model = learn(docs) if model is None else model
     sent = spark.sparkContext.broadcast(model)  # BUCKETS x languages floats
 
     def run(batches):
@@ -181,3 +184,18 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False)).alias("h"), F.col("text").alias("t"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def kept(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of `docs` that aren't rejected, with all their columns, whatever their names. Decided row by row in one scan."""
+    model = learn(docs) if model is None else model
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        own = sent.value
+        for whole in batches:
+            for batch in slices(whole, "text", 2 << 20):
+                label, score = own.predict(batch.column("text").to_pylist())
+                yield batch.filter(pa.array([s != UNKNOWN and p >= own.limit for s, p in zip(label, score.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

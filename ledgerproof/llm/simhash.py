@@ -221,3 +221,17 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, text: str =
     classes = nodes.join(links, nodes.rep == links.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex(F.col("fp")), 16, "0"))
     return prints.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def kept(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each class of near duplicates: the first text, in order, of the least doc_id. Rows without an id stay.
+
+    Ids and classes are joined on doc_id; the document's columns move once.
+    """
+    ids = near_duplicates(docs, size, radius).filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.filter("doc_id is not null")
+    same = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = named.join(ids, "doc_id", "left_semi")
+    once = first.join(same, "doc_id", "left_anti").select(*docs.columns)
+    again = first.join(same, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return once.unionByName(again).unionByName(docs.filter("doc_id is null"))

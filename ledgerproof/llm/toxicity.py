@@ -196,3 +196,17 @@ def score(docs: DataFrame, labels: DataFrame | None = None, machine: Machine | N
 
     rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False)).alias("h"), F.col("text").alias("t"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def kept(docs: DataFrame, labels: DataFrame | None = None, machine: Machine | None = None) -> DataFrame:
+    """The rows of `docs` with a score below one half, with all their columns. Decided row by row in one scan."""
+    machine = learn(docs, labels) if machine is None else machine
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches):
+        own = sent.value
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                yield batch.filter(pa.array(own.score(texts_of(batch.column("text"))) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
