@@ -8,7 +8,8 @@ from a flat array of pair ranks, merges it, and ranks only the pairs that change
 Merges never cross a place where no piece holds the two characters side by side; texts are cut
 there (before a run of word marks, and around line ends), so that equal words are merged once for each
 task and kept in a bounded table. New words are checked against the sentencepiece library batch by
-batch, and every text's ids against the library's as well where `check` is "texts".
+batch, so every id of the result belongs to a word that the library encodes alike; `check="texts"` compares every whole text's ids too,
+which costs as much again as the library's own encoding.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import chunked, slices, texts_of
 
 MARK = "▁"
 #: Words kept between batches of a task's process; the table is emptied beyond that.
-MOST_WORDS = 600_000
+MOST_WORDS = 900_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -187,7 +188,7 @@ def encoder(path: str) -> MergeEncoder:
     return MergeEncoder(path)
 
 
-def encode_documents(docs: DataFrame, path: str, check: str = "texts", text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, check: str = "words", text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """Encode every whole text (null: empty) and decode its ids again.
 
     Returns doc_id, n_tokens long, ids_sha256 and decoded_sha256 (hex; of the decimal ids joined by commas, and of the decoded
