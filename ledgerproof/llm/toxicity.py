@@ -12,7 +12,6 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -143,7 +142,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray | None =
     return m
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> pd.DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(terms, toxic, weight) of labelled rows outside the held-out fold, at most `most` of each class.
 
     A hash of the id picks rows below a threshold, so nothing is sorted; conflicting labels of one id count as toxic. The ids, at most
@@ -165,17 +164,18 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> pd.Data
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("place"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "place", "terms"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.col("place").cast("long").alias("place"), "text")
-    got = rows.mapInArrow(run, "doc_id long, toxic int, place long, terms array<int>").toPandas().sort_values(["place", "doc_id"], kind="stable")
-    got = got.groupby("toxic", sort=False).head(most)
-    taken = got["toxic"].value_counts()
-    got["weight"] = got["toxic"].map(lambda t: counts[t] / taken[t])
-    got["weight"] *= len(got) / max(got["weight"].sum(), 1e-9)
-    return got
+    got = rows.mapInArrow(run, "doc_id long, toxic int, place long, terms array<int>").toArrow().combine_chunks()
+    order = np.lexsort((got.column("doc_id").to_numpy(), got.column("place").to_numpy()))
+    label, terms_of = got.column("toxic").to_numpy(), got.column("terms").combine_chunks()
+    order = np.concatenate([order[label[order] == c][:most] for c in (0, 1)])
+    bounds, flat = terms_of.offsets.to_numpy(), terms_of.values.to_numpy()  # arrays, not lists of objects
+    taken = {c: max(1, int((label[order] == c).sum())) for c in (0, 1)}
+    weight = np.array([counts.get(int(c), 0) / taken[int(c)] for c in label[order]], np.float64)
+    return [flat[bounds[i]: bounds[i + 1]] for i in order], label[order], weight * len(order) / max(weight.sum(), 1e-9)
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Machine:
-    got = sample(docs, labels)
-    return fit([np.asarray(x, np.int64) for x in got["terms"]], got["toxic"].to_numpy(), got["weight"].to_numpy())
+    return fit(*sample(docs, labels))
 
 
 def score(docs: DataFrame, labels: DataFrame | None = None, machine: Machine | None = None) -> DataFrame:
