@@ -76,7 +76,7 @@ def irr(flows: Sequence[Decimal]) -> Decimal:
         root = low if value(low) == 0 else high if value(high) == 0 else (low + high) / 2
         for places in range(13):
             short = root.quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_UP, context=c)
-            if value(short) == 0:
+            if short > -1 and value(short) == 0:
                 root = short
                 break
     return CONTEXT.plus(root)

@@ -76,7 +76,7 @@ def source(e: Expr, least: int = 0) -> str:
             return f"{e.name}({', '.join(source(a) for a in e.args)})"
         case Unary():
             level = 2 if e.op == "not" else 5
-            text = ("not " if e.op == "not" else "-") + source(e.arg, level)
+            text = ("not " if e.op == "not" else "-") + source(e.arg, level + 1)
         case Binary():
             level = LEVEL[e.op]
             right = e.op == "^"

@@ -6,7 +6,7 @@ import re
 
 UnitMap = dict[str, int]
 SUPERSCRIPT = {c: str(i) for i, c in enumerate("⁰¹²³⁴⁵⁶⁷⁸⁹")} | {"⁻": "-"}
-ATOM = re.compile(r"[^\W\d_]+")
+ATOM = re.compile(f"(?:(?![{''.join(SUPERSCRIPT)}])[^\\W\\d_])+")
 
 
 class UnitError(ValueError):
