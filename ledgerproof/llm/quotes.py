@@ -112,7 +112,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     replies = named.select("mid", "conv_id", "parent_turn").join(above, ["conv_id", "parent_turn"], "left").select(
         "mid", F.coalesce("thread_turn", "parent_turn").alias("thread_turn"), (F.coalesce("above", F.lit(0)) + 1).alias("depth")
     )
-    found = linked.join(replies, "mid", "left")
+    found = materialize(linked.join(replies, "mid", "left"), "found")  # of known size: where few messages quote, the texts stay where they are
     body = F.trim(F.regexp_replace(F.regexp_replace("text", r"(?m)^[ \t]*>[^\n]*\n?", ""), r"\n{3,}", "\n\n"))
     body = F.when(F.col("text").rlike(QUOTING), body).otherwise(F.col("text"))
     out = rows.withColumn("body", body).drop("text").join(found, "mid", "left")
