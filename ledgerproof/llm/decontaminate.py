@@ -132,7 +132,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     windows is the item's number of windows, matched how many of them the document holds on consistent alignments, longest the tokens of
     the best alignment, reparametrized whether some slot's value differs. Rows of one doc_id count as one document, equal
-    items each have their rows; null texts match nothing. Empty tables give an empty result.
+    items each have their rows; null texts match nothing, and documents without an id have no row. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     items = template_windows(benchmark, "item_id", "text", None).withColumnRenamed("key", "item_id").distinct().persist()

@@ -26,7 +26,7 @@ SIZES, BUCKETS, WIDTH = (2, 3, 4, 5), 1 << 16, 16
 #: Rows a language may give to the training sample, and characters of a window of a sampled text; windows cover
 #: long texts at a fixed stride. Fitting alone is bounded: predictions read whole texts.
 MOST_ROWS, WINDOW, WINDOWS = 800, 1200, 3
-EPOCHS, RATE, BATCH = 3, 20.0, 64
+EPOCHS, LEAST_STEPS, RATE, BATCH = 3, 600, 20.0, 64
 #: Share of right held-back predictions that calibration may reject, and the highest limit it may choose.
 REJECTED, HIGHEST_LIMIT = 0.001, 0.42
 UNKNOWN = "und"
@@ -100,9 +100,10 @@ def fit(texts: list[str], labels: list[str], seed: int = 1) -> Model:
     train = np.flatnonzero(~back) if (~back).any() else np.arange(len(y))
     found = [np.unique(grams(t), return_counts=True) for t in x]
     weight = len(train) / (len(names) * np.maximum(1, np.bincount(y[train], minlength=len(names))))
-    steps, step = max(1, EPOCHS * -(-len(train) // BATCH)), 0
+    epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(train) // BATCH)))  # small samples are gone over more often
+    steps, step = epochs * -(-len(train) // BATCH), 0
     seen = np.zeros(BUCKETS, bool)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = rng.permutation(train)
         for at in range(0, len(order), BATCH):
             part = order[at: at + BATCH]
@@ -126,12 +127,12 @@ def fit(texts: list[str], labels: list[str], seed: int = 1) -> Model:
     check = np.flatnonzero(back) if back.any() else train
     if len(check):
         logits = model.logits([x[i] for i in check])
-        losses = {t: -np.log(softmax(logits / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in np.geomspace(0.05, 5, 40)}
+        losses = {t: -np.log(softmax(logits / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in np.geomspace(0.5, 5, 30)}
         model.temperature = float(min(losses, key=losses.get))
         p = softmax(logits / model.temperature)
         right = p.max(axis=1)[p.argmax(axis=1) == y[check]]
-        floor = 1 / len(names) + 0.02  # a text of unknown n-grams scores all labels alike
-        model.limit = float(np.clip(np.quantile(right, REJECTED) if len(right) else 0, floor, HIGHEST_LIMIT)) if len(names) > 1 else 0.0
+        floor = 1 / len(names) + 0.1  # a text of unknown n-grams scores all labels alike
+        model.limit = float(np.clip(np.quantile(right, REJECTED) if len(right) else 0, floor, max(floor, HIGHEST_LIMIT))) if len(names) > 1 else 0.0
     return model
 
 
