@@ -88,6 +88,17 @@ def keep_columns(like: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return like.join(ids.select(key).distinct(), key, "left_semi").select(*like.columns)
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make):
+    """What a task's process keeps for later tasks of the same operator; another operator's is let go first."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def chunked(items: Iterable, size: int) -> Iterator[list]:
     out: list = []
     for x in items:

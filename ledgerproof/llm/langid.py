@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def run(batches):
         own = sent.value
         for whole in batches:
-            for batch in slices(whole, "t", 2 << 20):
+            for batch in slices(whole, "t", 1 << 19):
                 label, score = own.predict(batch.column("t").to_pylist())
                 rejected = [s == UNKNOWN or p < own.limit for s, p in zip(label, score.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
@@ -195,7 +195,7 @@ def kept(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def run(batches):
         own = sent.value
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 19):
                 label, score = own.predict(batch.column("text").to_pylist())
                 yield batch.filter(pa.array([s != UNKNOWN and p >= own.limit for s, p in zip(label, score.tolist(), strict=True)], pa.bool_()))
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_texts, file_system, slices
+from .common import binary_texts, file_system, held, slices
 
 #: Words whose ids a task's process keeps between batches; the table is emptied beyond that.
 MOST_WORDS = 1_000_000
@@ -148,9 +148,8 @@ class WordEncoder:
         return [b"".join(map(get, words)) for words in cut]
 
 
-@lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return held(("words", path), lambda: WordEncoder(path))
 
 
 INDEX = "part int, file string, seq long, doc_id long, offset long, length long, n_tokens long"

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -24,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, slices, texts_of
+from .common import chunked, held, slices, texts_of
 
 MARK = "▁"
 #: Words kept between batches of a task's process; the table is emptied beyond that.
-MOST_WORDS = 900_000
+MOST_WORDS = 500_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -153,7 +152,7 @@ class MergeEncoder:
             self.words.clear()
             self.spellings.clear()
         new = list(set().union(*texts) - self.words.keys())
-        for part in chunked(new, 200_000):
+        for part in chunked(new, 50_000):
             ids = self.merge(part)
             self._check_words(part, ids)
             self.words.update(zip(part, map(tuple, ids), strict=True))
@@ -183,9 +182,8 @@ class MergeEncoder:
         return text[1:] if text.startswith(" ") else text
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> MergeEncoder:
-    return MergeEncoder(path)
+    return held(("pieces", path), lambda: MergeEncoder(path))
 
 
 def encode_documents(docs: DataFrame, path: str, check: str = "words", text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -203,7 +201,7 @@ def encode_documents(docs: DataFrame, path: str, check: str = "words", text: str
     def run(batches):
         own = encoder(path)
         for whole in batches:
-            for batch in slices(whole, "t", 4 << 20):
+            for batch in slices(whole, "t", 2 << 20):
                 texts = texts_of(batch.column("t"))
                 coded = own.encode(texts)
                 ids = [x for x, _ in coded]

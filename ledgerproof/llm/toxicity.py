@@ -9,7 +9,7 @@ have no weight, so long clean texts don't add up noise. Fitting is numpy on the
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, slices, texts_of
+from .common import crc_fold, held, slices, texts_of
 from .hashing import mix
 
 #: Hash buckets, and prefix lengths in letters.
@@ -26,7 +26,7 @@ BUCKETS, PREFIXES = 1 << 22, (3, 4, 5, 6)
 MOST_ROWS, MOST_TERMS, LEAST_Z, LEAST_ROWS, LEAST_SHARE = 4000, 8192, 5.0, 4, 0.02
 FACTORS, EPOCHS, RATE, BATCH, L1, L2 = 8, 30, 0.1, 256, 1e-3, 1e-4
 #: Words whose weighed terms a task keeps between batches.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 500_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -59,7 +59,6 @@ class Machine:
     bias: float
     linear: np.ndarray
     factors: np.ndarray
-    words: dict = field(default_factory=dict, repr=False)
 
     def raw(self, rows: list[np.ndarray]) -> np.ndarray:
         """Bias + linear + pairwise terms, for rows of positions in `chosen`."""
@@ -74,20 +73,21 @@ class Machine:
 
     def positions(self, texts: list[str]) -> list[np.ndarray]:
         """Weighed terms of each whole text."""
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
+        known = held(("terms", self.bias, len(self.chosen), float(self.linear.sum())), dict)
+        if len(known) > MOST_WORDS:
+            known.clear()
         sets = [set(WORD.findall(t.lower())) for t in texts]
-        new = list(set().union(*sets) - self.words.keys())
+        new = list(set().union(*sets) - known.keys())
         if new:
             found = terms(new)
             at = np.minimum(np.searchsorted(self.chosen, found), max(0, len(self.chosen) - 1))
             hit = (self.chosen[at] == found) & (found >= 0) if len(self.chosen) else np.zeros(found.shape, bool)
-            self.words.update(dict.fromkeys(new))
+            known.update(dict.fromkeys(new))
             for i in np.flatnonzero(hit.any(axis=1)).tolist():
-                self.words[new[i]] = at[i][hit[i]]
+                known[new[i]] = at[i][hit[i]]
         out = []
         for s in sets:
-            got = [p for w in s if (p := self.words[w]) is not None]
+            got = [p for w in s if (p := known[w]) is not None]
             out.append(np.unique(np.concatenate(got)) if got else np.empty(0, np.int64))
         return out
 
