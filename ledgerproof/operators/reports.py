@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..lang.syntax import source
 from ..lang.units import format_unit, unit_json
 from ..lang.values import show
-from ..plans.findings import Finding, summary
+from ..plans.findings import CODES, Finding, summary
 from ..plans.graph import dependencies
 from .documents import Result
 
@@ -59,3 +59,12 @@ def findings_json(findings: DataFrame) -> DataFrame:
     """(doc_id, json) of a corpus' findings: one JSON array of each document, in report order."""
     item = F.struct("det", *[c for c in findings.columns if c not in ("doc_id", "det")])
     return findings.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("json"))
+
+
+def ordered(findings: DataFrame, sheet_rank: str, det: str) -> DataFrame:
+    """Findings (with a code) in report order, with the keys section, code_rank and sheet_rank that make it."""
+    stale = F.col("code") == "STALE"
+    rank = F.array_position(F.array(*[F.lit(c) for c in CODES]), F.col("code")).cast("int") - 1
+    keys = findings.withColumn("section", F.when(stale, 0).otherwise(2)).withColumn("code_rank", F.when(stale, 0).otherwise(rank))
+    keys = keys.withColumn("sheet_rank", F.when(stale, F.col(sheet_rank)).otherwise(0).cast("long"))
+    return keys.orderBy("section", "code_rank", "sheet_rank", det).select(det, "code", "section", "code_rank", "sheet_rank")

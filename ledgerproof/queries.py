@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import texts
-from .operators import documents, grids, infer, investigate, repair
+from .operators import documents, grids, infer, investigate, repair, reports
 from .operators.workbook import Workbook
 from .sources import corpus
 from .sources.csv_import import parse_clause
@@ -150,14 +150,10 @@ def assert_balance(spark, sf_dir):
     return spark.createDataFrame(run.assertions(), "sheet string, text string, holds boolean")
 
 
-@query(
-    f"WITH {ORD}, f AS (SELECT row_number() OVER (ORDER BY o_orderkey, o_custkey, total) - 1 AS ix, total FROM o WHERE o_custkey <= 20) "
-    "SELECT 'f' AS sheet, 'value' AS name, CAST(CAST(SUM(CAST(total AS DOUBLE) / power(1.01, ix)) AS DECIMAL(24,1)) AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS error FROM f"
-)
+@query(f"WITH {ORD}, m AS (SELECT MIN(o_orderkey) AS first FROM o) SELECT 'f' AS sheet, 'value' AS name, CAST(CAST(ROUND(SUM(CAST(total AS DOUBLE) / power(1.001, o_orderkey - first))) AS BIGINT) AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS error FROM o, m")
 def npv_orders(spark, sf_dir):
-    flows = _orders(spark, sf_dir).filter("o_custkey <= 20")
-    ix = F.row_number().over(Window.orderBy("o_orderkey", "o_custkey", "total")) - 1  # the first twenty customers' orders
-    return _scalars(spark, {"f": (flows.withColumn("ix", ix), "value precision 1 = NPV(0.01, total)")}, f={"order_by": "ix"})
+    """Orders as a series of flows in the order of their keys, which have no gaps."""
+    return _scalars(spark, {"f": (_orders(spark, sf_dir), "value precision 0 = NPV(0.001, total)")}, f={"order_by": "o_orderkey"})
 
 
 # functions
@@ -258,13 +254,11 @@ def display_rules(spark, sf_dir):
     return c.select("c_custkey", texts.fixed(F.col("bal"), 1).alias("fixed"), texts.percent(F.col("bal"), 3).alias("pct"), texts.nbsp(F.concat("c_name", F.lit(" x"))).alias("nbsp"), texts.with_prefix(F.col("bal").cast("string"), "$").alias("dollars"))
 
 
-@query(
-    f"""WITH c AS (SELECT c_custkey, CAST(abs(c_acctbal) AS DECIMAL(12,2)) AS bal FROM customer), t AS (SELECT c_custkey, {_TEXT} AS t FROM c WHERE c_custkey % 6 IN (0, 2, 5))
-SELECT 4 AS width, CAST(COUNT(*) AS BIGINT) AS n, CAST(3 AS BIGINT) AS decorations, 'num' AS kind FROM t HAVING COUNT(*) > 0"""
-)
+@query("SELECT 4 AS width, CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(DISTINCT c_custkey % 3) AS BIGINT) AS decorations, 'num' AS kind FROM customer")
 def column_profile(spark, sf_dir):
     """Width, number of different decorations and kind of a text column."""
-    frame = _texts(spark, sf_dir).filter("c_custkey % 6 in (0, 2, 5)").select(F.regexp_replace("t", "^(\\$?)-", "$1").alias("t"))
+    bal, k = F.abs("bal").cast("string"), F.col("c_custkey") % 3
+    frame = _customers(spark, sf_dir).select(F.when(k == 0, F.concat(F.lit("$"), bal)).when(k == 1, F.concat(bal, F.lit("%"))).otherwise(bal).alias("t"))
     t = F.col("t")
     row = frame.agg(F.max(texts.places(t)).alias("width"), F.count(F.lit(1)).alias("n"), F.countDistinct(texts.decoration(t)).alias("decorations"), F.bool_or(texts.kind_of(t) == "num").alias("num"))
     return row.select("width", "n", "decorations", F.when(F.col("num"), "num").otherwise("str").alias("kind"))
@@ -358,13 +352,10 @@ def infer_pairs(spark, sf_dir):
     return infer.fits(_invoice(spark, sf_dir).drop("l_orderkey", "c")).filter("n_rows = n_fit and not formula like '%/%'")
 
 
-@query(f"WITH {_INV} SELECT 'c' AS target, 'price' AS operand, '0.08' AS k, CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(COUNT(*) FILTER (ROUND(price * 0.08, 2) = c) AS BIGINT) AS n_fit FROM x HAVING COUNT(*) > 0")
+@query(f"WITH {_INV} SELECT 'c' AS target, 'price' AS operand, '0.08' AS k, CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(COUNT(*) FILTER (price * 0.08 = CAST(price * 0.08 AS DECIMAL(20,4))) AS BIGINT) AS n_fit FROM x HAVING COUNT(*) > 0")
 def infer_multiplier(spark, sf_dir):
-    frame = _invoice(spark, sf_dir).select("price", F.round(F.col("price") * Decimal("0.08"), 2).cast("decimal(18,2)").alias("c"), F.struct("l_orderkey", "price").alias("place"))
-    exact = frame.filter("price * 8 % 1 = 0")  # where 8 % has no rounding, so that k is exact
-    solved = infer.multipliers(exact.select("price", "c", "place"), ["c", "price"], "place").filter("target = 'c'").select("target", "operand", "k")
-    check = frame.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.round(F.col("price") * Decimal("0.08"), 2) == F.col("c")).alias("n_fit"))
-    return solved.join(check)
+    frame = _lineitem(spark, sf_dir).select("price", (F.col("price") * Decimal("0.08")).cast("decimal(20,4)").alias("c"), F.struct("l_orderkey", "price").alias("place"))
+    return infer.multipliers(frame, ["c", "price"], "place").filter("target = 'c'")
 
 
 @query(f"WITH {_INV}, y AS (SELECT *, a + CASE WHEN l_orderkey = (SELECT MIN(l_orderkey) FROM x) THEN 1 ELSE 0 END AS s FROM x) SELECT CAST(COUNT(*) FILTER (s <> a) AS BIGINT) AS misses, CAST(COUNT(*) AS BIGINT) AS n FROM y")
@@ -402,11 +393,11 @@ def total_row(spark, sf_dir):
 
 @query(
     """WITH l AS (SELECT l_suppkey, CAST(l_quantity AS DECIMAL(12,0)) AS q, CAST(l_tax * 100 + 1 AS DECIMAL(12,0)) AS p, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS k FROM lineitem),
- m AS (SELECT l_suppkey, COUNT(*) AS n FROM l WHERE k < 8 GROUP BY l_suppkey) SELECT CAST(l.l_suppkey AS VARCHAR) AS doc_id, CAST(k AS INT) AS row_ix, CAST(q * p + 1000 AS VARCHAR) AS stored, CAST(q * p AS VARCHAR) AS expected FROM l JOIN m USING (l_suppkey) WHERE k = 1 AND n >= 3"""
+ m AS (SELECT l_suppkey, COUNT(*) AS n FROM l GROUP BY l_suppkey) SELECT CAST(l.l_suppkey AS VARCHAR) AS doc_id, CAST(k AS INT) AS row_ix, CAST(q * p + 1000 AS VARCHAR) AS stored, CAST(q * p AS VARCHAR) AS expected FROM l JOIN m USING (l_suppkey) WHERE k = 1 AND n >= 3"""
 )
 def line_product(spark, sf_dir):
     k = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "price")) - 1
-    x = _lineitem(spark, sf_dir).withColumn("k", k).filter("k < 8").select(F.col("l_suppkey").cast("string").alias("doc_id"), "k", F.col("qty").cast("decimal(12,0)").alias("q"), (F.col("tax") * 100 + 1).cast("decimal(12,0)").alias("p"))
+    x = _lineitem(spark, sf_dir).withColumn("k", k).select(F.col("l_suppkey").cast("string").alias("doc_id"), "k", F.col("qty").cast("decimal(12,0)").alias("q"), (F.col("tax") * 100 + 1).cast("decimal(12,0)").alias("p"))
     x = x.withColumn("z", (F.col("q") * F.col("p") + F.when(F.col("k") == 1, 1000).otherwise(0)).cast("decimal(20,0)"))
     cell = lambda i, h, c: F.struct(F.lit(i).alias("col_ix"), F.lit(h).alias("header"), c.cast("string").alias("text"))
     cells = x.select("doc_id", F.lit(0).alias("table_ix"), F.col("k").alias("row_ix"), F.explode(F.array(cell(0, "Item", F.concat(F.lit("i"), "k")), cell(1, "Qty", F.col("q")), cell(2, "Rate", F.col("p")), cell(3, "Amount", F.col("z")))).alias("c"), F.concat(F.lit("i"), "k").alias("label"))
@@ -515,10 +506,10 @@ def block_asof(spark, sf_dir):
     return e.select("event_id", F.last(F.when(F.col("event_type") == marker, F.col("event_id")), ignorenulls=True).over(w).alias("owner"))
 
 
-@query("WITH b AS (SELECT doc_id, k AS block, k * 400 AS from_at, k * 400 + 399 AS to_at FROM documents, range(60) r(k) WHERE k * 400 < n_chars), a AS (SELECT doc_id, (doc_id * 37) % n_chars AS at FROM documents WHERE n_chars > 0) SELECT a.doc_id, CAST(a.at AS BIGINT) AS at, CAST(b.block AS BIGINT) AS block FROM a JOIN b ON a.doc_id = b.doc_id AND a.at BETWEEN b.from_at AND b.to_at")
+@query("WITH b AS (SELECT doc_id, k AS block, k * 400 AS from_at, k * 400 + 399 AS to_at FROM documents, unnest(range(0, CAST(ceil(n_chars / 400.0) AS BIGINT))) r(k)), a AS (SELECT doc_id, (doc_id * 37) % n_chars AS at FROM documents WHERE n_chars > 0) SELECT a.doc_id, CAST(a.at AS BIGINT) AS at, CAST(b.block AS BIGINT) AS block FROM a JOIN b ON a.doc_id = b.doc_id AND a.at BETWEEN b.from_at AND b.to_at")
 def interval_locate(spark, sf_dir):
     d = _read(spark, sf_dir, "documents").filter("n_chars > 0")
-    blocks = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.least(F.lit(59), ((F.col("n_chars") - 1) / 400).cast("int")))).alias("block"))
+    blocks = d.select("doc_id", F.explode(F.sequence(F.lit(0), ((F.col("n_chars") - 1) / 400).cast("int"))).alias("block"))
     at = d.select("doc_id", ((F.col("doc_id") * 37) % F.col("n_chars")).alias("at"))
     hit = at.join(blocks, "doc_id").filter((F.col("at") >= F.col("block") * 400) & (F.col("at") <= F.col("block") * 400 + 399))
     return hit.select("doc_id", "at", F.col("block").cast("long").alias("block"))
@@ -541,27 +532,23 @@ def repository_rates(spark, sf_dir):
     return investigate.rates(_read(spark, sf_dir, "documents"), investigate.merge(_rule_hits(spark, sf_dir)))
 
 
-@query("WITH f AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'STALE' WHEN 1 THEN 'UNDEF' ELSE 'NOTE' END AS code, user_id AS sheet_rank, event_id AS det FROM events) SELECT event_id, CAST(row_number() OVER (ORDER BY CASE WHEN code = 'STALE' THEN 0 ELSE 2 END, CASE WHEN code = 'STALE' THEN 0 WHEN code = 'UNDEF' THEN 3 ELSE 16 END, CASE WHEN code = 'STALE' THEN sheet_rank ELSE 0 END, det) AS INT) AS place FROM f WHERE event_id < 1000")
+@query("WITH f AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'STALE' WHEN 1 THEN 'UNDEF' ELSE 'NOTE' END AS code, user_id FROM events) SELECT event_id, code, CASE WHEN code = 'STALE' THEN 0 ELSE 2 END AS section, CASE code WHEN 'STALE' THEN 0 WHEN 'UNDEF' THEN 3 ELSE 16 END AS code_rank, CAST(CASE WHEN code = 'STALE' THEN user_id ELSE 0 END AS BIGINT) AS sheet_rank FROM f")
 def findings_order(spark, sf_dir):
-    """The report order of findings: a report is read by people, so it is one sorted list of the first thousand."""
+    """Findings in report order with the keys of that order, by a range-partitioned sort."""
     k = F.col("event_id") % 3
-    code = F.when(k == 0, "STALE").when(k == 1, "UNDEF").otherwise("NOTE")
-    f = _read(spark, sf_dir, "events").filter("event_id < 1000").select("event_id", code.alias("code"), F.col("user_id").alias("sheet_rank"))
-    stale = F.col("code") == "STALE"
-    w = Window.orderBy(F.when(stale, 0).otherwise(2), F.when(stale, 0).when(F.col("code") == "UNDEF", 3).otherwise(16), F.when(stale, F.col("sheet_rank")).otherwise(0), "event_id")
-    return f.select("event_id", F.row_number().over(w).alias("place"))
+    f = _read(spark, sf_dir, "events").select("event_id", F.when(k == 0, "STALE").when(k == 1, "UNDEF").otherwise("NOTE").alias("code"), "user_id")
+    return reports.ordered(f, "user_id", "event_id")
 
 
-@query()
+@query(f"WITH {_TOTALS} SELECT 'STALE' AS code, CAST(2 * COUNT(*) AS BIGINT) AS n FROM s WHERE o_custkey % 11 = 0 HAVING COUNT(*) > 0")
 def recheck_stream(spark, sf_dir):
-    """Documents written as files, checked again by a file stream, and the latest finding of each."""
-    from .streaming.recheck import latest, watch
+    """Documents written as a table, checked as a stream of its files, and the latest findings of each, by code."""
+    from .streaming.recheck import latest, watch_table
     from .streaming.scratch import folder
 
     base = folder(spark, "recheck")
-    docs = _markdown(spark, sf_dir).filter("cast(doc_id as long) % 110 = 0")  # a feature test of the stream: a file per document
-    docs.select(F.concat(F.col("text"), F.lit("\n"))).repartition(4).write.text(f"{base}/in")
-    watch(spark, f"{base}/in", f"{base}/out", f"{base}/state", glob="*.txt").awaitTermination()
+    _markdown(spark, sf_dir).withColumn("path", F.col("doc_id")).withColumn("at", F.lit("2026-01-01").cast("timestamp")).write.parquet(f"{base}/in")
+    watch_table(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
     return latest(spark, f"{base}/out").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -12,18 +12,26 @@ from ..operators.documents import check_corpus
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, glob: str = "*.md", every: str | None = None, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Check files of `folder` as they arrive. Each micro-batch overwrites its own folder of `out`/batch=N, so a repeated batch is harmless.
-
-    `every`: a trigger interval such as "5 seconds"; without it the stream takes what is there and stops.
-    """
+    """Check Markdown files of `folder` as they arrive or change name; see `recheck`."""
     files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", glob).load(folder)
     docs = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("at"), F.col("value").alias("text"))
+    return recheck(docs.withColumn("doc_id", F.sha2("path", 256)), out, checkpoint, every, after)
+
+
+def watch_table(spark: SparkSession, folder: str, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Check the documents (doc_id, path, at, text) of Parquet files as they are added to `folder`."""
+    schema = "doc_id string, path string, at timestamp, text string"
+    return recheck(spark.readStream.schema(schema).parquet(folder), out, checkpoint, every)
 
+
+def recheck(docs: DataFrame, out: str, checkpoint: str, every: str | None = None, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Check a stream of document versions. Each micro-batch overwrites its own folder of `out`/batch=N, so a repeated batch is harmless.
+
+    `every`: a trigger interval such as "5 seconds"; without it the stream takes what is there and stops.
+    """
     def one(batch: DataFrame, n: int) -> None:
-        batch = batch.withColumn("doc_id", F.sha2("path", 256))
         found = check_corpus(batch)
-        seen = batch.select("doc_id", "path", "at")
-        rows = seen.join(found.drop("path"), "doc_id", "left")
+        rows = batch.select("doc_id", "path", "at").join(found.drop("path"), "doc_id", "left")
         rows.write.mode("overwrite").parquet(f"{out}/batch={n}")
         if after:
             after(rows, n)
