@@ -171,7 +171,7 @@ def fn_exact(spark, sf_dir):
     return out.select("c_custkey", F.col("r1").cast("decimal(20,1)").alias("r1"), *[F.col(x).cast("decimal(20,2)").alias(x) for x in ("a", "m", "f", "c", "i")])
 
 
-@query("SELECT p_partkey, CAST(ROUND(sqrt(CAST(p_retailprice AS DOUBLE)), 4) AS DECIMAL(20,4)) AS root, CAST(ROUND(CAST(p_retailprice AS DOUBLE) / p_size, 3) AS DECIMAL(20,3)) AS per FROM part WHERE p_size > 0")
+@query("SELECT p_partkey, CAST(ROUND(sqrt(CAST(p_retailprice AS DOUBLE)), 4) AS DECIMAL(20,4)) AS root, CAST(((20 * CAST(ROUND(p_retailprice * 100) AS BIGINT) + p_size) // (2 * p_size)) * 0.001 AS DECIMAL(20,3)) AS per FROM part WHERE p_size > 0")
 def fn_wide(spark, sf_dir):
     frame = _parts(spark, sf_dir).filter("size > 0")
     out = Workbook(spark).sheet("t", frame, "root precision 4 = SQRT(retail)\nper precision 3 = retail / size").run().table("t")
