@@ -85,8 +85,11 @@ def main(args: list[str]) -> int:
     if verb == "charts":
         result = documents.check(text, read)
         drawn, faults = charts.draw_all(result)
+        placed, _ = charts.paths(result)
         for (sheet, name), svg in drawn.items():
-            target = path.parent / f"{path.stem}-{sheet}-{name}.svg"
+            where = placed.get((sheet, name))
+            target = path.parent / (gate(where, ".svg") if where else f"{path.stem}-{sheet}-{name}.svg")
+            target.parent.mkdir(parents=True, exist_ok=True)
             old = target.read_text(encoding="utf-8") if target.exists() else None
             state = charts.state(old, svg)
             if state in ("missing", "stale"):

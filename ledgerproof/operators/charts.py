@@ -171,6 +171,23 @@ def draw_all(result) -> tuple[dict[tuple[str, str], str], list[Finding]]:
     return out, found
 
 
+def paths(result) -> tuple[dict[tuple[str, str], str], list[Finding]]:
+    """The file of each chart, from the image line that its anchor follows; a chart without one, and two charts on one path, are ARTIFACT findings."""
+    named = {(a.sheet, a.name): a for a in result.model.doc.anchors if a.kind == "image"}
+    out, found, taken = {}, [], {}
+    for sheet in result.model.sheets.values():
+        for c in sheet.charts:
+            a = named.get((sheet.id, c.name))
+            if a is None:
+                found.append(Finding("ARTIFACT", sheet.id, c.name, "no image line shows the chart", start=c.at))
+            elif a.text in taken:
+                found.append(Finding("ARTIFACT", sheet.id, c.name, f"{a.text} shows {taken[a.text]} already", start=a.start, end=a.end))
+            else:
+                taken[a.text] = f"{sheet.id}.{c.name}"
+                out[sheet.id, c.name] = a.text
+    return out, found
+
+
 def state(existing: str | None, drawn: str) -> str:
     """current, stale, missing or foreign, of the file that a chart is written to."""
     return "missing" if existing is None else "current" if existing == drawn else "stale" if OWNED in existing else "foreign"

@@ -164,3 +164,15 @@ def test_corpus(spark):
     bad = edits.selectExpr("doc_id", "start", "end", "'nonsense' as old", "text")
     assert {r.doc_id: r.refused for r in splice(docs, bad).collect()}["b"] > 0
     assert findings_json(found).count() == 2
+
+
+def test_report_names_chart_paths_and_units():
+    doc = "| M | A [kg] |\n|--|--|\n| x | 1 |\n\n```vmark #s\nall = SUM(A)\nchart c as bar of A labelled M\nchart d as line of A labelled M\nreport best scalar s.al direction max\n```\n![x](a.svg)<!--vmark=s.c-->\n\n![y](a.svg)<!--vmark=s.d-->\n\n**1**<!--vmark=s.all-->\n"
+    r = check(doc)
+    assert [(f.code, f.suggestion) for f in r.findings] == [("UNDEF", "s.all")]
+    from ledgerproof.operators.charts import paths
+    from ledgerproof.operators.infer import unit_proposals
+
+    placed, found = paths(r)
+    assert placed == {("s", "c"): "a.svg"} and [f.code for f in found] == ["ARTIFACT"]
+    assert unit_proposals(r) == [("s", "all", "kg")]
