@@ -28,7 +28,7 @@ SIZES, BUCKETS, WIDTH = (2, 3, 4, 5), 1 << 16, 16
 MOST_ROWS, WINDOW, WINDOWS = 800, 1200, 3
 EPOCHS, LEAST_STEPS, RATE, BATCH = 3, 600, 20.0, 64
 #: Share of right held-back predictions that calibration may reject, and the highest limit it may choose.
-REJECTED, HIGHEST_LIMIT = 0.001, 0.42
+REJECTED, HIGHEST_LIMIT = 0.001, 0.32
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
@@ -131,7 +131,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 1) -> Model:
         model.temperature = float(min(losses, key=losses.get))
         p = softmax(logits / model.temperature)
         right = p.max(axis=1)[p.argmax(axis=1) == y[check]]
-        floor = 1 / len(names) + 0.1  # a text of unknown n-grams scores all labels alike
+        floor = 1 / len(names) + 0.05  # a text of unknown n-grams scores all labels alike
         model.limit = float(np.clip(np.quantile(right, REJECTED) if len(right) else 0, floor, max(floor, HIGHEST_LIMIT))) if len(names) > 1 else 0.0
     return model
 
