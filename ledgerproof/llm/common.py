@@ -99,6 +99,11 @@ def held(key: tuple, make):
     return _held[key]
 
 
+def let_go() -> None:
+    """For operators that keep nothing: free what another one has left in this process."""
+    _held.clear()
+
+
 def chunked(items: Iterable, size: int) -> Iterator[list]:
     out: list = []
     for x in items:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import let_go, slices, texts_of
 from .hashing import mix
 
 #: Tokens of a window, and the literal words it must have (of a shorter item: half of its tokens).
@@ -108,6 +108,7 @@ def template_windows(rows: DataFrame, key: str, text: str, sizes: list[int] | No
     """WINDOWS of every row (null texts have none). sizes None: WINDOW, or a short text's own length."""
 
     def run(batches):
+        let_go()
         own = Templates()
         mask = None if bitmap is None else bitmap.value
         for whole in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, slices
+from .common import crc_fold, let_go, slices
 from .hashing import byte_grams
 
 #: n-gram lengths in bytes, hash buckets and embedding width.
@@ -98,7 +98,10 @@ def fit(texts: list[str], labels: list[str], seed: int = 1) -> Model:
     e = rng.uniform(-1, 1, (BUCKETS, WIDTH)).astype(np.float32) / WIDTH
     w = np.zeros((WIDTH, len(names)), np.float32)
     train = np.flatnonzero(~back) if (~back).any() else np.arange(len(y))
-    found = [np.unique(grams(t), return_counts=True) for t in x]
+    found = []  # small types: the sample's n-grams stay on the driver while it trains
+    for t in x:
+        ids, counts = np.unique(grams(t), return_counts=True)
+        found.append((ids.astype(np.int32), (counts / counts.sum()).astype(np.float16)))
     weight = len(train) / (len(names) * np.maximum(1, np.bincount(y[train], minlength=len(names))))
     epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(train) // BATCH)))  # small samples are gone over more often
     steps, step = epochs * -(-len(train) // BATCH), 0
@@ -108,7 +111,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 1) -> Model:
         for at in range(0, len(order), BATCH):
             part = order[at: at + BATCH]
             ids = np.concatenate([found[i][0] for i in part])
-            counts = np.concatenate([found[i][1] / found[i][1].sum() for i in part]).astype(np.float32)
+            counts = np.concatenate([found[i][1] for i in part]).astype(np.float32)
             starts = np.r_[0, np.cumsum([len(found[i][0]) for i in part])[:-1]]
             h = np.add.reduceat(e[ids] * counts[:, None], starts, axis=0)
             g = softmax((h @ w).astype(np.float64)).astype(np.float32)
@@ -126,7 +129,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 1) -> Model:
     model = Model(names, (e @ w).astype(np.float32))
     check = np.flatnonzero(back) if back.any() else train
     if len(check):
-        logits = model.logits([x[i] for i in check])
+        logits = np.vstack([model.logits([x[i] for i in check[at: at + 200]]) for at in range(0, len(check), 200)])
         losses = {t: -np.log(softmax(logits / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in np.geomspace(0.5, 5, 30)}
         model.temperature = float(min(losses, key=losses.get))
         p = softmax(logits / model.temperature)
@@ -176,6 +179,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)  # BUCKETS x languages floats
 
     def run(batches):
+        let_go()
         own = sent.value
         for whole in batches:
             for batch in slices(whole, "t", 1 << 19):
@@ -193,6 +197,7 @@ def kept(docs: DataFrame, model: Model | None = None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        let_go()
         own = sent.value
         for whole in batches:
             for batch in slices(whole, "text", 1 << 19):

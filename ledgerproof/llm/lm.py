@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, crc_fold, materialize, slices
+from .common import binary_texts, crc_fold, let_go, materialize, slices
 
 #: Symbols in all, classes among them, vector width, words whose counts are broadcast.
 SYMBOLS, CLASSES, WIDTH, HEAD = 1024, 128, 16, 1 << 17
@@ -243,6 +243,7 @@ def train(docs: DataFrame, tables: Tables) -> Model:
     few = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "text")
 
     def symbols(batches):
+        let_go()
         reader = Reader(sent.value)
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -265,6 +266,7 @@ def train(docs: DataFrame, tables: Tables) -> Model:
         model, sums, bias_sum, scale_sum = warm.value
         own = Trainer(model.copy(), sent.value.prior, TaskContext.get().partitionId() + 2)
         own.sums, own.bias_sum, own.scale_sum = [x.copy() for x in sums], bias_sum.copy(), scale_sum.copy()
+        let_go()
         reader = Reader(sent.value)
         for whole in batches:
             for batch in slices(whole, "t"):
@@ -305,6 +307,7 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
 
     def run(batches):
         t, m = sent.value, taught.value
+        let_go()
         reader = Reader(t)
         ends = int(t.counts[np.flatnonzero(t.head == END_HASH)[0]]) if (t.head == END_HASH).any() else 0
         end_base = np.log10(ends + 0.5) - t.base

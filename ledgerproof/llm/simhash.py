@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, materialize, slices
+from .common import binary_texts, let_go, materialize, slices
 from .components import components, roots_of
 
 #: Fingerprints a key may hold before it is filed again under finer keys.
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, size: int = 3, text: str = "text", key: str =
     """(doc_id long, fp long: the 64 bits as a signed number) for every row; a null text has no words."""
 
     def run(batches):
+        let_go()
         for whole in batches:
             for batch in slices(whole, "t"):
                 fps = np.array([fingerprint(t, size) for t in binary_texts(batch.column("t"))], np.uint64).view(np.int64)

@@ -21,7 +21,7 @@ from .common import crc_fold, held, slices, texts_of
 from .hashing import mix
 
 #: Hash buckets, and prefix lengths in letters.
-BUCKETS, PREFIXES = 1 << 22, (3, 4, 5, 6)
+BUCKETS, PREFIXES = 1 << 21, (3, 4, 5, 6)
 #: Labelled rows of a class in the training sample, and terms the machine may weigh.
 MOST_ROWS, MOST_TERMS, LEAST_Z, LEAST_ROWS, LEAST_SHARE = 4000, 8192, 5.0, 4, 0.02
 FACTORS, EPOCHS, RATE, BATCH, L1, L2 = 8, 30, 0.1, 256, 1e-3, 1e-4
@@ -103,9 +103,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray | None =
     none = Machine(np.empty(0, np.int64), float(np.log(prior / (1 - prior))), np.zeros(0), np.zeros((0, FACTORS)))
     if not len(y) or y.min() == y.max():
         return none
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    seen, slot = np.unique(flat, return_inverse=True)
-    ones, zeros = np.bincount(slot, y[owner], len(seen)), np.bincount(slot, 1 - y[owner], len(seen))
+    sizes = np.array([len(r) for r in rows], np.int64)
+    flat = np.concatenate(rows)
+    number = int(flat.max(initial=0)) + 1
+    total, ones = np.bincount(flat, minlength=number), np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t]), minlength=number)
+    seen = np.flatnonzero(total >= LEAST_ROWS)
+    ones, zeros = ones[seen], (total - ones)[seen]
     n1, n0 = y.sum(), (1 - y).sum()
     p = (ones + zeros) / len(y)
     z = (ones / n1 - zeros / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
@@ -113,11 +116,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray | None =
     fine = np.sort(fine[np.argsort(-np.abs(z[fine]), kind="stable")][:MOST_TERMS])
     if not len(fine):
         return none
-    place = np.full(len(seen), -1)
-    place[fine] = np.arange(len(fine))
-    kept = place[slot]
-    bounds = np.searchsorted(owner[kept >= 0], np.arange(len(rows) + 1))
-    kept = kept[kept >= 0]
+    place = np.full(number, -1, np.int32)
+    place[seen[fine]] = np.arange(len(fine))
+    kept = place[flat]
+    bounds = np.r_[0, np.cumsum(kept >= 0)][np.r_[0, np.cumsum(sizes)]]
+    kept = kept[kept >= 0].astype(np.int64)
+    del flat, total, place
     rng = np.random.default_rng(seed)
     m = Machine(seen[fine], none.bias, np.zeros(len(fine)), rng.normal(0, 0.02, (len(fine), FACTORS)))
     gw, gv, gb = np.full(len(fine), 1e-6), np.full(m.factors.shape, 1e-6), 1e-6

@@ -46,7 +46,7 @@ def test_pairs_beat_linear_weights():
     rows, y = [], []
     for _ in range(1200):
         insult, group = rng.random(2) < 0.4
-        rows.append(np.unique(np.r_[rng.integers(100, 400, 12), [1] * int(insult), [2] * int(group)]))
+        rows.append(np.unique(np.r_[rng.integers(100, 400, 12), [1] * int(insult), [2] * int(group)]).astype(np.int64))
         y.append(int(insult and group))
     machine = toxicity.fit(rows[:1000], np.array(y[:1000]))
     test = [np.searchsorted(machine.chosen, r[np.isin(r, machine.chosen)]) for r in rows[1000:]]
