@@ -30,7 +30,7 @@ COVERAGE, RUN = 0.8, 13
 #: Share of slot pairs that one mapping of values explains.
 CONSISTENT = 0.8
 BITMAP_BITS = 24
-MOST_WORDS = 500_000
+MOST_WORDS = 250_000
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d]+")
 LITERAL, NUMBER, NAME, UNIT = range(4)
 # fixed values: English number words and unit names
@@ -112,7 +112,7 @@ def template_windows(rows: DataFrame, key: str, text: str, sizes: list[int] | No
         own = Templates()
         mask = None if bitmap is None else bitmap.value
         for whole in batches:
-            for batch in slices(whole, "t", 4 << 20):
+            for batch in slices(whole, "t", 1 << 20):
                 texts, keys = texts_of(batch.column("t")), batch.column("k").to_pylist()
                 if sizes is None:
                     found = []

@@ -27,7 +27,7 @@ from .common import chunked, held, slices, texts_of
 
 MARK = "▁"
 #: Words kept between batches of a task's process; the table is emptied beyond that.
-MOST_WORDS = 500_000
+MOST_WORDS = 250_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -77,6 +77,7 @@ class MergeEncoder:
         for c, i in self.symbols.items():
             if len(c) == 1:
                 self.of_char[ord(c)] = i
+        self.numbers = list(range(n))  # one object for each id, shared by all words
         self.words: dict[str, tuple[int, ...]] = {}
         self.spellings: dict[str, str] = {}
 
@@ -152,10 +153,11 @@ class MergeEncoder:
             self.words.clear()
             self.spellings.clear()
         new = list(set().union(*texts) - self.words.keys())
-        for part in chunked(new, 50_000):
+        for part in chunked(new, 25_000):
             ids = self.merge(part)
             self._check_words(part, ids)
-            self.words.update(zip(part, map(tuple, ids), strict=True))
+            number = self.numbers.__getitem__
+            self.words.update(zip(part, [tuple(map(number, x)) for x in ids], strict=True))
             self.spellings.update(zip(part, [",".join(map(str, x)) for x in ids], strict=True))
 
     def _check_words(self, words: list[str], ids: list[list[int]]) -> None:
@@ -201,7 +203,7 @@ def encode_documents(docs: DataFrame, path: str, check: str = "words", text: str
     def run(batches):
         own = encoder(path)
         for whole in batches:
-            for batch in slices(whole, "t", 2 << 20):
+            for batch in slices(whole, "t", 1 << 20):
                 texts = texts_of(batch.column("t"))
                 coded = own.encode(texts)
                 ids = [x for x, _ in coded]

@@ -26,7 +26,7 @@ BUCKETS, PREFIXES = 1 << 21, (3, 4, 5, 6)
 MOST_ROWS, MOST_TERMS, LEAST_Z, LEAST_ROWS, LEAST_SHARE = 4000, 8192, 5.0, 4, 0.02
 FACTORS, EPOCHS, RATE, BATCH, L1, L2 = 8, 30, 0.1, 256, 1e-3, 1e-4
 #: Words whose weighed terms a task keeps between batches.
-MOST_WORDS = 500_000
+MOST_WORDS = 250_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -194,7 +194,7 @@ def score(docs: DataFrame, labels: DataFrame | None = None, machine: Machine | N
     def run(batches):
         own = sent.value
         for whole in batches:
-            for batch in slices(whole, "t", 4 << 20):
+            for batch in slices(whole, "t", 1 << 20):
                 p = own.score(texts_of(batch.column("t")))
                 yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -210,7 +210,7 @@ def kept(docs: DataFrame, labels: DataFrame | None = None, machine: Machine | No
     def run(batches):
         own = sent.value
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 yield batch.filter(pa.array(own.score(texts_of(batch.column("text"))) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
