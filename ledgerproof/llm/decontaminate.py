@@ -149,8 +149,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lined = pairs.groupBy("doc_id", "item_id", "folded", (F.col("doc_at") - F.col("at")).alias("shift")).agg(
         F.sort_array(F.collect_set("at")).alias("ats"), F.first("size").alias("size"), F.array_distinct(filled).alias("pairs"),
     )  # an alignment has at most as many windows as the item
-    values = [F.size(F.array_distinct(F.col(f"pairs.{side}"))) for side in ("slots", "doc_slots")]
-    share = F.when(F.size("pairs") == 0, 1.0).otherwise(F.least(*values) / F.size("pairs"))
+    values = F.array_distinct(F.col("pairs.slots"))  # one way: several values of the item may coincide in the document
+    share = F.when(F.size("pairs") == 0, 1.0).otherwise(F.size(values) / F.size("pairs"))
     lined = lined.withColumn("consistency", share).filter(F.col("consistency") >= CONSISTENT)
     lined = lined.withColumn("changed", F.exists("pairs", lambda p: p["slots"] != p["doc_slots"]))
     per_item = items.groupBy("item_id").agg(F.countDistinct("at").alias("windows"))

@@ -40,3 +40,11 @@ def test_chance_phrases(spark):
     docs = spark.createDataFrame([(i, " ".join(words[(i * 7 + k * (i % 5 + 1)) % 20] for k in range(200))) for i in range(40)], "doc_id long, text string")
     items = spark.createDataFrame([(1, ITEM), (2, OTHER)], "item_id long, text string")
     assert decontaminate.leaks(docs, items).count() == 0
+
+
+def test_new_values_may_coincide(spark):
+    """Different values of the item may stand for one value of the document, typed and folded."""
+    item = "Mary has 3 red apples and 5 green pears in the big basket on the old kitchen table today"
+    docs = spark.createDataFrame([(1, item.replace("3", "4").replace("5", "4")), (2, item.replace("3", "4").replace("5", "4").lower())], "doc_id long, text string")
+    got = decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {1, 2} and all(r.reparametrized and r.consistency == 1 for r in got)
