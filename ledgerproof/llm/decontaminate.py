@@ -4,7 +4,8 @@ Texts become templates: numbers, units after numbers and capitalised names turn
 as slots. Windows of the template (and, for texts whose case was changed, of the folded words with numbers as the only slots) are hashed
 and joined with the benchmark's windows. Matches of one document and item that lie on one alignment must fill their slots
 consistently: an item's value always stands for the same value. So a question with other numbers or names is
-caught, and chance matches of common phrases with unrelated slots are not.
+caught, and chance matches of common phrases with unrelated slots are not. An item whose windows all hold too few words (mostly numbers)
+has windows of its values as they are instead, without slots, so that its copies are found.
 
 Documents send to the join only windows whose hash hits a bitmap of the benchmark's hashes. The bitmap's size is fixed
 (2 MB); with a very large benchmark it lets more windows through, and the join still decides.
@@ -36,7 +37,9 @@ LITERAL, NUMBER, NAME, UNIT = range(4)
 # fixed values: English number words and unit names
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 UNITS = frozenset("mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons lb lbs pound pounds ounce ounces ml l liter liters litre litres gallon gallons second seconds s minute minutes min hour hours h day days week weeks month months year years dollar dollars cent cents euro euros usd eur gbp percent degree degrees mph kmh hz khz mhz ghz w kw v a j kj cal kcal byte bytes kb mb gb tb meter meters metre metres centimeter centimeters kilometer kilometers".split())
-WINDOWS = "key long, at int, size int, folded boolean, hash long, slots array<string>"
+#: Forms of a window: typed slots, numbers as the only slots, no slots.
+TYPED, FOLDED, EXACT = range(3)
+WINDOWS = "key long, at int, size int, form int, hash long, slots array<string>"
 
 
 class Templates:
@@ -47,7 +50,7 @@ class Templates:
 
     def forget(self):
         self.index: dict[str, int] = {}
-        self.kind, self.unit, self.typed, self.folded = (np.empty(0, x) for x in (np.int8, bool, np.uint64, np.uint64))
+        self.kind, self.unit, self.typed, self.folded, self.exact = (np.empty(0, x) for x in (np.int8, bool, np.uint64, np.uint64, np.uint64))
 
     def learn(self, lists: list[list[str]]) -> None:
         if len(self.index) > MOST_WORDS:
@@ -64,12 +67,13 @@ class Templates:
         self.unit = np.r_[self.unit, np.array([x in UNITS for x in low], bool)]
         self.typed = np.r_[self.typed, np.where(kind == LITERAL, word, place[kind])]
         self.folded = np.r_[self.folded, np.where(kind == NUMBER, place[NUMBER], word)]
+        self.exact = np.r_[self.exact, word]
 
-    def windows(self, texts: list[str], sizes: list[int], bitmap: np.ndarray | None):
-        """(row, at, size, folded, hash, slots) of every window of whole texts that may match.
+    def windows(self, texts: list[str], sizes: list[int], bitmap: np.ndarray | None, exact: list[int] = ()):
+        """(row, at, size, form, hash, slots) of every window of whole texts that may match.
 
         `sizes`: the window lengths; a text shorter than WINDOW tokens gives one window of all of them where its
-        length is asked for. `bitmap`: None keeps all windows.
+        length is asked for. `exact`: the lengths of windows without slots. `bitmap`: None keeps all windows.
         """
         lists = [TOKEN.findall(t) for t in texts]
         self.learn(lists)
@@ -84,28 +88,30 @@ class Templates:
         typed = np.where(kind == UNIT, mix(np.array([UNIT + 1], np.uint64))[0], self.typed[flat])
         literal = np.r_[0, np.cumsum(kind == LITERAL)]
         plain = np.r_[0, np.cumsum(kind != NUMBER)]
-        for size in sizes:
+        for size in sorted({*sizes, *exact}):
             n = len(flat) - size + 1
             if n <= 0:
                 continue
             inside = owner[:n] == owner[size - 1:]
             least = LEAST_LITERAL if size == WINDOW else -(-size // 2)
-            for folded, codes, words in ((False, typed, literal), (True, self.folded[flat], plain)):
+            forms = [(TYPED, typed, literal), (FOLDED, self.folded[flat], plain)] if size in sizes else []
+            forms += [(EXACT, self.exact[flat], None)] if size in exact else []
+            for form, codes, words in forms:
                 h = np.zeros(n, np.uint64)
                 for k in range(size):
                     h = h * np.uint64(0x100000001B3) + codes[k: k + n]
-                h = mix(h ^ np.uint64(size << 1 | folded))
-                keep = inside & (words[size:] - words[:n] >= least)
+                h = mix(h ^ np.uint64(size << 2 | form))
+                keep = inside if form == EXACT else inside & (words[size:] - words[:n] >= least)
                 if bitmap is not None:
                     bit = (h & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
-                    keep &= (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+                    keep = keep & (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
                 for i, hashed in zip(np.flatnonzero(keep).tolist(), h[keep].view(np.int64).tolist(), strict=True):
-                    slots = [f"{kind[j]}:{tokens[j].lower()}" for j in range(i, i + size) if (kind[j] == NUMBER if folded else kind[j] != LITERAL)]
-                    yield int(owner[i]), i - int(begins[owner[i]]), size, folded, hashed, slots
+                    slots = [f"{kind[j]}:{tokens[j].lower()}" for j in range(i, i + size) if (kind[j] == NUMBER if form == FOLDED else kind[j] != LITERAL)] if form != EXACT else []
+                    yield int(owner[i]), i - int(begins[owner[i]]), size, form, hashed, slots
 
 
-def template_windows(rows: DataFrame, key: str, text: str, sizes: list[int] | None, bitmap=None) -> DataFrame:
-    """WINDOWS of every row (null texts have none). sizes None: WINDOW, or a short text's own length."""
+def template_windows(rows: DataFrame, key: str, text: str, sizes: list[int] | None, bitmap=None, exact: list[int] = ()) -> DataFrame:
+    """WINDOWS of every row (null texts have none). sizes None: WINDOW, or a short text's own length; exact ones where there are no others."""
 
     def run(batches):
         let_go()
@@ -118,12 +124,13 @@ def template_windows(rows: DataFrame, key: str, text: str, sizes: list[int] | No
                     found = []
                     for k, t in zip(keys, texts, strict=True):
                         n = len(TOKEN.findall(t))
-                        found += [(k, *w[1:]) for w in own.windows([t], [min(n, WINDOW)] if n else [], mask)]
+                        size = [min(n, WINDOW)] if n else []
+                        found += [(k, *w[1:]) for w in list(own.windows([t], size, mask)) or own.windows([t], [], mask, size)]
                 else:
-                    found = [(keys[w[0]], *w[1:]) for w in own.windows(texts, sizes, mask)]
+                    found = [(keys[w[0]], *w[1:]) for w in own.windows(texts, sizes, mask, exact)]
                 columns = list(zip(*found, strict=True)) or [[]] * 6
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "at", "size", "folded", "hash", "slots"])
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "at", "size", "form", "hash", "slots"])
 
     return rows.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, WINDOWS)
 
@@ -137,16 +144,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     items = template_windows(benchmark, "item_id", "text", None).withColumnRenamed("key", "item_id").distinct().persist()
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW values
+    asked = items.select("size", F.col("form") == EXACT).distinct().collect()  # at most 2 x WINDOW rows
+    sizes, exact = (sorted(size for size, plain in asked if plain == which) for which in (False, True))
     bits = np.zeros(1 << BITMAP_BITS, bool)
     low = items.select(F.col("hash").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)).cast("int").alias("bit")).distinct()
     bits[low.toArrow().column("bit").to_numpy()] = True  # at most 2**BITMAP_BITS numbers, whatever the benchmark's size
     bitmap = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
-    found = template_windows(docs, "doc_id", "text", sizes or [WINDOW], bitmap).withColumnRenamed("key", "doc_id")
+    found = template_windows(docs, "doc_id", "text", sizes, bitmap, exact).withColumnRenamed("key", "doc_id")
     found = found.select("doc_id", "hash", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
-    pairs = found.join(items, "hash").dropDuplicates(["doc_id", "item_id", "folded", "at", "doc_at"])
+    pairs = found.join(items, "hash").dropDuplicates(["doc_id", "item_id", "form", "at", "doc_at"])
     filled = F.flatten(F.collect_list(F.arrays_zip("slots", "doc_slots")))
-    lined = pairs.groupBy("doc_id", "item_id", "folded", (F.col("doc_at") - F.col("at")).alias("shift")).agg(
+    lined = pairs.groupBy("doc_id", "item_id", "form", (F.col("doc_at") - F.col("at")).alias("shift")).agg(
         F.sort_array(F.collect_set("at")).alias("ats"), F.first("size").alias("size"), F.array_distinct(filled).alias("pairs"),
     )  # an alignment has at most as many windows as the item
     values = F.array_distinct(F.col("pairs.slots"))  # one way: several values of the item may coincide in the document

@@ -48,3 +48,11 @@ def test_new_values_may_coincide(spark):
     docs = spark.createDataFrame([(1, item.replace("3", "4").replace("5", "4")), (2, item.replace("3", "4").replace("5", "4").lower())], "doc_id long, text string")
     got = decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert {r.doc_id for r in got} == {1, 2} and all(r.reparametrized and r.consistency == 1 for r in got)
+
+
+def test_items_of_numbers(spark):
+    """Copies of items that hold hardly a word are found, and texts with other numbers aren't."""
+    texts = [(1, "Compute 12 + 45 - 7 * 3"), (2, "2 4 8 16 32 64 128 256 512 1024 2048 4096"), (3, "17 + 4 = 21, 9 * 5 = 45, 81 / 9 = 9")]
+    docs = [(i, f"as an aside {t} and so on") for i, t in texts] + [(4, "Compute 11 + 46 - 8 * 2"), (5, "2 4 8 16 32 65 128 256 513 1024 2049 4096"), (6, "compute 12 + 45 - 7 * 3")]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(texts, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (2, 2), (3, 3), (6, 1)}
