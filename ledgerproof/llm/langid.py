@@ -2,9 +2,11 @@
 
 A text's vector is the mean of the embeddings of its byte n-grams (letters in lower case, all else one blank,
 so that n-grams see where words begin and end). Embeddings and softmax are trained together by stochastic gradient descent in
-numpy on a bounded sample of labelled rows; a held-back part of the sample gives the temperature of the softmax and the
-confidence below which a prediction is rejected. As both layers are linear, scoring adds up one row of
-class scores per n-gram: the table (embeddings @ weights) has as many columns as there are languages.
+numpy on a bounded sample of labelled rows; a held-back part of the sample gives the temperature of the softmax and what is
+rejected. A text of an unlearned language may lean to one label, and one of several learned languages to none, so two limits are calibrated: the
+confidence (over held-back texts and mixtures of them) and how usual the n-grams are in the training sample, whatever the label.
+As both layers are linear, scoring adds up one row of class scores per n-gram: the table (embeddings @ weights) has a column
+for each language, and one of log frequencies.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ SIZES, BUCKETS, WIDTH = (2, 3, 4, 5), 1 << 16, 16
 #: long texts at a fixed stride. Fitting alone is bounded: predictions read whole texts.
 MOST_ROWS, WINDOW, WINDOWS = 800, 1200, 3
 EPOCHS, LEAST_STEPS, RATE, BATCH = 3, 600, 20.0, 64
-#: Share of right held-back predictions that calibration may reject, and the highest limit it may choose.
-REJECTED, HIGHEST_LIMIT = 0.001, 0.32
+#: Share of right held-back predictions that calibration may reject by each limit.
+REJECTED = 0.001
+#: Bytes of the pieces of held-back texts that tell how short texts vary.
+PIECES = (40, 160)
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
@@ -47,32 +51,46 @@ def grams(data: bytes) -> np.ndarray:
 @dataclass
 class Model:
     labels: list[str]
-    scores: np.ndarray  # buckets x labels
+    scores: np.ndarray  # buckets x (labels, and the log frequency)
     temperature: float = 1.0
     limit: float = 0.0
+    usual: float = 0.0  # mean log frequency of the n-grams of learned texts
+    spread: tuple[float, float] = (1.0, 0.0)  # its variance: a part of each text's own, and one by n-gram
+    least_usual: float = -np.inf  # deviations below which a text is rejected
 
-    def logits(self, texts: list[bytes]) -> np.ndarray:
-        """Mean class scores of each text's n-grams, all texts of a batch together."""
+    def means(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Mean scores of each text's n-grams (the log frequency in the last column) and their number, all texts of a batch together."""
         flat = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum([len(t) for t in texts])
         starts = np.r_[0, ends[:-1]]
-        total, count = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
+        total, count = np.zeros((len(texts), self.scores.shape[1])), np.zeros(len(texts))
         for n in SIZES:
             rows = self.scores[byte_grams(flat, n, BUCKETS)].astype(np.float64)
             sums = np.vstack([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)])
             stops = np.maximum(starts, ends - n + 1)  # n-grams that end within the text
             total += sums[np.minimum(stops, len(rows))] - sums[np.minimum(starts, len(rows))]
             count += stops - starts
-        return total / np.maximum(count, 1)[:, None]
+        return total / np.maximum(count, 1)[:, None], np.maximum(count, 1)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """(label, probability of it) of each whole text: und with 0 where it has no letter."""
+    def deviations(self, usual: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return (usual - self.usual) / np.sqrt(self.spread[0] + self.spread[1] / count)
+
+    def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[bool]]:
+        """(label, probability of it, less for unusual n-grams, rejected) of each whole text: und with 0, rejected, where it has no letter."""
         known = [bool(t and LETTER.search(t)) for t in texts]
         if not self.labels:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        p = softmax(self.logits([plain(t) if k else b"  " for t, k in zip(texts, known, strict=True)]) / self.temperature)
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), [True] * len(texts)
+        means, count = self.means([plain(t) if k else b"  " for t, k in zip(texts, known, strict=True)])
+        p = softmax(means[:, :-1] / self.temperature)
         best = p.argmax(axis=1)
-        return [self.labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, p[np.arange(len(p)), best], 0.0)
+        beyond = np.minimum(0, self.deviations(means[:, -1], count) - self.least_usual)  # below 0: too unusual, and the score is discounted
+        score = np.where(known, p[np.arange(len(p)), best] * np.exp(beyond), 0.0)
+        rejected = ~np.array(known, bool) | (score < self.limit) | (beyond < 0)
+        return [self.labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], score, rejected.tolist()
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """(label, probability of it) of each whole text: und with 0 where it has no letter."""
+        return self.decide(texts)[:2]
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -84,7 +102,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 1) -> Model:
     """Train on labelled texts. Every fifth one is held back for the temperature and the rejection limit."""
     names = sorted(set(labels))
     if not names:
-        return Model([], np.zeros((BUCKETS, 0), np.float32))
+        return Model([], np.zeros((BUCKETS, 1), np.float32))
     x, y, back = [], [], []
     for n, (text, label) in enumerate(zip(texts, labels, strict=True)):
         step = max(WINDOW, len(text) // WINDOWS)
@@ -126,19 +144,50 @@ def fit(texts: list[str], labels: list[str], seed: int = 1) -> Model:
             seen[touched] = True
             step += 1
     e[~seen] = 0  # n-grams never met say nothing
-    model = Model(names, (e @ w).astype(np.float32))
+    times = np.ones(BUCKETS)
+    for i in train:
+        times += np.bincount(found[i][0], found[i][1].astype(np.float64) * len(x[i]) * weight[y[i]], BUCKETS)  # each language counts alike
+    model = Model(names, np.c_[e @ w, np.log(times / times.mean())].astype(np.float32))
     check = np.flatnonzero(back) if back.any() else train
     if len(check):
-        logits = np.vstack([model.logits([x[i] for i in check[at: at + 200]]) for at in range(0, len(check), 200)])
-        losses = {t: -np.log(softmax(logits / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in np.geomspace(0.5, 5, 30)}
-        model.temperature = float(min(losses, key=losses.get))
-        p = softmax(logits / model.temperature)
-        right = p.max(axis=1)[p.argmax(axis=1) == y[check]]
-        floor = 1 / len(names) + 0.05  # a text of unknown n-grams scores all labels alike
-        model.limit = float(np.clip(np.quantile(right, REJECTED) if len(right) else 0, floor, max(floor, HIGHEST_LIMIT))) if len(names) > 1 else 0.0
+        calibrate(model, [x[i] for i in check], y[check], rng)
     return model
 
 
+def calibrate(model: Model, texts: list[bytes], y: np.ndarray, rng: np.random.Generator) -> None:
+    """Temperature and limits from held-back texts, mixtures of the learned languages, and pieces of both."""
+
+    def means(some):
+        got = [model.means(some[at: at + 200]) for at in range(0, len(some), 200)]
+        return np.vstack([m for m, _ in got]), np.concatenate([c for _, c in got])
+
+    whole, count = means(texts)
+    logits = whole[:, :-1]
+    losses = {t: -np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean() for t in np.geomspace(0.5, 5, 30)}
+    model.temperature = float(min(losses, key=losses.get))
+    mixed = []
+    present = np.unique(y)
+    for n in range(2, len(present) + 1):
+        for _ in range(max(1, len(texts) // (len(present) - 1))):
+            chosen = [texts[rng.choice(np.flatnonzero(y == c))] for c in rng.choice(present, n, replace=False)]
+            mixed.append(b" ".join(t.strip() for t in chosen))
+    p = softmax(logits / model.temperature)
+    right = p.max(axis=1)[p.argmax(axis=1) == y]
+    if len(model.labels) > 1:
+        if mixed:
+            blended, _ = means(mixed)
+            right = np.r_[right, softmax(blended[:, :-1] / model.temperature).max(axis=1)]
+        model.limit = float(np.quantile(right, REJECTED)) if len(right) else 0.0
+    model.usual = float(whole[:, -1].mean())
+    own = max(float(whole[:, -1].var()), 1e-4)
+    pieces = [t[at: at + size] for t in texts for size in PIECES for at in range(0, max(1, len(t) - size + 1), max(size, len(t) // 2))]
+    short, few = means(pieces)
+    each = max(0.0, float((((short[:, -1] - model.usual) ** 2 - own) * few).mean()))
+    model.spread = (own, each)
+    every, n = np.r_[whole[:, -1], short[:, -1]], np.r_[count, few]
+    model.least_usual = float(np.quantile(model.deviations(every, n), REJECTED)) - 1.0  # a standard deviation beyond: few texts give the quantile
+
+
 def sample(docs: DataFrame, most: int = MOST_ROWS) -> pd.DataFrame:
     """Labelled rows outside the held-out fold, at most `most` for each lang, chosen by a hash of their id.
 
@@ -172,7 +221,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected for every row of `docs` (text and doc_id are read, lang only to learn).
 
     lang_pred is a learned label, or und (score 0, rejected) for texts that are null or have no letter. rejected also marks scores
-    below the model's calibrated limit. Repeated rows are scored alike; without any labelled row all are und.
+    below the model's calibrated limit, and texts whose n-grams are too unusual in the learned languages. Repeated rows are scored alike; without any labelled row all are und.
     """
     spark = docs.sparkSession
     model = learn(docs) if model is None else model
@@ -183,8 +232,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
         own = sent.value
         for whole in batches:
             for batch in slices(whole, "t", 1 << 19):
-                label, score = own.predict(batch.column("t").to_pylist())
-                rejected = [s == UNKNOWN or p < own.limit for s, p in zip(label, score.tolist(), strict=True)]
+                label, score, rejected = own.decide(batch.column("t").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False)).alias("h"), F.col("text").alias("t"))
@@ -201,7 +249,6 @@ def kept(docs: DataFrame, model: Model | None = None) -> DataFrame:
         own = sent.value
         for whole in batches:
             for batch in slices(whole, "text", 1 << 19):
-                label, score = own.predict(batch.column("text").to_pylist())
-                yield batch.filter(pa.array([s != UNKNOWN and p >= own.limit for s, p in zip(label, score.tolist(), strict=True)], pa.bool_()))
+                yield batch.filter(pa.array([not x for x in own.decide(batch.column("text").to_pylist())[2]], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
