@@ -2,8 +2,9 @@
 
 Terms are a text's distinct words and the first three to six letters of each (so that inflected forms meet). The machine
 adds linear weights and, for each pair of terms that stand together, the product of their factors: an insult weighs more
-next to a group's name. Terms that tell the classes apart are picked by their z-score in a bounded, labelled sample; all others
-have no weight, so long clean texts don't add up noise. Fitting is numpy on the driver; scoring reads every whole text.
+next to a group's name. A sparse linear fit over every term seen in a few rows of a bounded, labelled sample, whose penalty alone
+decides, picks terms with an effect of their own; those with an effect only next to another one are picked by the score of their pair on what
+that fit leaves over. All others have no weight, so long clean texts don't add up noise. Fitting is numpy on the driver; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -22,8 +23,12 @@ from .hashing import mix
 
 #: Hash buckets, and prefix lengths in letters.
 BUCKETS, PREFIXES = 1 << 21, (3, 4, 5, 6)
-#: Labelled rows of a class in the training sample, and terms the machine may weigh.
-MOST_ROWS, MOST_TERMS, LEAST_Z, LEAST_ROWS, LEAST_SHARE = 4000, 8192, 5.0, 4, 0.02
+#: Labelled rows of a class in the training sample, and rows of it that a term must stand in.
+MOST_ROWS, LEAST_ROWS = 4000, 4
+#: Penalty of a term in standard deviations of its gradient, and steps of the sparse fit.
+PENALTY, STEPS = 1.9, 150
+#: Score at which a pair counts, rows it stands in at least, and terms compared at once.
+PAIR_Z, PAIR_ROWS, PAIR_BLOCK = 6.0, 20, 1024
 FACTORS, EPOCHS, RATE, BATCH, L1, L2 = 8, 30, 0.1, 256, 1e-3, 1e-4
 #: Words whose weighed terms a task keeps between batches.
 MOST_WORDS = 250_000
@@ -95,6 +100,83 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(self.positions(texts)), -40, 40)))
 
 
+def _within(flat: np.ndarray, sizes: np.ndarray, terms_: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in `terms_` of the buckets of all rows that stand there, bounds of the rows)."""
+    place = np.full(number, -1, np.int32)
+    place[terms_] = np.arange(len(terms_))
+    at = place[flat]
+    return at[at >= 0], np.r_[0, np.cumsum(at >= 0)][np.r_[0, np.cumsum(sizes)]]
+
+
+def _sparse(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, weights: np.ndarray, n: int, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """(what is left of the labels, weights) of a linear fit over all terms: accelerated proximal steps.
+
+    A term's penalty is in proportion to the deviation of its gradient, so rare and common terms are judged alike.
+    """
+    who = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
+    start = weights * (y - 1 / (1 + np.exp(-bias)))
+    scale = np.sqrt(np.maximum(np.bincount(at, (start**2)[who], n), 1e-12))  # also makes the terms' columns comparable
+    vector = np.ones(len(y))  # the largest eigenvalue of the scaled rows' products bounds the step
+    norm = 1.0
+    for _ in range(12):
+        vector = np.bincount(who, (np.bincount(at, vector[who], n) / scale**2)[at], len(y))
+        norm = float(np.sqrt(vector @ vector)) or 1.0
+        vector /= norm
+    rate = 1 / (0.3 * float(weights.max()) * (norm + len(y) / max(start @ start, 1e-9)) * 1.05)
+    b, w, old_b, old_w, t = 0.0, np.zeros(n), 0.0, np.zeros(n), 1.0
+    ahead_b, ahead_w = b, w
+    offset = 1 / np.sqrt(max(start @ start, 1e-9))
+    for _ in range(STEPS):
+        raw = bias + ahead_b * offset + np.bincount(who, (ahead_w / scale)[at], len(y))
+        e = weights * (y - 1 / (1 + np.exp(-np.clip(raw, -40, 40))))
+        old_b, old_w = b, w
+        b = ahead_b + rate * e.sum() * offset
+        moved = ahead_w + rate * np.bincount(at, e[who], n) / scale
+        w = np.sign(moved) * np.maximum(np.abs(moved) - rate * PENALTY, 0)
+        t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        ahead_b, ahead_w = b + (last - 1) / t * (b - old_b), w + (last - 1) / t * (w - old_w)
+    raw = bias + b * offset + np.bincount(who, (w / scale)[at], len(y))
+    return y - 1 / (1 + np.exp(-np.clip(raw, -40, 40))), w / scale
+
+
+def _paired(at: np.ndarray, sizes: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
+    """Terms of pairs that stand together in PAIR_ROWS rows or more and whose rows have more, or less, left over than chance.
+
+    All pairs of such terms are looked at, a block of terms by another.
+    """
+    often = np.flatnonzero(np.bincount(at, minlength=n) >= PAIR_ROWS)
+    place = np.full(n, -1, np.int64)
+    place[often] = np.arange(len(often))
+    who = np.repeat(np.arange(len(sizes)), sizes)
+    inside = place[at] >= 0
+    who, col = who[inside], place[at[inside]]
+    order = np.argsort(col, kind="stable")
+    who, col = who[order], col[order]
+    found = np.zeros(len(often), bool)
+
+    def block(lo, hi):
+        x = np.zeros((len(sizes), hi - lo), np.float32)
+        a, b = np.searchsorted(col, [lo, hi])
+        x[who[a:b], col[a:b] - lo] = 1
+        return x
+
+    r, r2 = left.astype(np.float32)[:, None], (left**2).astype(np.float32)[:, None]
+    edges = [(lo, min(lo + PAIR_BLOCK, len(often))) for lo in range(0, len(often), PAIR_BLOCK)]
+    for k, one in enumerate(edges):
+        x = block(*one)
+        signed, squared = np.ascontiguousarray((x * r).T), np.ascontiguousarray((x * r2).T)
+        counts = np.ascontiguousarray(x.T)
+        for two in edges[k:]:
+            z = x if two == one else block(*two)
+            score = np.abs(signed @ z) / np.sqrt(np.maximum(squared @ z, 1e-9))
+            good = (score >= PAIR_Z) & (counts @ z >= PAIR_ROWS)
+            if two == one:
+                np.fill_diagonal(good, False)
+            found[one[0]: one[1]] |= good.any(axis=1)
+            found[two[0]: two[1]] |= good.any(axis=0)
+    return often[found]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray | None = None, seed: int = 1) -> Machine:
     """Train on rows of distinct buckets with 0/1 labels: adagrad steps, soft thresholds on linear weights."""
     y = np.asarray(labels, np.float64)
@@ -106,24 +188,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray | None =
     sizes = np.array([len(r) for r in rows], np.int64)
     flat = np.concatenate(rows)
     number = int(flat.max(initial=0)) + 1
-    total, ones = np.bincount(flat, minlength=number), np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t]), minlength=number)
-    seen = np.flatnonzero(total >= LEAST_ROWS)
-    ones, zeros = ones[seen], (total - ones)[seen]
-    n1, n0 = y.sum(), (1 - y).sum()
-    p = (ones + zeros) / len(y)
-    z = (ones / n1 - zeros / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    fine = np.flatnonzero((np.abs(z) >= LEAST_Z) & (np.maximum(ones, zeros) >= max(LEAST_ROWS, LEAST_SHARE * min(n0, n1))))
-    fine = np.sort(fine[np.argsort(-np.abs(z[fine]), kind="stable")][:MOST_TERMS])
+    seen = np.flatnonzero(np.bincount(flat, minlength=number) >= LEAST_ROWS)
+    kept, bounds = _within(flat, sizes, seen, number)
+    left, linear = _sparse(kept, np.diff(bounds), y, weights, len(seen), none.bias)
+    fine = np.union1d(np.flatnonzero(linear), _paired(kept, np.diff(bounds), left, len(seen)))
     if not len(fine):
         return none
-    place = np.full(number, -1, np.int32)
-    place[seen[fine]] = np.arange(len(fine))
-    kept = place[flat]
-    bounds = np.r_[0, np.cumsum(kept >= 0)][np.r_[0, np.cumsum(sizes)]]
-    kept = kept[kept >= 0].astype(np.int64)
-    del flat, total, place
+    kept, bounds = _within(flat, sizes, seen[fine], number)
+    kept = kept.astype(np.int64)
+    del flat
     rng = np.random.default_rng(seed)
-    m = Machine(seen[fine], none.bias, np.zeros(len(fine)), rng.normal(0, 0.02, (len(fine), FACTORS)))
+    m = Machine(seen[fine], none.bias, linear[fine], rng.normal(0, 0.02, (len(fine), FACTORS)))
     gw, gv, gb = np.full(len(fine), 1e-6), np.full(m.factors.shape, 1e-6), 1e-6
     for _ in range(EPOCHS):
         for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // BATCH)):
@@ -189,7 +264,7 @@ def score(docs: DataFrame, labels: DataFrame | None = None, machine: Machine | N
     classes every score is the prior.
     """
     machine = learn(docs, labels) if machine is None else machine
-    sent = docs.sparkSession.sparkContext.broadcast(machine)  # MOST_TERMS rows at most
+    sent = docs.sparkSession.sparkContext.broadcast(machine)  # at most the terms of the sample
 
     def run(batches):
         own = sent.value
