@@ -142,12 +142,15 @@ def _sparse(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, weights: np.ndarra
 def _paired(at: np.ndarray, sizes: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
     """Terms of pairs that stand together in PAIR_ROWS rows or more and whose rows have more, or less, left over than chance.
 
-    All pairs of such terms are looked at, a block of terms by another.
+    What either term has left over on average is taken off. All pairs of such terms are looked at, a block of terms by another.
     """
     often = np.flatnonzero(np.bincount(at, minlength=n) >= PAIR_ROWS)
+    who = np.repeat(np.arange(len(sizes)), sizes)
+    drawn = np.bincount(at, np.random.default_rng(0).random(len(sizes))[who], n)
+    often = often[np.unique(np.round(drawn[often], 9), return_index=True)[1]]  # terms of the same rows are one
     place = np.full(n, -1, np.int64)
     place[often] = np.arange(len(often))
-    who = np.repeat(np.arange(len(sizes)), sizes)
+    mean = (np.abs(np.bincount(at, left[who], n)) / np.maximum(np.bincount(at, minlength=n), 1))[often].astype(np.float32)
     inside = place[at] >= 0
     who, col = who[inside], place[at[inside]]
     order = np.argsort(col, kind="stable")
@@ -168,8 +171,10 @@ def _paired(at: np.ndarray, sizes: np.ndarray, left: np.ndarray, n: int) -> np.n
         counts = np.ascontiguousarray(x.T)
         for two in edges[k:]:
             z = x if two == one else block(*two)
-            score = np.abs(signed @ z) / np.sqrt(np.maximum(squared @ z, 1e-9))
-            good = (score >= PAIR_Z) & (counts @ z >= PAIR_ROWS)
+            both = counts @ z
+            more = np.abs(signed @ z) - both * np.maximum.outer(mean[one[0]: one[1]], mean[two[0]: two[1]])
+            good = (both >= PAIR_ROWS) & (more > 0)
+            good[good] = more[good] >= PAIR_Z * np.sqrt(np.maximum((squared @ z)[good], 1e-9))
             if two == one:
                 np.fill_diagonal(good, False)
             found[one[0]: one[1]] |= good.any(axis=1)
