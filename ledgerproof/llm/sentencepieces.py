@@ -193,7 +193,7 @@ def encode_documents(docs: DataFrame, path: str, check: str = "words", text: str
 
     Returns doc_id, n_tokens long, ids_sha256 and decoded_sha256 (hex; of the decimal ids joined by commas, and of the decoded
     text), and the ids themselves where `with_ids`. An empty text has no ids and decodes to itself.
-    `check`: "texts" compares all ids of each text with the library's and "words" those of new words only; a
+    `check`: "texts" compares all ids of each text with the library's and "words" those of new words that begin with a mark; a
     difference ends the job. Rows keep their number, repeats and null keys included.
     """
     if check not in ("texts", "words"):
