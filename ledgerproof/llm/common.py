@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -9,9 +11,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
+from pyspark.sql.types import MapType
 
-#: Used only where the session names no checkpoint folder (tests on one machine).
+#: Used only where the session names no checkpoint folder and runs on one machine (tests).
 LOCAL_SCRATCH = "file:///tmp/checkpoints/ledgerproof"
+#: Rows and bytes of an Arrow batch that Spark hands to Python at once (a single larger text still comes whole).
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine may do without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not folder and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or LOCAL_SCRATCH).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -45,6 +55,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session hands Python batches bounded by rows and bytes, so a task's memory doesn't depend on row sizes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def in_arrow(rows: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow over small batches."""
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
+def where_text(docs: DataFrame, decide) -> DataFrame:
+    """The rows of `docs` for which `decide` (texts of a small batch to booleans) says yes, whatever their columns.
+
+    Only the texts go to Python; the rows themselves stay where Spark keeps them, and a filter there drops what was refused.
+    """
+    small_batches(docs.sparkSession)
+
+    def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
+        for texts in batches:
+            parts = [decide(part.column("t").to_pylist()) for part in slices(pa.RecordBatch.from_arrays([texts], names=["t"]), "t", 1 << 19)]
+            yield pa.array([bool(x) for part in parts for x in part], pa.bool_())
+
+    return docs.filter(F.arrow_udf(good, "boolean", ArrowUDFType.SCALAR_ITER)(F.col("text")))
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a Hadoop-style URI, for tasks that write their own formats."""
     from pyarrow import fs
@@ -56,6 +94,15 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+def vocabulary(path: str) -> str:
+    """The place of a vocabulary file: a path as it is; a bare name is a public tokenizer's, wherever this machine keeps it."""
+    if "/" in path:
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(path)
+
+
 def binary_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -83,9 +130,21 @@ def crc_fold(column: str, folds: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds))
 
 
-def keep_columns(like: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of `like` whose key stands in `ids`, with the columns of `like` unchanged."""
-    return like.join(ids.select(key).distinct(), key, "left_semi").select(*like.columns)
+def first_rows(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row of `docs` for each component_id of `classes` (doc_id, h: the text's xxhash64, component_id; a row per row of `docs`), and all rows without an id.
+
+    It is a row of the least doc_id of the class that is itself in the class: with several such texts the one of least h, and of rows
+    that agree in id and text the one with the least hash of its columns (maps don't count). Only ids and hashes are grouped; rows
+    move once, to the last join.
+    """
+    best = classes.filter("doc_id is not null").groupBy("component_id", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    best = best.groupBy("component_id").agg(F.min(F.struct("doc_id", "h", "n")).alias("x")).select(F.col("x.doc_id").alias("first_id"), F.col("x.h").alias("first_h"), "x.n")
+    best = materialize(best, "first")
+    this = (docs["doc_id"] == best["first_id"]) & (F.xxhash64(docs["text"]) == best["first_h"])
+    once, again = docs.join(best.filter("n = 1"), this, "left_semi"), docs.join(best.filter("n > 1"), this, "left_semi")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)]
+    again = again.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*plain)).alias("x")).select("x.*")
+    return once.unionByName(again).unionByName(docs.filter("doc_id is null"))
 
 
 _held: dict[tuple, object] = {}
@@ -100,8 +159,14 @@ def held(key: tuple, make):
 
 
 def let_go() -> None:
-    """For operators that keep nothing: free what another one has left in this process."""
-    _held.clear()
+    """For operators that keep nothing: free what another one has left in this process, and hand empty pages back."""
+    if _held:
+        _held.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def chunked(items: Iterable, size: int) -> Iterator[list]:

@@ -5,8 +5,9 @@ so that n-grams see where words begin and end). Embeddings and softmax are train
 numpy on a bounded sample of labelled rows; a held-back part of the sample gives the temperature of the softmax and what is
 rejected. A text of an unlearned language may lean to one label, and one of several learned languages to none, so two limits are calibrated: the
 confidence (over held-back texts and mixtures of them) and how usual the n-grams are in the training sample, whatever the label.
-As both layers are linear, scoring adds up one row of class scores per n-gram: the table (embeddings @ weights) has a column
-for each language, and one of log frequencies.
+As both layers are linear, scoring adds up one row of class scores per n-gram: with few languages the table (embeddings @ weights) has a column
+for each, and with more than WIDTH it stays the embeddings, whose mean is then multiplied by the weights; one more column holds log frequencies. So
+what is broadcast has BUCKETS x (WIDTH + 1) numbers at most, and WIDTH for each language.
 """
 
 from __future__ import annotations
@@ -20,14 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, let_go, slices
+from .common import crc_fold, in_arrow, let_go, slices, where_text
 from .hashing import byte_grams
 
 #: n-gram lengths in bytes, hash buckets and embedding width.
 SIZES, BUCKETS, WIDTH = (2, 3, 4, 5), 1 << 16, 16
-#: Rows a language may give to the training sample, and characters of a window of a sampled text; windows cover
+#: Rows a language may give to the training sample, rows of all languages, and characters of a window of a sampled text; windows cover
 #: long texts at a fixed stride. Fitting alone is bounded: predictions read whole texts.
-MOST_ROWS, WINDOW, WINDOWS = 800, 1200, 3
+MOST_ROWS, ALL_ROWS, WINDOW, WINDOWS = 800, 40_000, 1200, 3
+#: Distinct labels that can be languages; a column with more is refused.
+MOST_LABELS = 10_000
+#: Places of a text whose n-grams are looked up at once.
+PLACES = 1 << 17
 EPOCHS, LEAST_STEPS, RATE, BATCH = 3, 600, 20.0, 64
 #: Share of right held-back predictions that calibration may reject by each limit.
 REJECTED = 0.001
@@ -51,7 +56,8 @@ def grams(data: bytes) -> np.ndarray:
 @dataclass
 class Model:
     labels: list[str]
-    scores: np.ndarray  # buckets x (labels, and the log frequency)
+    scores: np.ndarray  # buckets x (labels or embedding, and the log frequency)
+    weights: np.ndarray | None = None  # embedding x labels, where the table holds embeddings
     temperature: float = 1.0
     limit: float = 0.0
     usual: float = 0.0  # mean log frequency of the n-grams of learned texts
@@ -65,12 +71,16 @@ class Model:
         starts = np.r_[0, ends[:-1]]
         total, count = np.zeros((len(texts), self.scores.shape[1])), np.zeros(len(texts))
         for n in SIZES:
-            rows = self.scores[byte_grams(flat, n, BUCKETS)].astype(np.float64)
-            sums = np.vstack([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)])
             stops = np.maximum(starts, ends - n + 1)  # n-grams that end within the text
-            total += sums[np.minimum(stops, len(rows))] - sums[np.minimum(starts, len(rows))]
             count += stops - starts
-        return total / np.maximum(count, 1)[:, None], np.maximum(count, 1)
+            for at in range(0, max(0, len(flat) - n + 1), PLACES):  # also within a text: memory doesn't grow with it
+                rows = self.scores[byte_grams(flat[at: at + PLACES + n - 1], n, BUCKETS)].astype(np.float64)
+                sums = np.vstack([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)])
+                total += sums[np.clip(stops - at, 0, len(rows))] - sums[np.clip(starts - at, 0, len(rows))]
+        means = total / np.maximum(count, 1)[:, None]
+        if self.weights is not None:
+            means = np.c_[means[:, :-1] @ self.weights, means[:, -1]]
+        return means, np.maximum(count, 1)
 
     def deviations(self, usual: np.ndarray, count: np.ndarray) -> np.ndarray:
         return (usual - self.usual) / np.sqrt(self.spread[0] + self.spread[1] / count)
@@ -147,7 +157,8 @@ def fit(texts: list[str], labels: list[str], seed: int = 1) -> Model:
     times = np.ones(BUCKETS)
     for i in train:
         times += np.bincount(found[i][0], found[i][1].astype(np.float64) * len(x[i]) * weight[y[i]], BUCKETS)  # each language counts alike
-    model = Model(names, np.c_[e @ w, np.log(times / times.mean())].astype(np.float32))
+    folded = len(names) <= WIDTH
+    model = Model(names, np.c_[e @ w if folded else e, np.log(times / times.mean())].astype(np.float32), None if folded else w.astype(np.float64))
     check = np.flatnonzero(back) if back.any() else train
     if len(check):
         calibrate(model, [x[i] for i in check], y[check], rng)
@@ -189,26 +200,30 @@ def calibrate(model: Model, texts: list[bytes], y: np.ndarray, rng: np.random.Ge
 
 
 def sample(docs: DataFrame, most: int = MOST_ROWS) -> pd.DataFrame:
-    """Labelled rows outside the held-out fold, at most `most` for each lang, chosen by a hash of their id.
+    """Labelled rows outside the held-out fold, at most `most` different texts for each lang (fewer with many langs: ALL_ROWS in all).
 
-    Counts by lang are aggregated over all rows; then rows below a hash threshold are taken, which
-    needs no sort. Text windows, not whole long texts, travel to the driver: at most WINDOWS x WINDOW characters a row.
+    Texts are counted by lang (approximately, so hashes aren't shuffled); then rows whose hash of id and text lies below a threshold are
+    taken, which needs no sort, and equal texts count once. So neither a repeated id nor a repeated text makes the sample
+    larger or empty. Rows without an id are in no held-out fold and teach. Text windows, not whole long texts, travel to the driver: at most
+    WINDOWS x WINDOW characters a row.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold("doc_id", 3) != 1))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    place = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30))
-    limit = None
-    for lang, n in counts.items():
-        share = min(1 << 30, int((1 << 30) * 0.85 * most / n)) if n > most else 1 << 30
-        limit = (F.when if limit is None else limit.when)(F.col("lang") == lang, F.lit(share))
-    if limit is None:
+    held = F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False))
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held).select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.03).alias("n")).limit(MOST_LABELS + 1).collect()
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"lang has more than {MOST_LABELS} values: these are no languages")
+    if not counts:
         return pd.DataFrame({"text": [], "lang": []})
+    most = max(1, min(most, ALL_ROWS // len(counts)))
+    shares = [(r.lang, min(1 << 30, int((1 << 30) * 0.85 * most / r.n)) if r.n > most else 1 << 30) for r in counts]
+    limits = docs.sparkSession.createDataFrame(shares, "lang string, upto long")  # at most MOST_LABELS rows
+    rows = rows.withColumn("lang", F.col("lang").cast("string")).withColumn("place", F.pmod(F.xxhash64("h", F.lit("sample")), F.lit(1 << 30)))
     n = F.char_length("text")
     step = F.greatest(F.lit(WINDOW), F.floor(n / WINDOWS)).cast("int")
     windows = F.concat_ws(" ", *[F.substr("text", (step * k + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS)])
     short = F.when(n <= WINDOW * WINDOWS, F.col("text")).otherwise(windows)
-    got = rows.filter(place < limit).select(short.alias("text"), "lang", place.alias("p"), "doc_id").toPandas()
-    got = got.sort_values(["p", "doc_id", "text"], kind="stable")
+    some = rows.join(F.broadcast(limits), "lang").filter("place < upto").groupBy("lang", "h").agg(F.first(short).alias("text"), F.first("place").alias("place"))
+    got = some.orderBy("place", "h", "lang").limit(2 * ALL_ROWS).toPandas()
     return got.groupby("lang", sort=False).head(most)[["text", "lang"]]
 
 
@@ -225,7 +240,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     model = learn(docs) if model is None else model
-    sent = spark.sparkContext.broadcast(model)  # BUCKETS x languages floats
+    sent = spark.sparkContext.broadcast(model)  # of a fixed size, see above
 
     def run(batches):
         let_go()
@@ -236,19 +251,11 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False)).alias("h"), F.col("text").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return in_arrow(rows, run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def kept(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of `docs` that aren't rejected, with all their columns, whatever their names. Decided row by row in one scan."""
     model = learn(docs) if model is None else model
     sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        let_go()
-        own = sent.value
-        for whole in batches:
-            for batch in slices(whole, "text", 1 << 19):
-                yield batch.filter(pa.array([not x for x in own.decide(batch.column("text").to_pylist())[2]], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return where_text(docs, lambda texts: [not x for x in sent.value.decide(texts)[2]])
