@@ -18,17 +18,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, held, slices, texts_of
+from .common import crc_fold, held, in_arrow, materialize, slices, texts_of, where_text
 from .hashing import mix
 
-#: Hash buckets, and prefix lengths in letters.
-BUCKETS, PREFIXES = 1 << 21, (3, 4, 5, 6)
-#: Labelled rows of a class in the training sample, and rows of it that a term must stand in.
-MOST_ROWS, LEAST_ROWS = 4000, 4
+#: Hash buckets, and prefix lengths in letters. Words and beginnings of PAIRED letters have the lower half of the buckets: these are screened in pairs.
+BUCKETS, PREFIXES, PAIRED = 1 << 21, (3, 4, 5, 6), 4
+HALF = BUCKETS // 2
+#: Labelled rows of a class in the training sample, terms of all its rows, and rows of it that a term must stand in.
+MOST_ROWS, MOST_TERMS, LEAST_ROWS = 4000, 8_000_000, 4
 #: Penalty of a term in standard deviations of its gradient, and steps of the sparse fit.
 PENALTY, STEPS = 1.9, 150
-#: Score at which a pair counts, rows it stands in at least, and terms compared at once.
-PAIR_Z, PAIR_ROWS, PAIR_BLOCK = 6.0, 20, 1024
+#: Score at which a pair counts (no pair in fewer than its square of rows can reach it), what its rows must have left over in all, and terms compared at once.
+PAIR_Z, PAIR_LEFT, PAIR_BLOCK = 6.0, 3.0, 2048
+PAIR_ROWS = int(PAIR_Z**2)
 FACTORS, EPOCHS, RATE, BATCH, L1, L2 = 8, 30, 0.1, 256, 1e-3, 1e-4
 #: Words whose weighed terms a task keeps between batches.
 MOST_WORDS = 250_000
@@ -40,7 +42,7 @@ def terms(words: list[str]) -> np.ndarray:
     out = np.full((len(words), 1 + len(PREFIXES)), -1, np.int64)
     if not words:
         return out
-    out[:, 0] = np.array([xxhash.xxh64_intdigest(w, 7) for w in words], np.uint64) % np.uint64(BUCKETS)
+    out[:, 0] = np.array([xxhash.xxh64_intdigest(w, 7) for w in words], np.uint64) % np.uint64(HALF)
     longest = max(PREFIXES)
     letters = np.array(words, f"U{longest}").view(np.uint32).reshape(len(words), longest).astype(np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -48,7 +50,8 @@ def terms(words: list[str]) -> np.ndarray:
     for k in range(longest):
         h = mix(h * np.uint64(31) + letters[:, k] + np.uint64(1))
         if k + 1 in PREFIXES:
-            out[:, 1 + PREFIXES.index(k + 1)] = np.where(sizes >= k + 1, (mix(h ^ np.uint64(k + 77)) % np.uint64(BUCKETS)).astype(np.int64), -1)
+            bucket = (mix(h ^ np.uint64(k + 77)) % np.uint64(HALF)).astype(np.int64) + HALF * (k + 1 != PAIRED)
+            out[:, 1 + PREFIXES.index(k + 1)] = np.where(sizes >= k + 1, bucket, -1)
     return out
 
 
@@ -113,13 +116,24 @@ def _sparse(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, weights: np.ndarra
 
     A term's penalty is in proportion to the deviation of its gradient, so rare and common terms are judged alike.
     """
+    bounds = np.r_[0, np.cumsum(sizes)].astype(np.int64)
     who = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
+    by_term = np.argsort(at, kind="stable")
+    rows_of, edges = who[by_term], np.searchsorted(at[by_term], np.arange(n + 1))
+    del who, by_term
+
+    def over_terms(v):  # sums of a row's value over the rows of each term
+        return _sums(v.astype(np.float32)[rows_of], edges)
+
+    def over_rows(v):
+        return _sums(v.astype(np.float32)[at], bounds)
+
     start = weights * (y - 1 / (1 + np.exp(-bias)))
-    scale = np.sqrt(np.maximum(np.bincount(at, (start**2)[who], n), 1e-12))  # also makes the terms' columns comparable
+    scale = np.sqrt(np.maximum(over_terms(start**2), 1e-12))  # also makes the terms' columns comparable
     vector = np.ones(len(y))  # the largest eigenvalue of the scaled rows' products bounds the step
     norm = 1.0
     for _ in range(12):
-        vector = np.bincount(who, (np.bincount(at, vector[who], n) / scale**2)[at], len(y))
+        vector = over_rows(over_terms(vector) / scale**2)
         norm = float(np.sqrt(vector @ vector)) or 1.0
         vector /= norm
     rate = 1 / (0.3 * float(weights.max()) * (norm + len(y) / max(start @ start, 1e-9)) * 1.05)
@@ -127,24 +141,33 @@ def _sparse(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, weights: np.ndarra
     ahead_b, ahead_w = b, w
     offset = 1 / np.sqrt(max(start @ start, 1e-9))
     for _ in range(STEPS):
-        raw = bias + ahead_b * offset + np.bincount(who, (ahead_w / scale)[at], len(y))
+        raw = bias + ahead_b * offset + over_rows(ahead_w / scale)
         e = weights * (y - 1 / (1 + np.exp(-np.clip(raw, -40, 40))))
         old_b, old_w = b, w
         b = ahead_b + rate * e.sum() * offset
-        moved = ahead_w + rate * np.bincount(at, e[who], n) / scale
+        moved = ahead_w + rate * over_terms(e) / scale
         w = np.sign(moved) * np.maximum(np.abs(moved) - rate * PENALTY, 0)
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         ahead_b, ahead_w = b + (last - 1) / t * (b - old_b), w + (last - 1) / t * (w - old_w)
-    raw = bias + b * offset + np.bincount(who, (w / scale)[at], len(y))
+    raw = bias + b * offset + over_rows(w / scale)
     return y - 1 / (1 + np.exp(-np.clip(raw, -40, 40))), w / scale
 
 
-def _paired(at: np.ndarray, sizes: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
-    """Terms of pairs that stand together in PAIR_ROWS rows or more and whose rows have more, or less, left over than chance.
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the runs between bounds; 0 for an empty one."""
+    out = np.zeros(len(bounds) - 1)
+    full = np.flatnonzero(bounds[1:] > bounds[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values, bounds[full])
+    return out
+
+
+def _paired(at: np.ndarray, sizes: np.ndarray, left: np.ndarray, n: int, may: np.ndarray) -> np.ndarray:
+    """Terms (of those that `may`) of pairs that stand together in PAIR_ROWS rows or more and whose rows have more, or less, left over than chance.
 
-    What either term has left over on average is taken off. All pairs of such terms are looked at, a block of terms by another.
+    What either term has left over on average is taken off. All pairs of such terms are looked at, a block of terms by another, by batched matrix products.
     """
-    often = np.flatnonzero(np.bincount(at, minlength=n) >= PAIR_ROWS)
+    often = np.flatnonzero(may & (np.bincount(at, minlength=n) >= PAIR_ROWS))
     who = np.repeat(np.arange(len(sizes)), sizes)
     drawn = np.bincount(at, np.random.default_rng(0).random(len(sizes))[who], n)
     often = often[np.unique(np.round(drawn[often], 9), return_index=True)[1]]  # terms of the same rows are one
@@ -154,27 +177,31 @@ def _paired(at: np.ndarray, sizes: np.ndarray, left: np.ndarray, n: int) -> np.n
     inside = place[at] >= 0
     who, col = who[inside], place[at[inside]]
     order = np.argsort(col, kind="stable")
-    who, col = who[order], col[order]
+    who, edges = who[order], np.searchsorted(col[order], np.arange(len(often) + 1))
     found = np.zeros(len(often), bool)
+    r = left.astype(np.float32)[:, None]
 
     def block(lo, hi):
         x = np.zeros((len(sizes), hi - lo), np.float32)
-        a, b = np.searchsorted(col, [lo, hi])
-        x[who[a:b], col[a:b] - lo] = 1
+        a, b = edges[lo], edges[hi]
+        x[who[a:b], np.repeat(np.arange(hi - lo), np.diff(edges[lo: hi + 1]))] = 1
         return x
 
-    r, r2 = left.astype(np.float32)[:, None], (left**2).astype(np.float32)[:, None]
-    edges = [(lo, min(lo + PAIR_BLOCK, len(often))) for lo in range(0, len(often), PAIR_BLOCK)]
-    for k, one in enumerate(edges):
+    r2 = (left**2).astype(np.float32)[:, None]
+    spans = [(lo, min(lo + PAIR_BLOCK, len(often))) for lo in range(0, len(often), PAIR_BLOCK)]
+    for k, one in enumerate(spans):
         x = block(*one)
-        signed, squared = np.ascontiguousarray((x * r).T), np.ascontiguousarray((x * r2).T)
-        counts = np.ascontiguousarray(x.T)
-        for two in edges[k:]:
+        signed, squared, counts = (np.ascontiguousarray(v.T) for v in (x * r, x * r2, x))
+        for two in spans[k:]:
             z = x if two == one else block(*two)
+            total = np.abs(signed @ z)
+            if not (total >= PAIR_LEFT).any():
+                continue
             both = counts @ z
-            more = np.abs(signed @ z) - both * np.maximum.outer(mean[one[0]: one[1]], mean[two[0]: two[1]])
-            good = (both >= PAIR_ROWS) & (more > 0)
-            good[good] = more[good] >= PAIR_Z * np.sqrt(np.maximum((squared @ z)[good], 1e-9))
+            more = total - both * np.maximum.outer(mean[one[0]: one[1]], mean[two[0]: two[1]])
+            good = (total >= PAIR_LEFT) & (both >= PAIR_ROWS) & (more > 0)
+            if good.any():
+                good[good] = more[good] >= PAIR_Z * np.sqrt(np.maximum((squared @ z)[good], 1e-9))
             if two == one:
                 np.fill_diagonal(good, False)
             found[one[0]: one[1]] |= good.any(axis=1)
@@ -196,7 +223,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray | None =
     seen = np.flatnonzero(np.bincount(flat, minlength=number) >= LEAST_ROWS)
     kept, bounds = _within(flat, sizes, seen, number)
     left, linear = _sparse(kept, np.diff(bounds), y, weights, len(seen), none.bias)
-    fine = np.union1d(np.flatnonzero(linear), _paired(kept, np.diff(bounds), left, len(seen)))
+    fine = np.union1d(np.flatnonzero(linear), _paired(kept, np.diff(bounds), left, len(seen), seen < HALF))
     if not len(fine):
         return none
     kept, bounds = _within(flat, sizes, seen[fine], number)
@@ -227,10 +254,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray | None =
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(terms, toxic, weight) of labelled rows outside the held-out fold, at most `most` of each class.
+    """(terms, toxic, weight) of labelled rows outside the held-out fold, at most `most` ids of each class.
 
-    A hash of the id picks rows below a threshold, so nothing is sorted; conflicting labels of one id count as toxic. The ids, at most
-    2 x `most`, are broadcast to the documents; whole texts become distinct term buckets there.
+    A hash of the id picks ids below a threshold, so nothing is sorted; conflicting labels of one id count as toxic, and of several rows of
+    one id one teaches (the least by hash of its text). The ids, at most 2 x `most`, are broadcast to the documents; whole texts become
+    distinct term buckets there. With very long texts fewer ids are taken, so that at most MOST_TERMS buckets reach the driver.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -245,10 +273,19 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[l
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = [buckets_of(t).astype(np.int32) for t in texts_of(batch.column("text"))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("place"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "place", "terms"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.col("place").cast("long").alias("place"), "text")
-    got = rows.mapInArrow(run, "doc_id long, toxic int, place long, terms array<int>").toArrow().combine_chunks()
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("doc_id", "toxic", "place", "h")), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "place", "h", "terms"]
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select(
+        "doc_id", F.col("toxic").cast("int").alias("toxic"), F.col("place").cast("long").alias("place"), F.xxhash64("text").alias("h"), "text"
+    )
+    found = in_arrow(rows, run, "doc_id long, toxic int, place long, h long, terms array<int>")
+    one = materialize(found.groupBy("doc_id", "toxic", "place").agg(F.min_by("terms", "h").alias("terms")), "sample")
+    sizes = one.select("doc_id", "place", F.size("terms").alias("n")).toPandas().sort_values(["place", "doc_id"])  # at most 2 x `most` rows
+    fits = sizes[sizes["n"].cumsum() <= MOST_TERMS]
+    upto = int(fits["place"].max()) if len(fits) else -1
+    got = one.filter(F.col("place") <= (upto if len(fits) < len(sizes) else 1 << 30)).select("doc_id", "toxic", "place", "terms").toArrow().combine_chunks()
     order = np.lexsort((got.column("doc_id").to_numpy(), got.column("place").to_numpy()))
     label, terms_of = got.column("toxic").to_numpy(), got.column("terms").combine_chunks()
     order = np.concatenate([order[label[order] == c][:most] for c in (0, 1)])
@@ -279,18 +316,11 @@ def score(docs: DataFrame, labels: DataFrame | None = None, machine: Machine | N
                 yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False)).alias("h"), F.col("text").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return in_arrow(rows, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def kept(docs: DataFrame, labels: DataFrame | None = None, machine: Machine | None = None) -> DataFrame:
     """The rows of `docs` with a score below one half, with all their columns. Decided row by row in one scan."""
     machine = learn(docs, labels) if machine is None else machine
     sent = docs.sparkSession.sparkContext.broadcast(machine)
-
-    def run(batches):
-        own = sent.value
-        for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                yield batch.filter(pa.array(own.score(texts_of(batch.column("text"))) < 0.5))
-
-    return docs.mapInArrow(run, docs.schema)
+    return where_text(docs, lambda texts: sent.value.score([t or "" for t in texts]) < 0.5)
