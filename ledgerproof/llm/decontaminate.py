@@ -4,8 +4,11 @@ Texts become templates: numbers, units after numbers and capitalised names turn
 as slots. Windows of the template (and, for texts whose case was changed, of the folded words with numbers as the only slots) are hashed
 and joined with the benchmark's windows. Matches of one document and item that lie on one alignment must fill their slots
 consistently: an item's value always stands for the same value. So a question with other numbers or names is
-caught, and chance matches of common phrases with unrelated slots are not. An item whose windows all hold too few words (mostly numbers)
-has windows of its values as they are instead, without slots, so that its copies are found.
+caught, and chance matches of common phrases with unrelated slots are not. Signs of arithmetic before a number are words of a template. An item whose
+windows all hold too few words (mostly numbers) has windows of its values as they are instead, without slots, so that its copies are found.
+
+What decides is the text alone, so equal texts are one key, whatever their ids. Items with the same windows and the same pattern of
+equal slots are one template: texts are joined with templates, and only what leaks is spelled out by item.
 
 Documents send to the join only windows whose hash hits a bitmap of the benchmark's hashes. The bitmap's size is fixed
 (2 MB); with a very large benchmark it lets more windows through, and the join still decides.
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let_go, slices, texts_of
+from .common import in_arrow, let_go, materialize, slices, texts_of
 from .hashing import mix
 
 #: Tokens of a window, and the literal words it must have (of a shorter item: half of its tokens).
@@ -32,14 +35,15 @@ COVERAGE, RUN = 0.8, 13
 CONSISTENT = 0.8
 BITMAP_BITS = 24
 MOST_WORDS = 250_000
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d]+")
+TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d]+|[-+*/=^<>×÷](?=[\s(]{0,3}\d)")
 LITERAL, NUMBER, NAME, UNIT = range(4)
 # fixed values: English number words and unit names
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 UNITS = frozenset("mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons lb lbs pound pounds ounce ounces ml l liter liters litre litres gallon gallons second seconds s minute minutes min hour hours h day days week weeks month months year years dollar dollars cent cents euro euros usd eur gbp percent degree degrees mph kmh hz khz mhz ghz w kw v a j kj cal kcal byte bytes kb mb gb tb meter meters metre metres centimeter centimeters kilometer kilometers".split())
 #: Forms of a window: typed slots, numbers as the only slots, no slots.
 TYPED, FOLDED, EXACT = range(3)
-WINDOWS = "key long, at int, size int, form int, hash long, slots array<string>"
+WINDOWS = "row long, at int, size int, form int, hash long, slots array<string>"
+ITEMS = "item_id long, template long, at int, size int, form int, hash long, slots array<int>, typed array<string>, folded array<string>"
 
 
 class Templates:
@@ -49,6 +53,7 @@ class Templates:
         self.forget()
 
     def forget(self):
+        """Start anew: a task's tables are bounded."""
         self.index: dict[str, int] = {}
         self.kind, self.unit, self.typed, self.folded, self.exact = (np.empty(0, x) for x in (np.int8, bool, np.uint64, np.uint64, np.uint64))
 
@@ -110,69 +115,105 @@ class Templates:
                     yield int(owner[i]), i - int(begins[owner[i]]), size, form, hashed, slots
 
 
-def template_windows(rows: DataFrame, key: str, text: str, sizes: list[int] | None, bitmap=None, exact: list[int] = ()) -> DataFrame:
-    """WINDOWS of every row (null texts have none). sizes None: WINDOW, or a short text's own length; exact ones where there are no others."""
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """ITEMS: the windows of every item (WINDOW tokens, or all of a shorter one), exact ones where there are no others; null and empty texts have none.
+
+    template names the windows and which of their slots are equal; slots are numbers into the item's values of that form.
+    """
 
     def run(batches):
         let_go()
         own = Templates()
-        mask = None if bitmap is None else bitmap.value
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()))
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column("k").to_pylist(), texts_of(batch.column("t")), strict=True):
+                if not (n := len(TOKEN.findall(text))):
+                    continue
+                size = [min(n, WINDOW)]
+                found = list(own.windows([text], size, None)) or list(own.windows([text], [], None, size))
+                values: dict[int, dict[str, int]] = {form: {} for form in (TYPED, FOLDED, EXACT)}
+                named = [(*w[1:5], [values[w[3]].setdefault(x, len(values[w[3]])) for x in w[5]]) for w in found]
+                template = xxhash.xxh64_intdigest(repr(named)) - (1 << 63)
+                rows += [(key, template, *w, list(values[TYPED]), list(values[FOLDED])) for w in named]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in ITEMS.split(", ")])
+
+    return in_arrow(benchmark.select(F.col("item_id").cast("long").alias("k"), F.col("text").alias("t")), run, ITEMS)
+
+
+def text_windows(docs: DataFrame, sizes: list[int], exact: list[int], bitmap) -> DataFrame:
+    """WINDOWS of every text, `row` being its 64-bit hash, that hit the bitmap. Equal texts give each window once."""
+
+    def run(batches):
+        let_go()
+        own = Templates()
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
         for whole in batches:
             for batch in slices(whole, "t", 1 << 20):
-                texts, keys = texts_of(batch.column("t")), batch.column("k").to_pylist()
-                if sizes is None:
-                    found = []
-                    for k, t in zip(keys, texts, strict=True):
-                        n = len(TOKEN.findall(t))
-                        size = [min(n, WINDOW)] if n else []
-                        found += [(k, *w[1:]) for w in list(own.windows([t], size, mask)) or own.windows([t], [], mask, size)]
-                else:
-                    found = [(keys[w[0]], *w[1:]) for w in own.windows(texts, sizes, mask, exact)]
-                columns = list(zip(*found, strict=True)) or [[]] * 6
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "at", "size", "form", "hash", "slots"])
-
-    return rows.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, WINDOWS)
+                rows = batch.column("row").to_pylist()
+                found = [(rows[w[0]], *w[1:]) for w in own.windows(texts_of(batch.column("t")), sizes, bitmap.value, exact)]
+                columns = list(zip(*found, strict=True)) or [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in WINDOWS.split(", ")])
 
+    rows = docs.filter("text is not null").select(F.xxhash64("text").alias("row"), F.col("text").alias("t"))
+    return in_arrow(rows, run, WINDOWS).dropDuplicates(["row", "form", "size", "at"])
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row per (doc_id, item_id) that leaks: windows, matched, coverage, longest, slots, consistency, reparametrized.
 
-    windows is the item's number of windows, matched how many of them the document holds on consistent alignments, longest the tokens of
-    the best alignment, reparametrized whether some slot's value differs. Rows of one doc_id count as one document, equal
-    items each have their rows; null texts match nothing, and documents without an id have no row. Empty tables give an empty result.
-    """
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """A row per (row, template) that leaks, `row` being the text's hash: windows, matched, coverage, longest, slots, consistency, form, pairs."""
     spark = docs.sparkSession
-    items = template_windows(benchmark, "item_id", "text", None).withColumnRenamed("key", "item_id").distinct().persist()
-    asked = items.select("size", F.col("form") == EXACT).distinct().collect()  # at most 2 x WINDOW rows
-    sizes, exact = (sorted(size for size, plain in asked if plain == which) for which in (False, True))
+    asked = items.select("size", (F.col("form") == EXACT).alias("plain")).distinct().collect()  # at most 2 x WINDOW rows
+    sizes, exact = (sorted(r.size for r in asked if r.plain == which) for which in (False, True))
     bits = np.zeros(1 << BITMAP_BITS, bool)
     low = items.select(F.col("hash").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)).cast("int").alias("bit")).distinct()
     bits[low.toArrow().column("bit").to_numpy()] = True  # at most 2**BITMAP_BITS numbers, whatever the benchmark's size
     bitmap = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
-    found = template_windows(docs, "doc_id", "text", sizes, bitmap, exact).withColumnRenamed("key", "doc_id")
-    found = found.select("doc_id", "hash", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
-    pairs = found.join(items, "hash").dropDuplicates(["doc_id", "item_id", "form", "at", "doc_at"])
+    found = text_windows(docs, sizes, exact, bitmap).select("row", "hash", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
+    wanted = items.select("template", "at", "size", "form", "hash", "slots").distinct()
+    pairs = found.join(wanted, "hash")
     filled = F.flatten(F.collect_list(F.arrays_zip("slots", "doc_slots")))
-    lined = pairs.groupBy("doc_id", "item_id", "form", (F.col("doc_at") - F.col("at")).alias("shift")).agg(
+    lined = pairs.groupBy("row", "template", "form", (F.col("doc_at") - F.col("at")).alias("shift")).agg(
         F.sort_array(F.collect_set("at")).alias("ats"), F.first("size").alias("size"), F.array_distinct(filled).alias("pairs"),
     )  # an alignment has at most as many windows as the item
-    values = F.array_distinct(F.col("pairs.slots"))  # one way: several values of the item may coincide in the document
+    values = F.array_distinct(F.col("pairs.slots"))  # one way: several values of the item may coincide in the text
     share = F.when(F.size("pairs") == 0, 1.0).otherwise(F.size(values) / F.size("pairs"))
     lined = lined.withColumn("consistency", share).filter(F.col("consistency") >= CONSISTENT)
-    lined = lined.withColumn("changed", F.exists("pairs", lambda p: p["slots"] != p["doc_slots"]))
-    per_item = items.groupBy("item_id").agg(F.countDistinct("at").alias("windows"))
-    per_pair = lined.groupBy("doc_id", "item_id").agg(
-        F.max(F.size("ats") + F.col("size") - 1).alias("longest"), F.max(F.size("pairs")).alias("slots"),
-        F.max("consistency").alias("consistency"), F.min(F.col("changed").cast("int")).cast("boolean").alias("reparametrized"),
+    lined = lined.withColumn("span", F.size("ats") + F.col("size") - 1)
+    best = F.max_by(F.struct("form", "pairs"), F.struct("span", "consistency", -F.col("form"), -F.col("shift")))
+    per_pair = lined.groupBy("row", "template").agg(
+        F.max("span").alias("longest"), F.max(F.size("pairs")).alias("slots"), F.max("consistency").alias("consistency"), best.alias("best")
     )
-    covered = lined.select("doc_id", "item_id", F.explode("ats").alias("at")).distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("matched"))
-    out = per_pair.join(covered, ["doc_id", "item_id"]).join(per_item, "item_id").withColumn("coverage", F.col("matched") / F.col("windows"))
+    covered = lined.select("row", "template", F.explode("ats").alias("at")).distinct().groupBy("row", "template").agg(F.count(F.lit(1)).alias("matched"))
+    per_item = wanted.groupBy("template").agg(F.countDistinct("at").alias("windows"))
+    out = per_pair.join(covered, ["row", "template"]).join(per_item, "template").withColumn("coverage", F.col("matched") / F.col("windows"))
     out = out.filter((F.col("coverage") >= COVERAGE) | (F.col("longest") >= RUN))
-    return out.select("doc_id", "item_id", "windows", "matched", "coverage", "longest", "slots", "consistency", "reparametrized")
+    return out.select("row", "template", "windows", "matched", "coverage", "longest", "slots", "consistency", "best.form", "best.pairs")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """A row per (doc_id, item_id) that leaks: windows, matched, coverage, longest, slots, consistency, reparametrized.
+
+    windows is the item's number of windows, matched how many of them the document holds on consistent alignments, longest the tokens that the
+    windows of the best alignment would hold in a row, reparametrized whether some slot of that alignment has another value than the item's. Rows of
+    one doc_id count as one document (its best row for each column), equal items each have their rows; null texts match nothing, and
+    documents without an id have no row. Empty tables give an empty result. Texts are told apart by 64-bit hashes.
+    """
+    items = materialize(item_windows(benchmark), "items")
+    found = materialize(matches(docs, items), "leaks")
+    named = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row")).join(found, "row")
+    members = items.select("template", "item_id", "typed", "folded").filter("item_id is not null").distinct()
+    each = named.join(members, "template")  # what leaks, by item
+    own = F.when(F.col("form") == TYPED, F.col("typed")).otherwise(F.col("folded"))
+    each = each.withColumn("own", own).withColumn("changed", F.expr("exists(pairs, p -> p.doc_slots <> own[p.slots])"))
+    return each.groupBy("doc_id", "item_id").agg(
+        F.max("windows").alias("windows"), F.max("matched").alias("matched"), F.max("coverage").alias("coverage"), F.max("longest").alias("longest"),
+        F.max("slots").alias("slots"), F.max("consistency").alias("consistency"), F.min("changed").alias("reparametrized"),
+    )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that hold no benchmark item, with all their columns (null texts and null ids stay)."""
-    bad = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs` that hold no benchmark item, with all their columns. Decided by each row's text alone: a clean row stays though another
+    of its doc_id leaks, a leaking one goes though it has no id, and null texts stay."""
+    bad = materialize(matches(docs, materialize(item_windows(benchmark), "items")).select("row").distinct(), "leaking")
+    return docs.join(bad, docs["text"].isNotNull() & (F.xxhash64(docs["text"]) == bad["row"]), "left_anti")

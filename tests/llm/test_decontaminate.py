@@ -21,7 +21,7 @@ def test_leaks(spark, none, odd):
     assert not got[10, 1].reparametrized and got[11, 1].reparametrized and got[11, 1].coverage > 0.9
     assert got[10, 1].coverage == 1 and got[17, 2].coverage < 1
     kept = decontaminate.decontaminate(docs, items)
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 13, 14, 15, 18]
+    assert sorted(r.doc_id for r in kept.collect()) == [13, 14, 15, 18]  # the row without an id holds an item
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.decontaminate(odd, items.filter("false")).count() == odd.count()
     assert decontaminate.decontaminate(odd, items).columns == odd.columns
 
@@ -51,8 +51,8 @@ def test_new_values_may_coincide(spark):
 
 
 def test_items_of_numbers(spark):
-    """Copies of items that hold hardly a word are found, and texts with other numbers aren't."""
+    """Copies of items that hold hardly a word are found; with other numbers only those whose signs make a template."""
     texts = [(1, "Compute 12 + 45 - 7 * 3"), (2, "2 4 8 16 32 64 128 256 512 1024 2048 4096"), (3, "17 + 4 = 21, 9 * 5 = 45, 81 / 9 = 9")]
     docs = [(i, f"as an aside {t} and so on") for i, t in texts] + [(4, "Compute 11 + 46 - 8 * 2"), (5, "2 4 8 16 32 65 128 256 513 1024 2049 4096"), (6, "compute 12 + 45 - 7 * 3")]
     got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(texts, "item_id long, text string"))
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (2, 2), (3, 3), (6, 1)}
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (2, 2), (3, 3), (4, 1), (6, 1)}
