@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, let_go, materialize, slices
+from .common import binary_texts, first_rows, in_arrow, let_go, materialize, slices
 from .components import components, roots_of
 
 #: Fingerprints a key may hold before it is filed again under finer keys.
@@ -56,16 +56,16 @@ def fingerprint(text: bytes, size: int) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id long, fp long: the 64 bits as a signed number) for every row; a null text has no words."""
+    """(doc_id long, fp long: the 64 bits as a signed number, h long: the text's xxhash64) for every row; a null text has no words."""
 
     def run(batches):
         let_go()
         for whole in batches:
             for batch in slices(whole, "t", 2 << 20):
                 fps = np.array([fingerprint(t, size) for t in binary_texts(batch.column("t"))], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(fps)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(fps), batch.column("h")], names=["doc_id", "fp", "h"])
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return in_arrow(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h")), run, "doc_id long, fp long, h long")
 
 
 def near_in_words(bits: np.ndarray, last: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +208,7 @@ def near_fingerprints(fps: DataFrame, radius: int = 2, most: int = MOST_IN_KEY)
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id long, fingerprint string, component_id long), one row for each row of `docs`.
+    """(doc_id long, fingerprint string, component_id long, h long: the text's xxhash64), one row for each row of `docs`.
 
     component_id is the least doc_id that chains of fingerprints within `radius` bits reach, the row's
     own included. Equal fingerprints are one node, so copies cost one comparison. A null or blank text
@@ -221,18 +221,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, text: str =
     links = components(near_fingerprints(named, radius))
     classes = nodes.join(links, nodes.rep == links.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex(F.col("fp")), 16, "0"))
-    return prints.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return prints.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id", "h")
 
 
 def kept(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
-    """One row of each class of near duplicates: the first text, in order, of the least doc_id. Rows without an id stay.
-
-    Ids and classes are joined on doc_id; the document's columns move once.
-    """
-    ids = near_duplicates(docs, size, radius).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null")
-    same = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = named.join(ids, "doc_id", "left_semi")
-    once = first.join(same, "doc_id", "left_anti").select(*docs.columns)
-    again = first.join(same, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.filter("doc_id is null"))
+    """One row of each class of near duplicates (see first_rows for which one), with all its columns. Rows without an id stay."""
+    return first_rows(docs, near_duplicates(docs, size, radius))
