@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from . import decontaminate, embeddings, langid, lm, quotes, records, sentencepieces, simhash, toxicity, warc
 from .common import scratch, table
 
-#: The folder of public vocabulary files.
-TOKENIZERS = os.environ.get("LEDGERPROOF_TOKENIZERS", "/opt/tokenizers")
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
-WORDS = f"{TOKENIZERS}/word_bpe_49k.json"
+#: Public vocabulary files; a task opens them by name, wherever its own installation keeps them.
+PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
 def op1_template_decontamination(spark, sf_dir):
@@ -26,7 +22,7 @@ def op3_sentencepiece_agenda(spark, sf_dir):
 
 
 def op4_simhash_near_dedup(spark, sf_dir):
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("h")
 
 
 def op5_log_bilinear_scores(spark, sf_dir):
@@ -63,6 +59,7 @@ QUERIES = {
 
 #: Payloads below 100 bytes never revisit; the least page_id of equal payloads is the response.
 ORACLE_SQL = {
+    "op7_quotation_threads": quotes.SQL,
     "op8_warc_revisits": """
 WITH heads AS (
     SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages

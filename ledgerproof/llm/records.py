@@ -2,7 +2,7 @@
 
 A record is: payload length (8 bytes, little-endian), masked CRC-32C of those 8 bytes (4), payload, masked CRC-32C of
 the payload (4) - the framing TFRecord readers know. A payload is the document's key (8, signed), a byte that
-gives the width of an id (2 or 4), and the ids. Files follow each other in ascending key order. The index has a row per
+gives the width of an id (2 or 4; 128 more where the document has no key), and the ids. Files follow each other in ascending key order. The index has a row per
 record (part, file, seq, doc_id, offset, length, n_tokens, start) and is a Parquet table, so a training job
 can draw records in any order by byte range.
 
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_texts, file_system, held, slices
+from .common import binary_texts, file_system, held, slices, small_batches, vocabulary
 
 #: Words whose ids a task's process keeps between batches; the table is emptied beyond that.
 MOST_WORDS = 1_000_000
@@ -34,6 +34,8 @@ READ_BYTES = 8 << 20
 POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected (a fixed value)
 MASK_DELTA = 0xA282EAD8  # of the masked checksum (a fixed value)
 BLOCK = 128
+#: Added to the width byte of a record without a key.
+NO_KEY = 128
 
 
 @lru_cache(maxsize=1)
@@ -129,7 +131,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(vocabulary(path))
         probe = "Ab, it's\n x́y\t́z  12 <b>"
         apart = [i for w in probe.split() for i in self.library.encode(w, add_special_tokens=False).ids]
         if self.library.encode(probe, add_special_tokens=False).ids != apart:
@@ -155,18 +157,28 @@ def word_encoder(path: str) -> WordEncoder:
     return held(("words", path), lambda: WordEncoder(path))
 
 
+def key_of(payload: bytes) -> tuple[int | None, int]:
+    """(key, bytes of an id) of a record's payload."""
+    k, width = struct.unpack_from("<qB", payload)
+    return (None if width & NO_KEY else k), width & ~NO_KEY
+
+
 INDEX = "part int, file string, seq long, doc_id long, offset long, length long, n_tokens long"
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, parts: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Encode every whole text (null: empty), append `end_id`, and write records in ascending key order. Returns the index.
 
-    Rows are dealt by ranges of the key (null keys first, written as key -2**63) and sorted by (key, text)
-    within each, so ties have one order. The index is written to `folder`/index and read back from there.
+    Rows are dealt by ranges of the key (null keys first) and, as rows of one key can be many, of the text's first letters and its hash; equal rows
+    are dealt by their place in the input. Within a range they are sorted alike, so ties have one order. The index is written to `folder`/index and read back from there. A text of any
+    length is one record.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("k"), F.col(text).alias("t"))
-    rows = rows.repartitionByRange(parts, "k") if parts else rows.repartitionByRange("k")
+    small_batches(spark)
+    order = ["k", "first", "h", "same"]
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.pmod(F.monotonically_increasing_id(), F.lit(256)).alias("same"))
+    rows = rows.withColumn("first", F.substring("t", 1, 32)).withColumn("h", F.xxhash64("t"))
+    rows = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
 
     def run(batches):
         own, end = word_encoder(tokenizer), struct.pack("<I", end_id)
@@ -180,7 +192,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, parts: int
                     ids = [x + end for x in own.encode(binary_texts(batch.column("t")))]
                     keys = batch.column("k").to_pylist()
                     small = ids if width == 4 else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-                    framed = frames([struct.pack("<qB", k, width) + x for k, x in zip(keys, small, strict=True)])
+                    framed = frames([struct.pack("<qB", k or 0, width if k is not None else width | NO_KEY) + x for k, x in zip(keys, small, strict=True)])
                     if out is None:
                         fs.create_dir(path, recursive=True)
                         out = fs.open_output_stream(f"{path}/{name}")
@@ -196,7 +208,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, parts: int
             if out is not None:
                 out.close()
 
-    rows.sortWithinPartitions("k", "t").mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
+    rows.sortWithinPartitions(*order[:3], "t").select("k", "t").mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
@@ -231,9 +243,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         held = held[used:]
                         rows = []
                         for p in payloads:
-                            k, width = struct.unpack_from("<qB", p)
+                            k, width = key_of(p)
                             ids = p[9:] if width == 4 else np.frombuffer(p, "<u2", offset=9).astype("<u4").tobytes()
-                            rows.append((None if k == -(2**63) else k, start, len(ids) // 4, zlib.crc32(ids)))
+                            rows.append((k, start, len(ids) // 4, zlib.crc32(ids)))
                             start += len(ids) // 4
                         if rows:
                             out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -244,12 +256,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def fetch(folder: str, file: str, offset: int, length: int) -> tuple[int, list[int]]:
+def fetch(folder: str, file: str, offset: int, length: int) -> tuple[int | None, list[int]]:
     """(key, ids) of one record by its index row: what a shuffled reader does."""
     fs, path = file_system(folder)
     with fs.open_input_file(f"{path}/{file}") as data:
         (payload,), _ = parse(data.read_at(length, offset))
-    k, width = struct.unpack_from("<qB", payload)
+    k, width = key_of(payload)
     return k, np.frombuffer(payload, f"<u{width}", offset=9).tolist()
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, held, slices, texts_of
+from .common import chunked, held, in_arrow, slices, texts_of, vocabulary
 
 MARK = "▁"
 #: Words kept between batches of a task's process; the table is emptied beyond that.
@@ -37,7 +37,7 @@ class MergeEncoder:
     def __init__(self, path: str):
         import sentencepiece
 
-        self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.library = lib = sentencepiece.SentencePieceProcessor(model_file=vocabulary(path))
         n = lib.vocab_size()
         pieces = [lib.id_to_piece(i) for i in range(n)]
         if any(lib.is_unused(i) for i in range(n)) or lib.normalize("a  ﬁ ") != f"{MARK}a{MARK}{MARK}ﬁ{MARK}":
@@ -77,6 +77,8 @@ class MergeEncoder:
         for c, i in self.symbols.items():
             if len(c) == 1:
                 self.of_char[ord(c)] = i
+        # a text of one cut, after which another begins: what a cut without a mark is checked behind
+        self.lead = (alone[0], list(lib.encode(alone[0]))) if alone else None
         self.numbers = list(range(n))  # one object for each id, shared by all words
         self.words: dict[str, tuple[int, ...]] = {}
         self.spellings: dict[str, str] = {}
@@ -161,10 +163,19 @@ class MergeEncoder:
             self.spellings.update(zip(part, [",".join(map(str, x)) for x in ids], strict=True))
 
     def _check_words(self, words: list[str], ids: list[list[int]]) -> None:
-        """The library puts a mark before a text; a word with a mark of its own is given without it."""
-        some = [(w, x) for w, x in zip(words, ids, strict=True) if w[0] == MARK and len(w) > 1]
-        if [x for _, x in some] != self.library.encode([w[1:] for w, _ in some], num_threads=1):
-            bad = next(w for w, x in some if x != self.library.encode(w[1:]))
+        """Every word's ids must be the library's. It puts a mark before a text, so a word that begins with a mark is given without it.
+
+        Any other cut (after a line end, or a line end itself) follows a lead that the mark goes to; runs of marks are blanks of the lead's end.
+        """
+        texts, want, lead = [], [], self.lead
+        for w, x in zip(words, ids, strict=True):
+            marked = w[0] == MARK and len(w) > 1
+            if not marked and lead is None:
+                continue
+            texts.append(w[1:] if marked else lead[0] + w)
+            want.append(x if marked else lead[1] + x)
+        if want != self.library.encode(texts, num_threads=1):
+            bad = next(t for t, x in zip(texts, want, strict=True) if x != self.library.encode(t))
             raise AssertionError(f"the merges of {bad!r} differ from the library's")
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
@@ -193,7 +204,7 @@ def encode_documents(docs: DataFrame, path: str, check: str = "words", text: str
 
     Returns doc_id, n_tokens long, ids_sha256 and decoded_sha256 (hex; of the decimal ids joined by commas, and of the decoded
     text), and the ids themselves where `with_ids`. An empty text has no ids and decodes to itself.
-    `check`: "texts" compares all ids of each text with the library's and "words" those of new words that begin with a mark; a
+    `check`: "texts" compares all ids of each text with the library's and "words" those of new words (cuts of any kind); a
     difference ends the job. Rows keep their number, repeats and null keys included.
     """
     if check not in ("texts", "words"):
@@ -222,4 +233,4 @@ def encode_documents(docs: DataFrame, path: str, check: str = "words", text: str
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, fields)
+    return in_arrow(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), run, fields)
