@@ -21,20 +21,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_texts, file_system, slices
+from .common import binary_texts, file_system, materialize, slices, small_batches
 
 #: Payloads below this many bytes are always written whole.
 LEAST_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # a fixed value of the format
 DATE = "1970-01-01T00:00:00Z"
 CRLF = b"\r\n"
-READ_BYTES = 4 << 20
+#: Bytes of compressed data inflated at once, and of an archive that one task reads.
+READ_BYTES, RANGE_BYTES = 64 << 10, 64 << 20
 INDEX = "part int, file string, page_id long, offset long, length long, record_type string"
 
 
-def record_id(page: int | None, nth: str = "") -> str:
-    """The record's URN: it names the page, so a revisit's target can be read from its header."""
-    return f"<urn:page:{page}>" if page is not None else f"<urn:uuid:{nth or uuid.uuid4()}>"
+def record_id(page: int | None, digest: str) -> str:
+    """The record's URN. It names the page, so a revisit's target can be read from its header, and the payload, so pages that share an id
+    have records of their own; a page without an id has a random one. Only a page stored twice with one payload has the same URN twice."""
+    return f"<urn:page:{page}:{digest[:32]}>" if page is not None else f"<urn:uuid:{uuid.uuid4()}>"
+
+
+def page_of(urn: str | None) -> int | None:
+    return int(urn.split(":")[2]) if urn and urn.startswith("<urn:page:") else None
 
 
 def record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
@@ -42,7 +48,7 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
     kind = "response" if refers_to is None else "revisit"
     fields = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", record_id(page)),
+        ("WARC-Record-ID", record_id(page, digest)),
         ("WARC-Date", date),
         ("WARC-Target-URI", quote(url or "about:blank", safe="%/:=&?~#+!$,;'@()*[]")),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
@@ -50,7 +56,7 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
         ("Content-Type", "text/html; charset=utf-8"),
     ]
     if refers_to is not None:
-        fields += [("WARC-Refers-To", record_id(refers_to)), ("WARC-Profile", PROFILE)]
+        fields += [("WARC-Refers-To", record_id(refers_to, digest)), ("WARC-Profile", PROFILE)]
     body = payload if refers_to is None else b""
     fields.append(("Content-Length", str(len(body))))
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields)
@@ -70,10 +76,18 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:n]
 
 
-def members(stream, read_bytes: int = READ_BYTES):
-    """The inflated gzip members of a stream, one after another."""
-    inflate, out, data = zlib.decompressobj(31), [], b""
-    while data or (data := stream.read(read_bytes)):
+def members(stream, most_bytes: int | None = None, read_bytes: int = READ_BYTES):
+    """The inflated gzip members of the next `most_bytes` of a stream (all of it: None), one after another.
+
+    What follows a member's end in what was read is copied for each member, so little is read at once.
+    """
+    inflate, out, data, left = zlib.decompressobj(31), [], b"", most_bytes
+    while True:
+        if not data:
+            data = stream.read(read_bytes if left is None else min(read_bytes, left))
+            left = None if left is None else left - len(data)
+            if not data:
+                break
         out.append(inflate.decompress(data))
         data = b""
         if inflate.eof:
@@ -107,6 +121,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, date: s
     Each attempt of a task writes a file of its own name, and the index, a Parquet table in `folder`/index, names those of the job that ended.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     full = headers(pages).drop("payload_bytes").join(resolve(pages, least_bytes), ["page_id", "payload_digest"], "left")
 
     def run(batches):
@@ -144,24 +159,26 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     Sizes and digests of responses are computed anew from the stored payload and must agree with the headers.
     """
-    files = spark.read.schema(INDEX).parquet(f"{folder}/index").select("file").distinct()
-
-    def page_of(urn: str | None) -> int | None:
-        return int(urn[len("<urn:page:"):-1]) if urn and urn.startswith("<urn:page:") else None
+    index = spark.read.schema(INDEX).parquet(f"{folder}/index")
+    # ranges of whole records: as many as tasks are worth while, whatever the number of records
+    ranges = index.groupBy("file", F.floor(F.col("offset") / RANGE_BYTES).alias("nth")).agg(F.min("offset").alias("begin"), F.sum("length").alias("size")).drop("nth")
+    ranges = materialize(ranges, "ranges")
+    tasks = max(1, min(ranges.count(), 20_000))
 
     def run(batches):
         fs, path = file_system(folder)
         for pdf in batches:
-            for name in pdf["file"]:
-                with fs.open_input_stream(f"{path}/{name}", compression=None) as stream:
+            for name, begin, size in zip(pdf["file"], pdf["begin"], pdf["size"], strict=True):
+                with fs.open_input_file(f"{path}/{name}") as file:
+                    file.seek(int(begin))
                     rows = []
-                    for data in members(stream):
+                    for data in members(file, int(size)):
                         fields, block = parse_record(data)
                         digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields["WARC-Type"]
-                        size = int(fields["X-Payload-Length"])
-                        if kind == "response" and (len(block) != size or hashlib.sha256(block).hexdigest() != digest):
+                        length = int(fields["X-Payload-Length"])
+                        if kind == "response" and (len(block) != length or hashlib.sha256(block).hexdigest() != digest):
                             raise ValueError(f"{fields['WARC-Record-ID']} in {name} is damaged")
-                        rows.append((page_of(fields["WARC-Record-ID"]), size, digest, kind, page_of(fields.get("WARC-Refers-To")), fields["WARC-Target-URI"]))
+                        rows.append((page_of(fields["WARC-Record-ID"]), length, digest, kind, page_of(fields.get("WARC-Refers-To")), fields["WARC-Target-URI"]))
                         if len(rows) == 10_000:
                             yield frame(rows)
                             rows = []
@@ -172,7 +189,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"])
         return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return files.repartition("file").mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string")
+    return ranges.repartition(tasks).mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string")
 
 
 def roundtrip(pages: DataFrame, folder: str) -> DataFrame:

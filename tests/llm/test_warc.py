@@ -20,9 +20,23 @@ def test_round_trip(spark):
     with fs.open_input_file(f"{path}/{one.file}") as data:
         (raw,) = warc.members(__import__("io").BytesIO(data.read_at(one.length, one.offset)))
     fields, block = warc.parse_record(raw)
-    assert block == other.encode() and fields["WARC-Record-ID"] == "<urn:page:4>"
+    assert block == other.encode() and fields["WARC-Record-ID"].startswith("<urn:page:4:") and warc.page_of(fields["WARC-Record-ID"]) == 4
 
 
 def test_empty(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.roundtrip(empty, scratch(spark, "test-warc")).count() == 0
+
+
+def test_ranges_and_repeated_ids(spark, monkeypatch):
+    """Archives are read in ranges of whole records by several tasks, and pages of one id and different payloads have records of their own."""
+    monkeypatch.setattr(warc, "RANGE_BYTES", 2000)
+    rows = [(i // 2, "u", f"page {i} " * 200) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    folder = scratch(spark, "test-warc")
+    index = warc.write(pages, folder)
+    got = warc.read(spark, folder)
+    assert got.rdd.getNumPartitions() > index.select("file").distinct().count()
+    found = got.collect()
+    assert sorted((r.page_id, r.payload_digest) for r in found) == sorted((i, hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows)
+    assert len({warc.record_id(i, hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows}) == len(rows)
