@@ -1,12 +1,17 @@
 """Language-model scores from a log-bilinear model trained with noise-contrastive estimation.
 
-Symbols are the text end, the most frequent training words, and classes (by their last letters) that all other words fall in. A symbol's
+Symbols are the text end, classes (by their last letters) of words, and words of their own: all those with LEAST_COUNT
+training tokens and a thirtieth of the square root of all, so the vocabulary grows with the corpus (up to HEAD). A symbol's
 logit is the product of its output vector with the sum of the two preceding symbols' input vectors, each scaled by its position's weights, plus a
-bias. Training is numpy: a bounded warm start on the driver, then one pass over every training text, in which each task
-goes on from the warm parameters over its own texts and the results are averaged by tokens. Scoring normalises with
-batched matrix products over the distinct contexts of a batch. A word outside the symbols has its class's probability times its smoothed
+bias. Symbols stand in groups by frequency: the model gives a group's probability, then a symbol's within its group, so normalising
+costs two small batched matrix products whatever the vocabulary. The most frequent symbols have input vectors of their own; other
+words are seen by their class as contexts. A word outside the vocabulary has its class's probability times its smoothed
 share of the class's training tokens, so the counts behind every score cover the whole corpus.
 
+Training is numpy in tasks and goes over every training text. Texts are dealt by a hash to rounds and, in each round, to shards of about CELL
+tokens, as many shards as rounds: all shards of a round go on from the same parameters, and what they learn is averaged, each row by how
+often a shard met it. What a text is dealt to depends on its content and id alone, so the model doesn't depend on Spark's partitions.
+
 Counts are kept by the 64-bit XXH64 of a word (two words of a billion share one with probability 0.03, and then share a count).
 The HEAD most frequent hashes are broadcast; rarer words are joined with the count table by hash. A rare word has at most
 1/HEAD of all tokens, so no key of that join is hot.
@@ -15,7 +20,7 @@ The HEAD most frequent hashes are broadcast; rarer words are joined with the cou
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, crc_fold, let_go, materialize, slices
+from .common import binary_texts, crc_fold, in_arrow, let_go, materialize, slices
 
-#: Symbols in all, classes among them, vector width, words whose counts are broadcast.
-SYMBOLS, CLASSES, WIDTH, HEAD = 1024, 128, 16, 1 << 17
-#: Training: tokens of a step, shared noise symbols, step size, texts of the warm start and its epochs.
-BATCH, NOISE, RATE, WARM_TEXTS, WARM_EPOCHS = 4096, 48, 0.1, 1500, 3
+#: Suffix classes, vector width, words whose counts are broadcast, training tokens that a word of the vocabulary has at least.
+CLASSES, WIDTH, HEAD, LEAST_COUNT = 128, 16, 1 << 17, 10
+#: Symbols with an input vector of their own, symbols of a group.
+INPUTS, GROUP = 1024, 256
+#: Training: tokens of a shard in a round, passes over a corpus below that, most tokens of a step, noise groups and noise symbols of each group, step size.
+CELL, MOST_PASSES, BATCH, NOISE_GROUPS, NOISE, RATE = 4_000_000, 4, 16384, 16, 24, 0.1
 #: Contexts whose logits are held at once, words a task keeps between batches.
-CONTEXTS_AT_ONCE, MOST_WORDS = 4096, 600_000
+CONTEXTS_AT_ONCE, MOST_WORDS = 8192, 600_000
 END = 0
 END_HASH = xxhash.xxh64_intdigest(b"", 42) - (1 << 64 if xxhash.xxh64_intdigest(b"", 42) >> 63 else 0)
 
@@ -55,105 +62,175 @@ class Tables:
     distinct: int
     share: np.ndarray  # log10 of the smoothed size of each symbol's class; 0 for whole words
     prior: np.ndarray  # smoothed probability of each symbol in training
+    context: np.ndarray  # each symbol as a context: itself or its class
 
     @property
     def base(self) -> float:
         return float(np.log10(self.tokens + 0.5 * (self.distinct + 1)))
 
 
+@dataclass
+class Noise:
+    """The noise distributions: groups by their share, and symbols by their share of the group."""
+
+    log_group: np.ndarray
+    log_within: np.ndarray
+    group_edge: np.ndarray
+    within_edge: np.ndarray  # group number + share of the group up to a symbol
+
+    @classmethod
+    def of(cls, prior: np.ndarray) -> Noise:
+        group = np.arange(len(prior)) // GROUP
+        size = np.bincount(group, prior)
+        within = prior / size[group]
+        start = np.r_[0, np.cumsum(prior)[:-1]]
+        first = start[group * GROUP]
+        edge = group + np.minimum((start + prior - first) / size[group], 1)
+        return cls(np.log(size / size.sum()).astype(np.float32), np.log(within).astype(np.float32), np.cumsum(size) / size.sum(), edge)
+
+
 @dataclass
 class Model:
     inputs: np.ndarray
     outputs: np.ndarray
     bias: np.ndarray
-    near: np.ndarray
-    far: np.ndarray
+    groups: np.ndarray
+    group_bias: np.ndarray
+    scale: np.ndarray  # weights of the nearer and the farther context
 
     @classmethod
     def start(cls, prior: np.ndarray, seed: int = 1) -> Model:
-        rng = np.random.default_rng(seed)
-        small = lambda: rng.normal(0, 0.1, (len(prior), WIDTH)).astype(np.float32)
-        return cls(small(), small(), np.log(prior).astype(np.float32), np.ones(WIDTH, np.float32), np.full(WIDTH, 0.5, np.float32))
-
-    def arrays(self) -> list[np.ndarray]:
-        return [self.inputs, self.outputs, self.bias[:, None], np.broadcast_to(self.near, self.inputs.shape), np.broadcast_to(self.far, self.inputs.shape)]
+        rng, noise = np.random.default_rng(seed), Noise.of(prior)
+        small = lambda n: rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
+        scale = np.repeat(np.array([[1.0], [0.5]], np.float32), WIDTH, axis=1)
+        zero = lambda n: np.zeros((n, WIDTH), np.float32)  # noqa: E731 - so that it starts from the shares of the training tokens
+        return cls(small(min(INPUTS, len(prior))), zero(len(prior)), noise.log_within.copy(), zero(len(noise.log_group)), noise.log_group.copy(), scale)
 
     def copy(self) -> Model:
-        return Model(*(x.copy() for x in (self.inputs, self.outputs, self.bias, self.near, self.far)))
+        return Model(*(getattr(self, f.name).copy() for f in fields(self)))
+
+    def hidden(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return self.inputs[first] * self.scale[0] + self.inputs[second] * self.scale[1]
 
     def logp(self, first: np.ndarray, second: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Normalised natural log-probabilities of targets after (second, first)."""
-        n = len(self.bias)
-        codes, slot = np.unique(first * n + second, return_inverse=True)
-        h = self.inputs[codes // n] * self.near + self.inputs[codes % n] * self.far
-        norm = np.empty(len(codes), np.float32)
-        for at in range(0, len(codes), CONTEXTS_AT_ONCE):
-            x = h[at: at + CONTEXTS_AT_ONCE] @ self.outputs.T + self.bias
-            top = x.max(axis=1)
-            norm[at: at + CONTEXTS_AT_ONCE] = np.log(np.exp(x - top[:, None]).sum(axis=1)) + top
+        """Normalised natural log-probabilities of targets after the contexts (second, first)."""
+        n, group = len(self.inputs), target // GROUP
+        codes = first.astype(np.int64) * n + second
+        keys, slot = np.unique(group.astype(np.int64) * n * n + codes, return_inverse=True)
+        own, code = keys // (n * n), keys % (n * n)
+        edges = np.searchsorted(own, np.arange(len(self.groups) + 1))
+        norm = np.empty(len(keys), np.float64)
+        for g in np.flatnonzero(np.diff(edges)).tolist():
+            vectors, bias = self.outputs[g * GROUP: (g + 1) * GROUP].T, self.bias[g * GROUP: (g + 1) * GROUP]
+            for at in range(edges[g], edges[g + 1], CONTEXTS_AT_ONCE):
+                part = code[at: min(at + CONTEXTS_AT_ONCE, edges[g + 1])]
+                norm[at: at + len(part)] = _log_sum(self.hidden(part // n, part % n) @ vectors + bias)
+        pairs, where = np.unique(code, return_inverse=True)
+        order = np.argsort(where, kind="stable")
+        edges = np.searchsorted(where[order], np.arange(0, len(pairs) + CONTEXTS_AT_ONCE, CONTEXTS_AT_ONCE))
+        for k, at in enumerate(range(0, len(pairs), CONTEXTS_AT_ONCE)):
+            part, some = pairs[at: at + CONTEXTS_AT_ONCE], order[edges[k]: edges[k + 1]]
+            logits, line = self.hidden(part // n, part % n) @ self.groups.T + self.group_bias, where[some] - at
+            chosen = logits[line, own[some]]
+            norm[some] += _log_sum(logits)[line] - chosen
         out = np.empty(len(target), np.float64)
         for at in range(0, len(target), 1 << 16):
-            s, t = slot[at: at + (1 << 16)], target[at: at + (1 << 16)]
-            out[at: at + (1 << 16)] = np.einsum("ij,ij->i", h[s], self.outputs[t]) + self.bias[t] - norm[s]
+            t = target[at: at + (1 << 16)]
+            h = self.hidden(first[at: at + (1 << 16)], second[at: at + (1 << 16)])
+            out[at: at + (1 << 16)] = np.einsum("ij,ij->i", h, self.outputs[t]) + self.bias[t] - norm[slot[at: at + (1 << 16)]]
         return out
 
 
-def _add_rows(into: np.ndarray, total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """An adagrad step for the rows `at`, which may repeat."""
-    order = np.argsort(at, kind="stable")
-    keys = at[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    g = np.add.reduceat(rows[order], starts, axis=0)
-    keys = keys[starts]
-    total[keys] += np.square(g).mean(axis=1)
-    into[keys] -= RATE * g / np.sqrt(total[keys])[:, None]
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(axis=1)
+    x -= top[:, None]
+    np.exp(x, out=x)
+    return np.log(x.sum(axis=1)) + top
 
 
-class Trainer:
-    """Noise-contrastive steps with noise symbols shared by the tokens of a step."""
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    def __init__(self, model: Model, prior: np.ndarray, seed: int):
-        self.model, self.rng, self.tokens = model, np.random.default_rng(seed), 0
-        self.edge = np.cumsum(prior) / prior.sum()
-        self.noise = np.log(prior / prior.sum() * NOISE).astype(np.float32)
-        n = len(prior)
-        self.sums = [np.full(n, 1.0, np.float32), np.full(n, 1.0, np.float32)]
-        self.bias_sum, self.scale_sum = np.full(n, 1.0, np.float32), np.ones(2, np.float32)
+
+class Trainer:
+    """Noise-contrastive steps: groups against groups, symbols against symbols of their group; noise is shared by the tokens of a step."""
+
+    def __init__(self, model: Model, noise: Noise, seed: int, sums: Model | None = None, batch: int = BATCH):
+        self.model, self.noise, self.rng, self.batch = model, noise, np.random.default_rng(seed), batch
+        ones = lambda a: np.ones(a.shape[:1], np.float32)
+        self.sums = Model(*(ones(getattr(model, f.name)) for f in fields(model))) if sums is None else sums
+        self.met = Model(*(np.zeros(getattr(model, f.name).shape[:1], np.int64) for f in fields(model)))
+
+    def _move(self, name: str, at: np.ndarray, rows: np.ndarray) -> None:
+        """An adagrad step for the rows `at`, which may repeat."""
+        into, total = getattr(self.model, name), getattr(self.sums, name)
+        order = np.argsort(at, kind="stable")
+        keys = at[order]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        g = np.add.reduceat(rows[order], starts, axis=0)
+        keys = keys[starts]
+        total[keys] += np.square(g).mean(axis=1) if g.ndim == 2 else np.square(g)
+        rate = RATE / np.sqrt(total[keys])
+        into[keys] -= g * (rate[:, None] if g.ndim == 2 else rate)
+        getattr(self.met, name)[keys] += np.diff(np.r_[starts, len(at)])
 
     def step(self, first: np.ndarray, second: np.ndarray, target: np.ndarray) -> None:
-        m = self.model
+        m, noise, n = self.model, self.noise, np.float32(1 / np.sqrt(len(target)))
+        order = np.argsort(target // GROUP, kind="stable")
+        first, second, target = first[order], second[order], target[order]
+        group = target // GROUP
         a, b = m.inputs[first], m.inputs[second]
-        h = a * m.near + b * m.far
-        drawn = np.minimum(np.searchsorted(self.edge, self.rng.random(NOISE)), len(self.edge) - 1)
-        q, qn = m.outputs[target], m.outputs[drawn]
-        real = np.einsum("ij,ij->i", h, q) + m.bias[target] - self.noise[target]
-        fake = h @ qn.T + m.bias[drawn] - self.noise[drawn]
-        g = -1 / (1 + np.exp(np.clip(real, -30, 30)))
-        f = 1 / (1 + np.exp(-np.clip(fake, -30, 30)))
-        dh = g[:, None] * q + f @ qn
-        dq, dqn = g[:, None] * h, f.T @ h
-        scale = np.float32(1 / np.sqrt(len(target)))
-        near, far = (dh * a).sum(axis=0), (dh * b).sum(axis=0)
-        _add_rows(m.outputs, self.sums[1], np.r_[target, drawn], np.vstack([dq, dqn]) * scale)
-        _add_rows(m.inputs, self.sums[0], np.r_[first, second], np.vstack([dh * m.near, dh * m.far]) * scale)
-        db = (np.bincount(target, g, len(m.bias)) + np.bincount(drawn, f.sum(axis=0), len(m.bias))).astype(np.float32) * scale
-        self.bias_sum += db**2
-        m.bias -= RATE * db / np.sqrt(self.bias_sum)
-        for k, (v, d) in enumerate(((m.near, near * scale), (m.far, far * scale))):
-            self.scale_sum[k] += float(np.square(d).mean())
-            v -= RATE * d / np.sqrt(self.scale_sum[k])
-        self.tokens += len(target)
-
-    def run(self, symbols: np.ndarray) -> None:
-        first, second = contexts(symbols)
-        for at in range(0, len(symbols), BATCH):
-            self.step(first[at: at + BATCH], second[at: at + BATCH], symbols[at: at + BATCH])
-
-
-def contexts(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols one and two places before each, END before a text's begin."""
-    first = np.r_[END, symbols[:-1]]
-    second = np.where(first == END, END, np.r_[END, END, symbols[:-2]][: len(symbols)])
+        h = a * m.scale[0] + b * m.scale[1]
+        # groups
+        drawn = np.minimum(np.searchsorted(noise.group_edge, self.rng.random(NOISE_GROUPS)), len(m.groups) - 1)
+        q, qn, log_k = m.groups[group], m.groups[drawn], np.float32(np.log(NOISE_GROUPS))
+        real = -_sigmoid(-(np.einsum("ij,ij->i", h, q) + m.group_bias[group] - noise.log_group[group] - log_k))
+        fake = _sigmoid(h @ qn.T + m.group_bias[drawn] - noise.log_group[drawn] - log_k)
+        dh = real[:, None] * q + fake @ qn
+        group_rows, group_at = np.vstack([real[:, None] * h, fake.T @ h]) * n, np.r_[group, drawn]
+        group_bias = np.r_[real, fake.sum(axis=0)] * n
+        # symbols, each group's against noise of its own
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        ends = np.r_[starts[1:], len(group)]
+        mine = group[starts]
+        drawn = np.searchsorted(noise.within_edge, mine[:, None] + self.rng.random((len(mine), NOISE)))
+        drawn = np.minimum(drawn, np.minimum((mine[:, None] + 1) * GROUP, len(m.bias)) - 1)
+        q, log_k = m.outputs[target], np.float32(np.log(NOISE))
+        qn, off = m.outputs[drawn], m.bias[drawn] - noise.log_within[drawn] - log_k
+        one = -_sigmoid(-(np.einsum("ij,ij->i", h, q) + m.bias[target] - noise.log_within[target] - log_k))
+        other = np.empty((len(h), NOISE), np.float32)
+        for k, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+            other[lo:hi] = h[lo:hi] @ qn[k].T + off[k]
+        other = _sigmoid(other).astype(np.float32)
+        dh += one[:, None] * q
+        back = np.empty(qn.shape, np.float32)
+        for k, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+            dh[lo:hi] += other[lo:hi] @ qn[k]
+            back[k] = other[lo:hi].T @ h[lo:hi]
+        rows = np.vstack([one[:, None] * h, back.reshape(-1, WIDTH)]) * n
+        at = np.r_[target, drawn.ravel()]
+        bias = np.r_[one, np.add.reduceat(other, starts, axis=0).ravel()] * n
+        scale = np.stack([(dh * a).sum(axis=0), (dh * b).sum(axis=0)]) * n
+        inputs = np.vstack([dh * m.scale[0], dh * m.scale[1]]) * n
+        self._move("groups", group_at, group_rows)
+        self._move("group_bias", group_at, group_bias)
+        self._move("outputs", at, rows)
+        self._move("bias", at, bias)
+        self._move("inputs", np.r_[first, second], inputs)
+        self._move("scale", np.array([0, 1]), scale)
+
+    def run(self, symbols: np.ndarray, context: np.ndarray) -> None:
+        first, second = contexts(symbols, context)
+        for at in range(0, len(symbols), self.batch):
+            part = slice(at, at + self.batch)
+            self.step(first[part], second[part], symbols[part])
+
+
+def contexts(symbols: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols one and two places before each, as contexts; END before a text's begin."""
+    seen = context[symbols]
+    first = np.r_[END, seen[:-1]]
+    second = np.where(first == END, END, np.r_[END, END, seen[:-2]][: len(symbols)])
     return first, second
 
 
@@ -205,7 +282,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 h, c, n = np.r_[hashes(words), END_HASH], np.r_[classes(words), 0], np.r_[np.array(list(found.values()), np.int64), len(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.astype(np.int32)), pa.array(n.astype(np.int64))], names=["h", "cls", "n"])
 
-    found = docs.select(F.col("text").alias("t")).mapInArrow(run, "h long, cls int, n long")
+    found = in_arrow(docs.select(F.col("text").alias("t")), run, "h long, cls int, n long")
     return found.groupBy("h").agg(F.min("cls").alias("cls"), F.sum("n").alias("n"))
 
 
@@ -215,15 +292,15 @@ def tables_of(counts: DataFrame) -> Tables | None:
     if not total.n:
         return None
     head = counts.orderBy(F.desc("n"), "h").limit(HEAD).toArrow()
-    h, n = head.column("h").to_numpy(), head.column("n").to_numpy()
-    words = [i for i in range(len(h)) if h[i] != END_HASH][: SYMBOLS - 1 - CLASSES]
+    h, n, cls = head.column("h").to_numpy(), head.column("n").to_numpy(), head.column("cls").to_numpy().astype(np.int64)
+    least = max(LEAST_COUNT, total.n**0.5 / 30)
+    words = np.flatnonzero((h != END_HASH) & (n >= least))
     symbol = np.zeros(len(h), np.int64)
     symbol[words] = np.arange(CLASSES + 1, CLASSES + 1 + len(words))
     by_class = {r.cls: (r.n, r.v) for r in counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     size, kinds, weight = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1), np.zeros(CLASSES + 1 + len(words))
     for c, (a, b) in by_class.items():
         size[c], kinds[c] = a, b
-    cls = head.column("cls").to_numpy()
     np.subtract.at(size, cls[words], n[words])
     np.subtract.at(kinds, cls[words], 1)
     weight[: CLASSES + 1] = size
@@ -231,58 +308,95 @@ def tables_of(counts: DataFrame) -> Tables | None:
     share = np.zeros(len(weight))
     share[1: CLASSES + 1] = np.log10(size[1:] + 0.5 * (kinds[1:] + 1))
     prior = (weight + 0.5) / (weight + 0.5).sum()
+    context = np.arange(len(weight))
+    context[INPUTS:] = cls[words][INPUTS - CLASSES - 1:]
     order = np.argsort(h)
-    return Tables(h[order], n[order], symbol[order], int(total.n), int(total.v), share, prior)
+    return Tables(h[order], n[order], symbol[order], int(total.n), int(total.v), share, prior, context)
 
 
-def train(docs: DataFrame, tables: Tables) -> Model:
-    """The warm start, then one averaged pass over all training texts."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(tables)
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("warm")), "doc_id").limit(WARM_TEXTS)
-    few = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "text")
+def shards_of(docs: DataFrame, sent, cells: int) -> DataFrame:
+    """(round, shard, h, s): the symbols of every text, dealt by a hash of its id and content to `cells` x `cells` parts."""
 
     def symbols(batches):
         let_go()
         reader = Reader(sent.value)
         for whole in batches:
-            for batch in slices(whole, "text"):
-                for k, t in zip(batch.column("doc_id"), binary_texts(batch.column("text")), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int64()), pa.array([reader.read([t])[2].astype(np.int16).tobytes()], pa.binary())], names=["k", "s"])
+            for batch in slices(whole, "t"):
+                _, sizes, flat = reader.read(binary_texts(batch.column("t")))
+                bounds = np.r_[0, np.cumsum((sizes + 1) * 4)].astype(np.int64)
+                data = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(flat.astype("<i4").tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("h"), data.cast(pa.binary())], names=["h", "s"])
 
-    got = few.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(symbols, "k long, s binary").toPandas()
-    model = Model.start(tables.prior)
-    trainer = Trainer(model, tables.prior, 1)
-    if len(got):
-        stream = np.frombuffer(b"".join(bytes(x) for x in got.sort_values(["k", "s"])["s"]), np.int16).astype(np.int64)
-        for _ in range(WARM_EPOCHS):
-            trainer.run(stream)
-    warm = spark.sparkContext.broadcast((model, trainer.sums, trainer.bias_sum, trainer.scale_sum))
-    width = 4 * WIDTH + 1
+    coded = in_arrow(docs.select(F.xxhash64("doc_id", "text").alias("h"), F.col("text").alias("t")), symbols, "h long, s binary")
+    part = lambda n: F.pmod(F.xxhash64("h", F.lit(n)), F.lit(cells)).cast("int")
+    coded = coded.select(part(1).alias("round"), part(2).alias("shard"), "h", "s")
+    return materialize(coded if cells == 1 else coded.repartition("round", "shard").sortWithinPartitions("round"), "shards")
 
-    def run(batches):
-        from pyspark import TaskContext
 
-        model, sums, bias_sum, scale_sum = warm.value
-        own = Trainer(model.copy(), sent.value.prior, TaskContext.get().partitionId() + 2)
-        own.sums, own.bias_sum, own.scale_sum = [x.copy() for x in sums], bias_sum.copy(), scale_sum.copy()
-        let_go()
-        reader = Reader(sent.value)
-        for whole in batches:
-            for batch in slices(whole, "t"):
-                own.run(reader.read(binary_texts(batch.column("t")))[2])
-        if own.tokens:
-            rows = np.hstack(own.model.arrays()).astype(np.float64) * own.tokens
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(len(rows)), pa.int32()), pa.array([float(own.tokens)] * len(rows)), pa.array(list(rows), pa.list_(pa.float64())),
-            ], names=["i", "w", "v"])
+ROWS = "kind int, i int, met double, total float, v array<float>"
+
 
-    parts = docs.select(F.col("text").alias("t")).mapInArrow(run, "i int, w double, v array<double>")
-    parts = parts.select("i", "w", *[F.col("v")[k].alias(f"v{k}") for k in range(width)])
-    mean = parts.groupBy("i").agg(*[(F.sum(f"v{k}") / F.sum("w")).alias(f"v{k}") for k in range(width)]).toPandas().sort_values("i")
-    x = mean.drop(columns="i").to_numpy().astype(np.float32)  # a row per symbol
-    a, b = WIDTH, 2 * WIDTH
-    return Model(x[:, :a].copy(), x[:, a:b].copy(), x[:, b].copy(), x[0, b + 1: b + 1 + a].copy(), x[0, b + 1 + a:].copy())
+def train(docs: DataFrame, tables: Tables) -> Model:
+    """As many rounds as shards, and each shard of a round in a task: the square root of the corpus in cells of CELL tokens.
+
+    A corpus below one cell is gone over up to MOST_PASSES times.
+    """
+    spark = docs.sparkSession
+    cells = int(np.ceil(np.sqrt(tables.tokens / CELL)))
+    rounds = cells if cells > 1 else int(np.clip(CELL // tables.tokens, 1, MOST_PASSES))
+    batch_tokens = int(np.clip(tables.tokens // 64, 1024, BATCH))
+    sent = spark.sparkContext.broadcast(tables)
+    parts = shards_of(docs, sent, cells)
+    model = Model.start(tables.prior)
+    sums = Trainer(model, Noise.of(tables.prior), 0).sums
+    names = [f.name for f in fields(Model)]
+    for number in range(rounds):
+        taught = spark.sparkContext.broadcast((model, sums))
+
+        def run(batches, taught=taught, number=number):
+            t, noise, own, shard, held, size = sent.value, Noise.of(sent.value.prior), None, None, [], 0
+            let_go()
+            for batch in batches:
+                for which, data in zip(batch.column("shard").to_pylist(), batch.column("s").to_pylist(), strict=True):
+                    if which != shard:
+                        if own is not None:
+                            yield from learned(own, held, t.context)
+                        start, before = taught.value
+                        own, shard, held, size = Trainer(start.copy(), noise, number * 1_000_003 + which, before.copy(), batch_tokens), which, [], 0
+                    held.append(data)
+                    size += len(data)
+                    if size >= 16 * BATCH:  # whole steps
+                        stream = np.frombuffer(b"".join(held), "<i4").astype(np.int64)
+                        own.run(stream, t.context)
+                        held, size = [], 0
+            if own is not None:
+                yield from learned(own, held, t.context)
+
+        def learned(own: Trainer, held: list[bytes], context: np.ndarray):
+            if held:
+                own.run(np.frombuffer(b"".join(held), "<i4").astype(np.int64), context)
+            for kind, name in enumerate(names):
+                met = getattr(own.met, name)
+                at = np.flatnonzero(met)
+                rows = getattr(own.model, name)[at]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(at), kind), pa.int32()), pa.array(at, pa.int32()), pa.array(met[at].astype(np.float64)), pa.array(getattr(own.sums, name)[at]),
+                    pa.array(list(rows.reshape(len(at), -1)), pa.list_(pa.float32())),
+                ], names=[x.split()[0] for x in ROWS.split(", ")])
+
+        mine = parts if cells == 1 else parts.filter(F.col("round") == number)
+        dealt = mine.repartitionByRange(cells, "shard") if cells > 1 else mine.coalesce(1)
+        found = in_arrow(dealt.sortWithinPartitions("shard", "h", "s").select("shard", "s"), run, ROWS)
+        v = [F.get("v", F.lit(k)) for k in range(WIDTH)]
+        mean = found.groupBy("kind", "i").agg(F.max("total").alias("total"), *[(F.sum(x * F.col("met")) / F.sum("met")).alias(f"v{k}") for k, x in enumerate(v)]).toPandas()
+        model, sums = model.copy(), sums.copy()
+        for kind, some in mean.groupby("kind"):  # at most a row for each row of the model
+            name, at = names[kind], some["i"].to_numpy()
+            getattr(sums, name)[at] = some["total"].to_numpy(np.float32)
+            into = getattr(model, name)
+            values = some[[f"v{k}" for k in range(WIDTH)]].to_numpy(np.float32)
+            into[at] = values if into.ndim == 2 else values[:, 0]
+    return model
 
 
 def score(docs: DataFrame, held_out=None) -> DataFrame:
@@ -315,7 +429,7 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
             for batch in slices(whole, "t"):
                 flat, sizes, symbols = reader.read(binary_texts(batch.column("t")))
                 n = len(sizes)
-                first, second = contexts(symbols)
+                first, second = contexts(symbols, t.context)
                 full = np.repeat(np.arange(n), sizes + 1)
                 logp = m.logp(first, second, symbols) / np.log(10) - t.share[symbols]
                 own = np.bincount(full, logp, n)
@@ -337,9 +451,9 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(h[new])), pa.ListArray.from_arrays(pa.array(bounds), pa.array(times.astype(np.int32))),
                 ], names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "own", "far", "times"])
 
-    fields = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, far array<long>, times array<int>"
+    columns = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, far array<long>, times array<int>"
     numbered = rows.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").alias("k"), F.col("held_out").alias("h"), F.col("text").alias("t"))
-    part = materialize(numbered.mapInArrow(run, fields), "scores")
+    part = materialize(in_arrow(numbered, run, columns), "scores")
     rare = part.select("rid", F.explode(F.arrays_zip("far", "times")).alias("x")).select("rid", F.col("x.far").alias("h"), F.col("x.times").alias("times"))
     rare = rare.join(counts.select("h", "n"), "h", "left").select("rid", "times", F.coalesce("n", F.lit(0)).alias("n"))
     sums = rare.groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("logs"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("met"))

@@ -75,14 +75,46 @@ def test_language_model(spark, clean, odd, none):
 def test_probabilities_are_normalised():
     prior = np.full(40, 1 / 40)
     model = lm.Model.start(prior)
-    trainer = lm.Trainer(model, prior, 1)
+    trainer = lm.Trainer(model, lm.Noise.of(prior), 1)
     for _ in range(60):
-        trainer.run(np.tile(np.array([0, 5, 6, 7]), 3000))
+        trainer.run(np.tile(np.array([0, 5, 6, 7]), 3000), np.arange(40))
     every = np.arange(40)
     p = np.exp(model.logp(np.full(40, 5), np.full(40, 0), every))
     assert abs(p.sum() - 1) < 1e-4 and p.argmax() == 6 and p[6] > 0.8
 
 
+def test_groups_are_normalised(monkeypatch):
+    """Probabilities over several groups add up to one, equal plain sums, and follow what was taught."""
+    monkeypatch.setattr(lm, "CONTEXTS_AT_ONCE", 7)
+    rng = np.random.default_rng(3)
+    n = 3 * lm.GROUP + 17
+    prior = 1 / np.arange(1, n + 1)
+    prior /= prior.sum()
+    model = lm.Model.start(prior)
+    trainer = lm.Trainer(model, lm.Noise.of(prior), 1)
+    context = np.where(np.arange(n) < len(model.inputs), np.arange(n), 1)
+    for _ in range(30):
+        trainer.run(np.tile(np.array([0, 5, 600, 7, 300]), 2000), context)
+    contexts = [(0, 5), (5, 600), (600, 7), (3, 4)]
+    first, second = (np.repeat([c[k] for c in contexts], n) for k in (1, 0))
+    p = np.exp(model.logp(first, second, np.tile(np.arange(n), 4))).reshape(4, n)
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-4) and p[0].argmax() == 600 and p[0, 600] > 0.5
+    h = model.hidden(np.array([5]), np.array([0]))[0].astype(np.float64)
+    groups = np.exp(model.groups @ h + model.group_bias)
+    for g in range(4):
+        own = np.exp(model.outputs[g * lm.GROUP: (g + 1) * lm.GROUP] @ h + model.bias[g * lm.GROUP: (g + 1) * lm.GROUP])
+        assert np.allclose(p[0, g * lm.GROUP: (g + 1) * lm.GROUP], own / own.sum() * groups[g] / groups.sum(), rtol=1e-3, atol=1e-9)
+    some = rng.integers(0, n, 500)
+    assert np.allclose(model.logp(np.full(500, 5), np.zeros(500, np.int64), some), np.log(p[0][some]), atol=1e-4)
+
+
+def test_scores_do_not_depend_on_partitions(spark, clean, monkeypatch):
+    """Rounds and shards are dealt by content: equal scores for one partition and eight, and for one shard and several rounds."""
+    monkeypatch.setattr(lm, "CELL", 1500)
+    one, eight = ({r.doc_id: r.score for r in lm.score(clean.repartition(n)).collect()} for n in (1, 8))
+    assert all(abs(one[i] - eight[i]) < 1e-6 * abs(one[i]) for i in one)
+
+
 def test_rare_words_are_joined(spark, clean, monkeypatch):
     whole = {r.doc_id: r.base_score for r in lm.score(clean).collect()}
     monkeypatch.setattr(lm, "HEAD", 8)
