@@ -8,7 +8,7 @@ suffices is calibrated on random pairs of exactly the least similarity, through
 RECALL of them pass; nearer pairs collide more often. Random directions treat all orientations alike, so the calibration
 holds for any data of that dimension.
 
-Equal vectors are one representative with a multiplicity. A list longer than MOST_IN_LIST is compared in blocks dealt to
+Vectors of one direction are one representative with a multiplicity. A list longer than MOST_IN_LIST is compared in blocks dealt to
 different tasks.
 """
 
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .components import components
 
 #: Random directions, strongest directions that file a vector, share of threshold pairs that calibration keeps.
@@ -167,18 +167,23 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
 
     A vector that is null, empty, all zero or holds null or non-finite components has no link and is its own component. Vectors of different
     lengths never link. n_links counts the other rows linked directly, copies included; component_id is the least vec_id
-    that links reach. Rows with a null id are not linked (component null, kept false). Rows of equal
-    vectors are recognised by two hashes of the vector (96 bits).
+    that links reach. Rows with a null id are not linked (component null, kept false). Rows of one
+    direction are recognised by two hashes of the vector over its largest component (96 bits).
     """
     x = F.col(column)
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), x.alias("embedding"))
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | ~F.exists("embedding", lambda v: v != 0)
     good = F.coalesce(~bad & (F.size("embedding") > 0), F.lit(False)) & F.col("vec_id").isNotNull()
-    marked = rows.select("vec_id", good.alias("good"), F.when(good, F.xxhash64("embedding")).alias("h1"), F.when(good, F.hash("embedding")).alias("h2"))
-    classes = marked.filter("good").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    # vectors of one direction are one: scaled by their largest component, copies times a power of two are equal to the bit
+    top = F.array_max(F.transform("embedding", F.abs))
+    unit = F.transform("embedding", lambda v: v.cast("double") / top)
+    small_batches(vectors.sparkSession)
+    fine = rows.filter(good).select("vec_id", unit.alias("embedding"))
+    fine = fine.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"))
+    classes = fine.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "classes")
-    hashed = rows.select(F.col("vec_id").alias("rep"), "embedding", F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"))
-    reps = materialize(hashed.join(classes.select("rep", "h1", "h2"), ["rep", "h1", "h2"], "left_semi").dropDuplicates(["rep", "h1", "h2"]).select("rep", "embedding"), "reps")
+    reps = fine.withColumnRenamed("vec_id", "rep").join(classes.select("rep", "h1", "h2"), ["rep", "h1", "h2"], "left_semi").dropDuplicates(["rep", "h1", "h2"]).select("rep", "embedding")
+    reps = materialize(reps, "reps")
     links = materialize(near_pairs(reps, least).select("a", "b"), "near")
     weight = classes.select(F.col("rep").alias("b"), "copies")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -187,6 +192,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
     named = classes.join(degree, classes.rep == degree.a, "left").join(found, classes.rep == found.node, "left").select(
         "h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
-    out = marked.join(named, ["h1", "h2"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    out = fine.join(named, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    apart = rows.filter(~good).select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))  # no join: they would share one key
+    out = out.unionByName(apart)
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
