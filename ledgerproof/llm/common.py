@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import pickle
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -83,6 +84,17 @@ def where_text(docs: DataFrame, decide) -> DataFrame:
     return docs.filter(F.arrow_udf(good, "boolean", ArrowUDFType.SCALAR_ITER)(F.col("text")))
 
 
+def in_one_task(rows: DataFrame, make):
+    """What `make` builds from the Arrow batches of a bounded sample, in one task: the driver receives the result alone."""
+
+    def run(batches):
+        let_go()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(list(batches)))], pa.binary())], names=["made"])
+
+    got = in_arrow(rows.coalesce(1), run, "made binary").first()
+    return make([]) if got is None else pickle.loads(got.made)
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a Hadoop-style URI, for tasks that write their own formats."""
     from pyarrow import fs

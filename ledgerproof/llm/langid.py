@@ -2,7 +2,7 @@
 
 A text's vector is the mean of the embeddings of its byte n-grams (letters in lower case, all else one blank,
 so that n-grams see where words begin and end). Embeddings and softmax are trained together by stochastic gradient descent in
-numpy on a bounded sample of labelled rows; a held-back part of the sample gives the temperature of the softmax and what is
+numpy on a bounded sample of labelled rows, in one task; a held-back part of the sample gives the temperature of the softmax and what is
 rejected. A text of an unlearned language may lean to one label, and one of several learned languages to none, so two limits are calibrated: the
 confidence (over held-back texts and mixtures of them) and how usual the n-grams are in the training sample, whatever the label.
 As both layers are linear, scoring adds up one row of class scores per n-gram: with few languages the table (embeddings @ weights) has a column
@@ -16,12 +16,11 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, in_arrow, let_go, slices, where_text
+from .common import crc_fold, in_arrow, in_one_task, let_go, slices, where_text
 from .hashing import byte_grams
 
 #: n-gram lengths in bytes, hash buckets and embedding width.
@@ -199,22 +198,19 @@ def calibrate(model: Model, texts: list[bytes], y: np.ndarray, rng: np.random.Ge
     model.least_usual = float(np.quantile(model.deviations(every, n), REJECTED)) - 1.0  # a standard deviation beyond: few texts give the quantile
 
 
-def sample(docs: DataFrame, most: int = MOST_ROWS) -> pd.DataFrame:
-    """Labelled rows outside the held-out fold, at most `most` different texts for each lang (fewer with many langs: ALL_ROWS in all).
+def sample(docs: DataFrame, most: int = MOST_ROWS) -> tuple[DataFrame, int]:
+    """(lang, h, text, place) of labelled rows outside the held-out fold, at most `most` different texts for each lang (fewer with many langs: ALL_ROWS in all), and that number.
 
     Texts are counted by lang (approximately, so hashes aren't shuffled); then rows whose hash of id and text lies below a threshold are
     taken, which needs no sort, and equal texts count once. So neither a repeated id nor a repeated text makes the sample
-    larger or empty. Rows without an id are in no held-out fold and teach. Text windows, not whole long texts, travel to the driver: at most
-    WINDOWS x WINDOW characters a row.
+    larger or empty. Rows without an id are in no held-out fold and teach. Of a long text there are windows: WINDOWS x WINDOW characters at most.
     """
     held = F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False))
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held).select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
     counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.03).alias("n")).limit(MOST_LABELS + 1).collect()
     if len(counts) > MOST_LABELS:
         raise ValueError(f"lang has more than {MOST_LABELS} values: these are no languages")
-    if not counts:
-        return pd.DataFrame({"text": [], "lang": []})
-    most = max(1, min(most, ALL_ROWS // len(counts)))
+    most = max(1, min(most, ALL_ROWS // max(1, len(counts))))
     shares = [(r.lang, min(1 << 30, int((1 << 30) * 0.85 * most / r.n)) if r.n > most else 1 << 30) for r in counts]
     limits = docs.sparkSession.createDataFrame(shares, "lang string, upto long")  # at most MOST_LABELS rows
     rows = rows.withColumn("lang", F.col("lang").cast("string")).withColumn("place", F.pmod(F.xxhash64("h", F.lit("sample")), F.lit(1 << 30)))
@@ -223,13 +219,21 @@ def sample(docs: DataFrame, most: int = MOST_ROWS) -> pd.DataFrame:
     windows = F.concat_ws(" ", *[F.substr("text", (step * k + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS)])
     short = F.when(n <= WINDOW * WINDOWS, F.col("text")).otherwise(windows)
     some = rows.join(F.broadcast(limits), "lang").filter("place < upto").groupBy("lang", "h").agg(F.first(short).alias("text"), F.first("place").alias("place"))
-    got = some.orderBy("place", "h", "lang").limit(2 * ALL_ROWS).toPandas()
-    return got.groupby("lang", sort=False).head(most)[["text", "lang"]]
+    return some.orderBy("place", "h", "lang").limit(2 * ALL_ROWS), most
 
 
 def learn(docs: DataFrame) -> Model:
-    got = sample(docs)
-    return fit(got["text"].tolist(), got["lang"].tolist())
+    """Fit on the sample, in a task."""
+    rows, most = sample(docs)
+
+    def make(batches: list[pa.RecordBatch]) -> Model:
+        if not batches:
+            return fit([], [])
+        got = pa.Table.from_batches(batches).to_pandas().sort_values(["place", "h", "lang"], kind="stable")
+        got = got.groupby("lang", sort=False).head(most)
+        return fit(got["text"].tolist(), got["lang"].tolist())
+
+    return in_one_task(rows, make)
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:

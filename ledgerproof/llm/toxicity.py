@@ -4,7 +4,7 @@ Terms are a text's distinct words and the first three to six letters of each (so
 adds linear weights and, for each pair of terms that stand together, the product of their factors: an insult weighs more
 next to a group's name. A sparse linear fit over every term seen in a few rows of a bounded, labelled sample, whose penalty alone
 decides, picks terms with an effect of their own; those with an effect only next to another one are picked by the score of their pair on what
-that fit leaves over. All others have no weight, so long clean texts don't add up noise. Fitting is numpy on the driver; scoring reads every whole text.
+that fit leaves over. All others have no weight, so long clean texts don't add up noise. Fitting is numpy in one task; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, held, in_arrow, materialize, slices, texts_of, where_text
+from .common import crc_fold, held, in_arrow, in_one_task, materialize, slices, texts_of, where_text
 from .hashing import mix
 
 #: Hash buckets, and prefix lengths in letters. Words and beginnings of PAIRED letters have the lower half of the buckets: these are screened in pairs.
@@ -29,7 +29,7 @@ MOST_ROWS, MOST_TERMS, LEAST_ROWS = 4000, 8_000_000, 4
 #: Penalty of a term in standard deviations of its gradient, and steps of the sparse fit.
 PENALTY, STEPS = 1.9, 150
 #: Score at which a pair counts (no pair in fewer than its square of rows can reach it), what its rows must have left over in all, and terms compared at once.
-PAIR_Z, PAIR_LEFT, PAIR_BLOCK = 6.0, 3.0, 2048
+PAIR_Z, PAIR_LEFT, PAIR_BLOCK = 6.0, 3.0, 512
 PAIR_ROWS = int(PAIR_Z**2)
 FACTORS, EPOCHS, RATE, BATCH, L1, L2 = 8, 30, 0.1, 256, 1e-3, 1e-4
 #: Words whose weighed terms a task keeps between batches.
@@ -168,7 +168,7 @@ def _paired(at: np.ndarray, sizes: np.ndarray, left: np.ndarray, n: int, may: np
     What either term has left over on average is taken off. All pairs of such terms are looked at, a block of terms by another, by batched matrix products.
     """
     often = np.flatnonzero(may & (np.bincount(at, minlength=n) >= PAIR_ROWS))
-    who = np.repeat(np.arange(len(sizes)), sizes)
+    who = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     drawn = np.bincount(at, np.random.default_rng(0).random(len(sizes))[who], n)
     often = often[np.unique(np.round(drawn[often], 9), return_index=True)[1]]  # terms of the same rows are one
     place = np.full(n, -1, np.int64)
@@ -253,12 +253,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray | None =
     return m
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(terms, toxic, weight) of labelled rows outside the held-out fold, at most `most` ids of each class.
+def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, toxic, place, terms) of labelled rows outside the held-out fold, at most `most` ids of each class, and how many ids each class has.
 
     A hash of the id picks ids below a threshold, so nothing is sorted; conflicting labels of one id count as toxic, and of several rows of
     one id one teaches (the least by hash of its text). The ids, at most 2 x `most`, are broadcast to the documents; whole texts become
-    distinct term buckets there. With very long texts fewer ids are taken, so that at most MOST_TERMS buckets reach the driver.
+    distinct term buckets there. With very long texts fewer ids are taken, so that there are MOST_TERMS buckets at most.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -285,18 +285,27 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[l
     sizes = one.select("doc_id", "place", F.size("terms").alias("n")).toPandas().sort_values(["place", "doc_id"])  # at most 2 x `most` rows
     fits = sizes[sizes["n"].cumsum() <= MOST_TERMS]
     upto = int(fits["place"].max()) if len(fits) else -1
-    got = one.filter(F.col("place") <= (upto if len(fits) < len(sizes) else 1 << 30)).select("doc_id", "toxic", "place", "terms").toArrow().combine_chunks()
-    order = np.lexsort((got.column("doc_id").to_numpy(), got.column("place").to_numpy()))
-    label, terms_of = got.column("toxic").to_numpy(), got.column("terms").combine_chunks()
-    order = np.concatenate([order[label[order] == c][:most] for c in (0, 1)])
-    bounds, flat = terms_of.offsets.to_numpy(), terms_of.values.to_numpy()  # arrays, not lists of objects
-    taken = {c: max(1, int((label[order] == c).sum())) for c in (0, 1)}
-    weight = np.array([counts.get(int(c), 0) / taken[int(c)] for c in label[order]], np.float64)
-    return [flat[bounds[i]: bounds[i + 1]] for i in order], label[order], weight * len(order) / max(weight.sum(), 1e-9)
-
-
-def learn(docs: DataFrame, labels: DataFrame) -> Machine:
-    return fit(*sample(docs, labels))
+    return one.filter(F.col("place") <= (upto if len(fits) < len(sizes) else 1 << 30)).select("doc_id", "toxic", "place", "terms"), counts
+
+
+def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Machine:
+    """Fit on the sample, in a task; classes weigh as much as they have ids."""
+    rows, counts = sample(docs, labels, most)
+
+    def make(batches: list[pa.RecordBatch]) -> Machine:
+        if not batches:
+            return fit([], np.empty(0))
+        got = pa.Table.from_batches(batches).combine_chunks()
+        place, ids, label = (got.column(c).to_numpy() for c in ("place", "doc_id", "toxic"))
+        order = np.lexsort((ids, place))
+        order = np.concatenate([order[label[order] == c][:most] for c in (0, 1)])
+        found = got.column("terms").combine_chunks()
+        bounds, flat = found.offsets.to_numpy(), found.values.to_numpy()  # arrays, not lists of objects
+        taken = {c: max(1, int((label[order] == c).sum())) for c in (0, 1)}
+        weight = np.array([counts.get(int(c), 0) / taken[int(c)] for c in label[order]], np.float64)
+        return fit([flat[bounds[i]: bounds[i + 1]] for i in order], label[order], weight * len(order) / max(weight.sum(), 1e-9))
+
+    return in_one_task(rows, make)
 
 
 def score(docs: DataFrame, labels: DataFrame | None = None, machine: Machine | None = None) -> DataFrame:
