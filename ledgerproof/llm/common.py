@@ -12,7 +12,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import ArrowUDFType
 from pyspark.sql.types import MapType
 
 #: Used only where the session names no checkpoint folder and runs on one machine (tests).
@@ -81,7 +80,7 @@ def where_text(docs: DataFrame, decide) -> DataFrame:
             parts = [decide(part.column("t").to_pylist()) for part in slices(pa.RecordBatch.from_arrays([texts], names=["t"]), "t", 1 << 19)]
             yield pa.array([bool(x) for part in parts for x in part], pa.bool_())
 
-    return docs.filter(F.arrow_udf(good, "boolean", ArrowUDFType.SCALAR_ITER)(F.col("text")))
+    return docs.filter(F.arrow_udf(good, "boolean")(F.col("text")))
 
 
 def in_one_task(rows: DataFrame, make):
@@ -142,15 +141,15 @@ def crc_fold(column: str, folds: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds))
 
 
-def first_rows(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """One row of `docs` for each component_id of `classes` (doc_id, h: the text's xxhash64, component_id; a row per row of `docs`), and all rows without an id.
+def first_rows(docs: DataFrame, classes: DataFrame, by: str = "component_id") -> DataFrame:
+    """One row of `docs` for each value of `by` in `classes` (doc_id, h: the text's xxhash64, `by`; a row per row of `docs`), and all rows without an id.
 
     It is a row of the least doc_id of the class that is itself in the class: with several such texts the one of least h, and of rows
     that agree in id and text the one with the least hash of its columns (maps don't count). Only ids and hashes are grouped; rows
     move once, to the last join.
     """
-    best = classes.filter("doc_id is not null").groupBy("component_id", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
-    best = best.groupBy("component_id").agg(F.min(F.struct("doc_id", "h", "n")).alias("x")).select(F.col("x.doc_id").alias("first_id"), F.col("x.h").alias("first_h"), "x.n")
+    best = classes.filter("doc_id is not null").groupBy(by, "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    best = best.groupBy(by).agg(F.min(F.struct("doc_id", "h", "n")).alias("x")).select(F.col("x.doc_id").alias("first_id"), F.col("x.h").alias("first_h"), "x.n")
     best = materialize(best, "first")
     this = (docs["doc_id"] == best["first_id"]) & (F.xxhash64(docs["text"]) == best["first_h"])
     once, again = docs.join(best.filter("n = 1"), this, "left_semi"), docs.join(best.filter("n > 1"), this, "left_semi")
