@@ -49,12 +49,10 @@ def main(args: list[str]) -> int:
 
     if verb == "check":
         result = documents.check(text, read)
-        drawn, faults = charts.draw_all(result)
-        result.findings += faults
         print(reports.result_json(result) if "--json" in args else reports.findings_text(str(path), result.findings))
         return result.exit_code
     if verb == "fmt":
-        fixed, counts, left = repair.fmt(text, "--fix-dates" in args, "--fix-units" in args)
+        fixed, counts, left = repair.fmt(text, "--fix-dates" in args, "--fix-units" in args, read)
         if "--write" in args and fixed != text:
             path.write_text(fixed, encoding="utf-8")
         print(json.dumps({"edits": counts, "left": len(left)}) if "--write" in args else fixed)
@@ -62,8 +60,7 @@ def main(args: list[str]) -> int:
     if verb == "infer":
         if "--write" in args:
             path.write_text(infer.write(text), encoding="utf-8")
-        for p, span in infer.infer(text):
-            print(f"{p.sheet}: {p.target} = {p.formula}  {p.rows} rows, {'one miss' if p.near_miss else p.strength}{', ambiguous' if p.ambiguous else ''}{f', written at {span[0]}' if span else ''}")
+        print(reports.inference_json(text) if "--json" in args else reports.inference_text(infer.proposals(text)))
         return 0
     if verb == "eval":
         model = build(locate(text))
@@ -77,7 +74,12 @@ def main(args: list[str]) -> int:
             places = result.places.get((sheet, name))
             if wanted in (None, key):
                 print(show(v, places if isinstance(places, int) else None) if wanted else f"{key} = {show(v, places if isinstance(places, int) else None)}")
-        return int(any(a.holds is False for a in result.assertions))
+        failed = [k for k, a in enumerate(result.assertions) if a.holds is False]
+        defaults = documents.check(text, read).assertions if given and failed else []
+        for k in failed:
+            also = {True: "; on the defaults it holds", False: "; on the defaults it fails too", None: "; on the defaults it can't be decided"}[defaults[k].holds] if k < len(defaults) else ""
+            print(f"{result.assertions[k].sheet}: {result.assertions[k].text} does not hold{also}", file=sys.stderr)
+        return int(bool(failed))
     if verb == "explain":
         for row in reports.explain(documents.check(text, read)):
             print(f"{row['id']:<28}{row['kind']:<10}{row['formula']}   reads {', '.join(row['needs']) or 'inputs'}; width {row['width']}; unit {row['unit']}")

@@ -1,8 +1,9 @@
 """Formulas as Spark columns: a value and an error code for each row.
 
 Exact lane: sums, products, whole powers, rounding, comparisons and dates stay native DECIMAL expressions, as long as
-their digits fit. Everything else of a binding (quotients, roots, annuities, wide products) goes as a whole to one Arrow function
-that evaluates it with Python decimals and rounds once. Errors never short-cut: an error in either branch of a
+their digits fit, and so does a quotient that a binding or its ROUND ends with: its rounding is decided by the remainder. Everything else
+of a binding (inner quotients, roots, annuities, wide products) goes as a whole to one Arrow function that evaluates it with
+Python decimals and rounds once. Errors never short-cut: an error in either branch of a
 condition is the row's error, as in document mode.
 """
 
@@ -97,6 +98,8 @@ def _binary(op: str, a: Compiled, b: Compiled, right: Expr) -> Compiled:
             raise Fault("TYPE", f"{op} compares two values of one type, not {a.type} and {b.type}")
         value = {"<": a.value < b.value, "<=": a.value <= b.value, ">": a.value > b.value, ">=": a.value >= b.value}[op]
         return Compiled(value, error, "bool")
+    if op == "+" and (a.type, b.type) == ("num", "date"):
+        a, b = b, a
     if a.type == "date" and op in "+-":
         if b.type == "date" and op == "-":
             return Compiled(F.datediff(a.value, b.value).cast("decimal(10,0)"), error, "num", 10, 0)
@@ -160,9 +163,63 @@ def _call(name: str, v: list[Compiled], args: tuple) -> Compiled:
     raise Wide
 
 
+def domain_fault(value: Column, domain) -> Column:
+    """The clause of a parameter's domain that a value breaks first, as `in_range` says it, or null."""
+    whole = value == F.floor(value)
+    presets = {"integer": ~whole, "natural": ~whole | (value < 0), "positive": value <= 0, "positive integer": ~whole | (value <= 0)}
+    tests = [(presets[p], p) for p in domain.presets]
+    for lo, lo_open, hi, hi_open in domain.ranges:
+        outside = (value <= lo if lo_open else value < lo) | (value >= hi if hi_open else value > hi)
+        tests.append((outside, f"{'(' if lo_open else '['}{lo}, {hi}{')' if hi_open else ']'}"))
+    tests += [(~value.isin(items), "{" + ", ".join(map(str, items)) + "}") for items in domain.sets]
+    out = F.lit(None).cast("string")
+    for broken, clause in reversed(tests):
+        out = F.when(broken, F.lit(clause)).otherwise(out)
+    return out
+
+
+def closest_name(target: Column, names: Column) -> Column:
+    """The name of an array that is nearest to `target`, as `closest` ranks them: edit distance, then common beginning, then alphabet."""
+    def ranked(name):
+        short = F.least(F.length(target), F.length(name))
+        common = F.size(F.filter(F.sequence(F.lit(0), short), lambda k: F.left(target, k) == F.left(name, k))) - 1
+        return F.struct(F.levenshtein(target, name).alias("distance"), (-common).alias("common"), name.alias("name"))
+
+    return F.array_min(F.transform(names, ranked))
+
+
+def quotient(n: Compiled, d: Compiled, places: int) -> Compiled:
+    """n / d rounded half away from zero at `places`: both as whole numbers, divided with remainder. Raises Wide where digits don't fit."""
+    n, d = _num(n), _num(d)
+    up, down = max(n.scale, d.scale + places), d.scale + max(0, n.scale - d.scale - places)
+    whole = n.digits - n.scale + d.scale + places + 1  # of the result, as a whole number
+    if max(n.digits + up + 2, d.digits + down + 2, whole + places + 1) > SPARK_DIGITS:
+        raise Wide
+    shift = lambda v, k: v * F.lit(Decimal(10) ** k).cast(f"decimal({k + 1},0)")
+    top, below = shift(n.value, up).cast(f"decimal({n.digits + up},0)"), shift(d.value, down).cast(f"decimal({d.digits + down},0)")
+    a, b = F.abs(top), F.when(below != 0, F.abs(below))
+    rest = a % b
+    size = ((a - rest) / b).cast(f"decimal({whole},0)") + F.when(rest >= b - rest, 1).otherwise(0)
+    signed = F.when((top < 0) != (below < 0), -size).otherwise(size)
+    value = signed.cast(f"decimal({whole},0)") * F.lit(Decimal(1).scaleb(-places)).cast(f"decimal({max(1, places)},{places})")
+    return Compiled(value.cast(f"decimal({whole},{places})"), _join(n.error, d.error, F.when(d.value == 0, F.lit("TYPE"))), "num", whole, places)
+
+
+def compile_rounded(e: Expr, lookup, places: int | None) -> Compiled:
+    """compile_expression, with a quotient that ends the expression at the width it is rounded to anyway."""
+    if isinstance(e, Binary) and e.op == "/" and places is not None:
+        return quotient(compile_expression(e.left, lookup), compile_expression(e.right, lookup), places)
+    if isinstance(e, Call) and e.name == "ROUND" and isinstance(e.args[0], Binary) and e.args[0].op == "/" and isinstance(e.args[1], Num):
+        own = e.args[1].value
+        if own == own.to_integral_value() and 0 <= own <= 12:
+            return quotient(compile_expression(e.args[0].left, lookup), compile_expression(e.args[0].right, lookup), int(own))
+    return compile_expression(e, lookup)
+
+
 def wide_column(e: Expr, places: int, inputs: dict[Ref, Compiled], constants: dict[Ref, object], reduces: dict) -> tuple[Column, Column | None]:
     """(value rounded to `places`, error) by one Arrow function over the columns that the formula reads."""
     refs = [r for r in dict.fromkeys(x for x in walk(e) if isinstance(x, Ref)) if r in inputs]
+    settled = _settled(e, reduces)
 
     @F.pandas_udf(f"value decimal(38,{places}), error string")
     def run(*columns: pd.Series) -> pd.DataFrame:
@@ -172,7 +229,7 @@ def wide_column(e: Expr, places: int, inputs: dict[Ref, Compiled], constants: di
             try:
                 if any(x is None for x in row):
                     raise Fault("TYPE", "a blank where a value is needed")
-                v = evaluate(_settled(e, reduces), here.__getitem__, None)
+                v = evaluate(settled, here.__getitem__, None)
                 if not isinstance(v, Decimal):
                     raise Fault("TYPE", "the result is not a number")
                 if not fits(v, places, SPARK_DIGITS):

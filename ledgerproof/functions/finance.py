@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from decimal import ROUND_HALF_UP, Context, Decimal, localcontext
 
 from ..lang.values import CONTEXT, Fault
@@ -26,33 +26,38 @@ def npv(rate: Decimal, flows: Sequence[Decimal]) -> Decimal:
 
 
 def irr(flows: Sequence[Decimal]) -> Decimal:
-    """The rate at which the flows are worth nothing. They must change sign exactly once.
+    """The rate at which the flows are worth nothing. They must change sign exactly once."""
+    signs = [f > 0 for f in flows if f]
+
+    def values(rates: list[Decimal]) -> list[Decimal]:
+        out = []
+        for rate in rates:
+            step, total = 1 / (1 + rate), Decimal(0)
+            for flow in reversed(flows):
+                total = total * step + flow
+            out.append(total)
+        return out
+
+    return irr_of(sum(a != b for a, b in zip(signs, signs[1:], strict=False)), values)
+
+
+def irr_of(sign_changes: int, values: Callable[[list[Decimal]], list[Decimal]]) -> Decimal:
+    """The root of a value function that can price several rates at once, for flows of which `sign_changes` follow another sign.
 
     With one sign change the value is monotone in the discount factor's sign pattern, so a bracket holds one root;
     it is narrowed by a secant step that falls back to halving, and short exact decimals are recognised.
     """
-    signs = [f > 0 for f in flows if f]
-    if sum(a != b for a, b in zip(signs, signs[1:], strict=False)) != 1:
+    if sign_changes != 1:
         raise Fault("TYPE", "IRR needs flows that change sign exactly once")
-
-    def value(rate: Decimal) -> Decimal:
-        step, total = 1 / (1 + rate), Decimal(0)
-        for flow in reversed(flows):
-            total = total * step + flow
-        return total
-
     with localcontext(WIDE) as c:
         low, high = Decimal("-0.9"), Decimal(1)
-        v_low, v_high = value(low), value(high)
+        v_low, v_high = values([low, high])
         while v_low and (v_low > 0) == (v_high > 0):
-            if high < Decimal("1e12"):
-                high *= 4
-                v_high = value(high)
-            if (v_low > 0) == (v_high > 0):
-                low = (low - 9) / 10 if low > Decimal("-0.999999999999") else low
-                v_low = value(low)
-                if high >= Decimal("1e12") and low <= Decimal("-0.999999999999"):
-                    raise Fault("TYPE", "IRR has no rate in reach")
+            if high >= Decimal("1e12") and low <= Decimal("-0.999999999999"):
+                raise Fault("TYPE", "IRR has no rate in reach")
+            high = high * 4 if high < Decimal("1e12") else high
+            low = (low - 9) / 10 if low > Decimal("-0.999999999999") else low
+            v_low, v_high = values([low, high])
         last = None
         for turn in range(400):
             if v_low == 0 or v_high == 0:
@@ -60,7 +65,7 @@ def irr(flows: Sequence[Decimal]) -> Decimal:
             mid = (low + high) / 2 if turn % 3 == 2 or v_high == v_low else high - v_high * (high - low) / (v_high - v_low)
             if not low < mid < high:
                 mid = (low + high) / 2
-            v_mid = value(mid)
+            (v_mid,) = values([mid])
             if (v_mid > 0) == (v_low > 0):
                 low, v_low = mid, v_mid
                 if last == "low":
@@ -73,12 +78,11 @@ def irr(flows: Sequence[Decimal]) -> Decimal:
                 last = "high"
             if high - low < ROOT_WIDTH:
                 break
-        root = low if value(low) == 0 else high if value(high) == 0 else (low + high) / 2
-        for places in range(13):
-            short = root.quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_UP, context=c)
-            if short > -1 and value(short) == 0:
-                root = short
-                break
+        at_low, at_high = values([low, high])
+        root = low if at_low == 0 else high if at_high == 0 else (low + high) / 2
+        short = [root.quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_UP, context=c) for places in range(13)]
+        short = [r for r in short if r > -1]
+        root = next((r for r, v in zip(short, values(short), strict=True) if v == 0), root)
     return CONTEXT.plus(root)
 
 

@@ -8,6 +8,7 @@ from html import escape
 
 from ..lang.values import Fault
 from ..plans.findings import Finding
+from ..sources.csv_import import gate
 
 WIDTH, MARGIN = 800, 60
 COLOURS = ("#4477aa", "#ee6677", "#228833", "#ccbb44", "#66ccee", "#aa3377", "#777777")
@@ -147,30 +148,86 @@ def draw(engine: str, labels: list[str], series: dict[str, list[float]], aspect:
     return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {WIDTH} {frame.height:g}" font-family="sans-serif" font-size="12">\n{OWNED}\n{body}\n</svg>\n'
 
 
+def _drawn(checked, sheet, c) -> str | None:
+    """A chart as SVG; None where a column that it reads was lost to an upstream error. `checked`: a result or a running check."""
+    label = sheet.header_of(c.label)
+    names = [sheet.header_of(n) for n in c.series]
+    if label is None or None in names:
+        raise Fault("ARTIFACT", f"{c.label if label is None else c.series[names.index(None)]} is no column")
+    values = {}
+    for n in names:
+        if n in sheet.rules and (sheet.id, n) not in checked.cells:
+            return None
+        got = checked.cells.get((sheet.id, n), [])
+        if n in sheet.rules and any(v is None for v in got):
+            return None
+        if not got or any(v is None or isinstance(v, (str, bool)) or not hasattr(v, "as_tuple") for v in got):
+            raise Fault("ARTIFACT", f"{n} isn't a column of numbers")
+        values[n] = [float(v) for v in got]
+    if len({str(checked.units.get((sheet.id, n))) for n in names}) > 1:
+        raise Fault("ARTIFACT", "the series have different units")
+    if len({checked.decorations.get((sheet.id, n)) for n in names}) > 1:
+        raise Fault("UNIT", "a chart's series must be decorated alike")
+    return draw(c.engine, [r.text for r in sheet.table.column(sheet.columns[label].ix)], values, c.aspect)
+
+
 def draw_all(result) -> tuple[dict[tuple[str, str], str], list[Finding]]:
     """SVG of every chart of a checked document, and findings for those that can't be drawn."""
     out, found = {}, []
     for sheet in result.model.sheets.values():
         for c in sheet.charts:
             try:
-                label = sheet.header_of(c.label)
-                names = [sheet.header_of(n) for n in c.series]
-                if label is None or None in names:
-                    raise Fault("ARTIFACT", f"{c.label if label is None else c.series[names.index(None)]} is no column")
-                values = {}
-                for n in names:
-                    got = result.cells.get((sheet.id, n), [])
-                    if not got or any(v is None or isinstance(v, (str, bool)) or not hasattr(v, "as_tuple") for v in got):
-                        raise Fault("ARTIFACT", f"{n} isn't a column of numbers")
-                    values[n] = [float(v) for v in got]
-                if len({str(result.units.get((sheet.id, n))) for n in names}) > 1:
-                    raise Fault("ARTIFACT", "the series have different units")
-                out[sheet.id, c.name] = draw(c.engine, [r.text for r in sheet.table.column(sheet.columns[label].ix)], values, c.aspect)
+                svg = _drawn(result, sheet, c)
+                if svg is None:
+                    raise Fault("ARTIFACT", "a column of the chart could not be computed")
+                out[sheet.id, c.name] = svg
             except Fault as f:
-                found.append(Finding("ARTIFACT", sheet.id, c.name, f.message, start=c.at))
+                found.append(Finding(f.code, sheet.id, c.name, f.message, start=c.at))
     return out, found
 
 
+def check_charts(checker) -> list[Finding]:
+    """Findings of a check about charts: what can't be drawn, has no image line or shares one, and files that are missing, old or someone else's.
+
+    Charts that upstream errors keep from being drawn are counted in one NOTE for each sheet. Without a reader files aren't looked at.
+    """
+    placed, unplaced = paths(checker)
+    homeless = {(f.sheet, f.name): f for f in unplaced}
+    found = []
+    for sheet in checker.model.sheets.values():
+        skipped = 0
+        for c in sheet.charts:
+            node = (sheet.id, c.name)
+            try:
+                svg = _drawn(checker, sheet, c)
+                if svg is None:
+                    skipped += 1
+                    continue
+                if node in homeless:
+                    found.append(homeless[node])
+                    continue
+                try:
+                    where = gate(placed[node], ".svg")
+                except Fault as f:
+                    raise Fault("ARTIFACT", f.message) from None
+                if checker.read is None:
+                    continue
+                try:
+                    old = checker.read(where).decode()
+                except OSError:
+                    old = None
+                how = state(old, svg)
+                if how == "foreign":
+                    raise Fault("ARTIFACT", f"{where} exists and isn't one of these charts")
+                if how != "current":
+                    found.append(Finding("STALE", sheet.id, c.name, f"{where} is missing" if how == "missing" else f"{where} is out of date; draw the charts again", start=c.at))
+            except (Fault, UnicodeDecodeError) as f:
+                found.append(Finding(getattr(f, "code", "ARTIFACT"), sheet.id, c.name, getattr(f, "message", str(f)), start=c.at))
+        if skipped:
+            found.append(Finding("NOTE", sheet.id, message=f"{skipped} chart{'' if skipped == 1 else 's'} not built (upstream errors)"))
+    return found
+
+
 def paths(result) -> tuple[dict[tuple[str, str], str], list[Finding]]:
     """The file of each chart, from the image line that its anchor follows; a chart without one, and two charts on one path, are ARTIFACT findings."""
     named = {(a.sheet, a.name): a for a in result.model.doc.anchors if a.kind == "image"}

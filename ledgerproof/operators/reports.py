@@ -36,6 +36,52 @@ def result_json(result: Result) -> str:
     return json.dumps({"findings": [f.row() for f in result.findings], "summary": summary(result.findings), "values": values, "assertions": asserts}, ensure_ascii=False)
 
 
+# fixed values: the order in which a report on inference lists kinds
+INFERENCE = ("column", "scalar", "alias", "unit", "constant", "near-miss", "ambiguous", "alternative")
+
+
+def inference_text(found: list) -> str:
+    """What inference says, by kind: rules that would be written first, then what a person has to decide."""
+    lines = []
+    for kind in INFERENCE:
+        for p in (p for p in found if p.kind == kind):
+            says = {
+                "column": f"{p.rule}   {p.rows} rows, {p.strength}" + (f"; also written {p.echo}" if p.echo else ""),
+                "scalar": f"{p.rule}   at {p.span[0]}" if p.span else p.rule,
+                "near-miss": f"{p.rule}   one row of {p.rows} disagrees: " + "; ".join(f"row {r + 1} says {a}, not {b}" for r, a, b in p.misses),
+                "ambiguous": f"{p.target}: " + " or ".join(p.alternatives),
+                "alternative": f"{p.rule}   {p.reason}",
+                "constant": f"{p.target} is also written {p.echo}",
+            }.get(kind, p.rule)
+            lines.append(f"  {kind:<12}{p.sheet + ': ' if p.sheet else ''}{says}")
+    return "\n".join(lines) if lines else "  nothing to infer"
+
+
+def inference_json(text: str) -> str:
+    """Proposals and the edits that would write them, as JSON."""
+    from .infer import plan_write, proposals
+
+    rows = [{"kind": p.kind, "sheet": p.sheet, "name": p.target, "rule": p.rule if p.formula else "", "stage": p.stage, "rows": p.rows, "weak": p.kind == "column" and p.strength == "weak", "misses": p.misses, "alternatives": p.alternatives, "echo": p.echo, "reason": p.reason, "at": p.span} for p in proposals(text)]
+    return json.dumps({"proposals": rows, "edits": [{"start": e.start, "end": e.end, "text": e.text, "kind": e.reason} for e in plan_write(text)]}, ensure_ascii=False)
+
+
+def charts_json(result: Result, existing: dict[tuple[str, str], str] | None = None) -> str:
+    """Every chart with its engine, series, path and state (given the files that exist), as JSON."""
+    from .charts import draw_all, paths, state
+
+    drawn, faults = draw_all(result)
+    placed, homeless = paths(result)
+    why = {(f.sheet, f.name): f.message for f in [*homeless, *faults]}
+    rows = []
+    for sheet in result.model.sheets.values():
+        for c in sheet.charts:
+            node = (sheet.id, c.name)
+            svg = drawn.get(node)
+            how = "error" if node in why else "skipped" if existing is None else state(existing.get(node), svg)
+            rows.append({"sheet": sheet.id, "chart": c.name, "engine": c.engine, "series": c.series, "labels": c.label, "path": placed.get(node), "state": how, "message": why.get(node)})
+    return json.dumps({"charts": rows}, ensure_ascii=False)
+
+
 def explain(result: Result) -> list[dict]:
     """The plan of a document: each binding in order of evaluation with its formula, inputs, width and unit."""
     out = []

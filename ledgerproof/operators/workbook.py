@@ -12,22 +12,25 @@ from datetime import date
 from decimal import Decimal, localcontext
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import Compiled, Wide, _settled, compile_expression, literal, wide_column
+from ..functions.columns import Compiled, Wide, _settled, compile_rounded, literal, wide_column
 from ..functions.evaluate import evaluate
-from ..functions.finance import WIDE, irr
+from ..functions.finance import WIDE, irr, irr_of
 from ..functions.registry import REDUCES
 from ..lang.parser import parse_lines
 from ..lang.syntax import Assertion, Binding, Call, Ref, Report, walk
 from ..lang.values import SPARK_DIGITS, Fault, Value, fits, quantize, show
 from ..plans.graph import topological
 from ..plans.static import DATE, width
+from ..streaming.scratch import folder
 
-#: Flows that IRR may bring to the driver.
-MOST_FLOWS = 1_000_000
+#: Flows up to which an IRR is found on the driver; beyond that every trial rate is priced in the tasks. The steps, and the result, are the same.
+FEW_FLOWS = 20_000
+#: Flows of a block in which signs are followed in order.
+BLOCK = 100_000
 FINDING = "code string, sheet string, name string, row_label string, stored string, computed string, formula string"
 
 
@@ -184,24 +187,30 @@ class Evaluated:
 
     def _aggregate(self, nodes) -> None:
         """One aggregation per sheet for all reduces that these nodes need."""
-        wanted: dict[str, dict[tuple, None]] = {}
-        for n in nodes:
-            for c in walk(self._binding(n).expr):
+        for n, f in self._reduce_all([(n, n[0], self._binding(n).expr) for n in nodes]).items():
+            self.faults[n] = f
+
+    def _reduce_all(self, wanted: list[tuple]) -> dict:
+        """Compute the reduces of (key, sheet, expression) rows together; returns a fault for each key that has none."""
+        faults, by_sheet = {}, {}
+        for n, sheet, e in wanted:
+            for c in walk(e):
                 if isinstance(c, Call) and c.name in REDUCES:
                     try:
-                        key = self._key(n[0], c)
+                        key = self._key(sheet, c)
                     except Fault as f:
-                        self.faults[n] = f
+                        faults[n] = f
                         continue
                     if key not in self.reduces:
-                        wanted.setdefault(key[1], {})[key] = None
-        for sheet, keys in wanted.items():
+                        by_sheet.setdefault(key[1], {})[key] = None
+        for sheet, keys in by_sheet.items():
             plain = [k for k in keys if k[0] not in ("NPV", "IRR")]
             if plain:
                 self._plain_reduces(sheet, plain)
             for k in keys:
                 if k[0] in ("NPV", "IRR"):
                     self.reduces[k] = self._ordered_reduce(k)
+        return faults
 
     def _plain_reduces(self, sheet: str, keys: list[tuple]) -> None:
         frame, aggs = self.frames[sheet], [F.count(F.lit(1)).alias("n")]
@@ -236,7 +245,7 @@ class Evaluated:
                 self.reduces[key] = row[f"v{i}"]
 
     def _ordered_reduce(self, key: tuple) -> Value | Fault:
-        """NPV sums discounted flows in every task; IRR collects a bounded number of flows."""
+        """NPV and IRR: every task sums its discounted flows; the driver receives a row per task and rate, or per block of flows."""
         name, sheet, column, *rest = key
         s, c = self.book.sheets[sheet], self.columns[sheet, column]
         if s.order_by is None:
@@ -248,27 +257,20 @@ class Evaluated:
             return Fault("TYPE", f"{name}: {column} is empty or has rows without a value")
         if state.places != state.n or state.last - state.first + 1 != state.n:
             return Fault("TYPE", f"{name}: {s.order_by} must number the rows without gaps")
-        if name == "IRR":
-            if state.n > MOST_FLOWS:
-                return Fault("TYPE", f"IRR reads at most {MOST_FLOWS} flows")
-            try:
+        flows = flows.select((F.col("ix") - state.first).alias("ix"), "v")
+        try:
+            if name == "NPV":
+                if rest[0] <= -1:
+                    raise Fault("TYPE", "NPV needs a rate above -1")
+                return _present_values(flows, [rest[0]])[0]
+            if state.n <= FEW_FLOWS:
                 return irr([r.v for r in flows.orderBy("ix").collect()])
-            except Fault as f:
-                return f
-        rate, first = rest[0], state.first
-        if rate <= -1:
-            return Fault("TYPE", "NPV needs a rate above -1")
-
-        def part(batches):
-            with localcontext(WIDE):
-                total, step = Decimal(0), 1 / (1 + rate)
-                for pdf in batches:
-                    for ix, v in zip(pdf["ix"], pdf["v"], strict=True):
-                        total += v * step ** int(ix - first)
-            yield pd.DataFrame({"v": [str(total)]})
-
-        with localcontext(WIDE):
-            return sum((Decimal(r.v) for r in flows.mapInPandas(part, "v string").collect()), Decimal(0))  # a row per task
+            path = folder(self.book.spark, "flows")
+            flows.repartitionByRange("ix").sortWithinPartitions("ix").write.parquet(path)  # read once for every trial
+            flows = self.book.spark.read.parquet(path)
+            return irr_of(_sign_changes(flows), lambda rates: _present_values(flows, rates))
+        except Fault as f:
+            return f
 
     def _constants(self, node, e) -> tuple[dict, dict]:
         """(values of scalars, values of reduces as they stand in the expression)."""
@@ -342,7 +344,7 @@ class Evaluated:
         places = self._width(node, b)
         settled = _settled(b.expr, reduces)
         try:
-            got = compile_expression(settled, lookup)
+            got = compile_rounded(settled, lookup, places)
             if got.type == "num":
                 if places is None:
                     raise Fault("PRECISION", f"{node[1]} has no width; declare a precision")
@@ -392,24 +394,22 @@ class Evaluated:
         return self.book.spark.createDataFrame(rows, "sheet string, name string, value string, error string")
 
     def assertions(self) -> list[tuple[str, str, bool | None]]:
-        """(sheet, text, holds) of every assertion; None where it can't be decided."""
-        out = []
+        """(sheet, text, holds) of every assertion; None where it can't be decided. Their reduces are computed together."""
+        wanted = [((s.name, f"assert {k}"), s.name, a.expr) for s in self.book.sheets.values() for k, a in enumerate(s.asserts)]
+        faults, out = self._reduce_all(wanted), []
         for s in self.book.sheets.values():
             for k, a in enumerate(s.asserts):
+                node = (s.name, f"assert {k}")
                 try:
-                    self._aggregate_expr(s.name, a.expr)
-                    constants, reduces = self._constants((s.name, f"assert {k}"), a.expr)
+                    if node in faults:
+                        raise faults[node]
+                    constants, reduces = self._constants(node, a.expr)
                     v = evaluate(_settled(a.expr, reduces), lambda r, s=s: self._scalar(s.name, r), None)
                     out.append((s.name, a.text, v if isinstance(v, bool) else None))
                 except Fault:
                     out.append((s.name, a.text, None))
         return out
 
-    def _aggregate_expr(self, sheet: str, e) -> None:
-        for c in walk(e):
-            if isinstance(c, Call) and c.name in REDUCES and (key := self._key(sheet, c)) not in self.reduces:
-                self._plain_reduces(key[1], [key])
-
     def findings(self) -> DataFrame:
         """Stale rows and failing rows of every rule with a stored column, as one table; one scan per sheet."""
         out = None
@@ -435,6 +435,35 @@ class Evaluated:
         return out if out is not None else self.book.spark.createDataFrame([], FINDING)
 
 
+def _present_values(flows: DataFrame, rates: list[Decimal]) -> list[Decimal]:
+    """The sum of the flows (ix from 0, v) discounted at each rate. Flows may come in any order; in a run the discount is carried on."""
+
+    def part(batches):
+        with localcontext(WIDE):
+            steps = [1 / (1 + r) for r in rates]
+            totals, powers, at = [Decimal(0)] * len(rates), [Decimal(1)] * len(rates), 0
+            for pdf in batches:
+                for ix, v in zip(pdf["ix"].tolist(), pdf["v"], strict=True):
+                    if ix != at:
+                        powers = [p * s ** (ix - at) for p, s in zip(powers, steps, strict=True)] if ix > at else [s**ix for s in steps]
+                    totals = [t + v * p for t, p in zip(totals, powers, strict=True)]
+                    powers, at = [p * s for p, s in zip(powers, steps, strict=True)], ix + 1
+        yield pd.DataFrame({"v": [",".join(map(str, totals))]})
+
+    with localcontext(WIDE):
+        parts = [r.v.split(",") for r in flows.mapInPandas(part, "v string").collect()]  # a row per task
+        return [sum((Decimal(p[k]) for p in parts), Decimal(0)) for k in range(len(rates))]
+
+
+def _sign_changes(flows: DataFrame) -> int:
+    """How often a flow has another sign than the last one before it that isn't 0: within blocks of BLOCK by a window, between them by their ends."""
+    signs = flows.filter("v <> 0").select("ix", F.signum("v").cast("int").alias("s"), F.floor(F.col("ix") / BLOCK).alias("block"))
+    before = F.lag("s").over(Window.partitionBy("block").orderBy("ix"))
+    blocks = signs.withColumn("turn", F.coalesce(before != F.col("s"), F.lit(False))).groupBy("block")
+    ends = blocks.agg(F.count_if("turn").alias("n"), F.min_by("s", "ix").alias("first"), F.max_by("s", "ix").alias("last")).orderBy("block").collect()  # a row per BLOCK flows
+    return sum(r.n for r in ends) + sum(a.last != b.first for a, b in zip(ends, ends[1:], strict=False))
+
+
 def _column(frame: DataFrame, f: T.StructField) -> Compiled:
     c = F.col(f"`{f.name}`")
     match f.dataType:

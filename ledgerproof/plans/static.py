@@ -35,7 +35,7 @@ def width(e: Expr, lookup: Callable[[Ref], int | None | str]) -> int | None | st
         case Binary(op, left, right):
             a, b = width(left, lookup), width(right, lookup)
             if DATE in (a, b):
-                return 0 if (a, b, op) == (DATE, DATE, "-") else DATE if op in "+-" and a == DATE else None
+                return 0 if (a, b, op) == (DATE, DATE, "-") else DATE if op in "+-" and a == DATE != b or op == "+" and b == DATE != a else None
             if a is None or b is None:
                 return None
             if op in ("+", "-"):

@@ -11,7 +11,6 @@ from .functions import texts
 from .operators import documents, grids, infer, investigate, repair, reports
 from .operators.workbook import Workbook
 from .sources import corpus
-from .sources.csv_import import parse_clause
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -329,13 +328,6 @@ def scenario_override(spark, sf_dir):
     return book.run({"cut": Decimal("0.07")}).values()
 
 
-@query("SELECT p_partkey, p_size, CASE WHEN p_size < 1 OR p_size > 50 THEN '[1, 50]' WHEN p_size NOT IN (1, 2, 3, 5, 8, 13, 21, 34) THEN 'set' END AS broken FROM part")
-def domain_filter(spark, sf_dir):
-    size = F.col("p_size")
-    first = F.when((size < 1) | (size > 50), "[1, 50]").when(~size.isin(1, 2, 3, 5, 8, 13, 21, 34), "set")
-    return _read(spark, sf_dir, "part").select("p_partkey", "p_size", first.alias("broken"))
-
-
 # inference
 
 
@@ -352,12 +344,6 @@ def infer_pairs(spark, sf_dir):
     return infer.fits(_invoice(spark, sf_dir).drop("l_orderkey", "c")).filter("n_rows = n_fit and not formula like '%/%'")
 
 
-@query(f"WITH {_INV} SELECT 'c' AS target, 'price' AS operand, '0.08' AS k, CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(COUNT(*) FILTER (price * 0.08 = CAST(price * 0.08 AS DECIMAL(20,4))) AS BIGINT) AS n_fit FROM x HAVING COUNT(*) > 0")
-def infer_multiplier(spark, sf_dir):
-    frame = _lineitem(spark, sf_dir).select("price", (F.col("price") * Decimal("0.08")).cast("decimal(20,4)").alias("c"), F.struct("l_orderkey", "price").alias("place"))
-    return infer.multipliers(frame, ["c", "price"], "place").filter("target = 'c'")
-
-
 @query(f"WITH {_INV}, y AS (SELECT *, a + CASE WHEN l_orderkey = (SELECT MIN(l_orderkey) FROM x) THEN 1 ELSE 0 END AS s FROM x) SELECT CAST(COUNT(*) FILTER (s <> a) AS BIGINT) AS misses, CAST(COUNT(*) AS BIGINT) AS n FROM y")
 def near_miss(spark, sf_dir):
     x = _invoice(spark, sf_dir)
@@ -425,13 +411,6 @@ def generated_filter(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", corpus.looks_generated(F.col("text")).alias("generated"))
 
 
-@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n_text, CAST(length(text) AS BIGINT) AS n_masked FROM documents")
-def mask_length(spark, sf_dir):
-    """Masking never moves a character."""
-    docs = _read(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.char_length("text").cast("long").alias("n_text"), F.char_length(corpus.mask("text")).cast("long").alias("n_masked"))
-
-
 def _markdown(spark, sf_dir) -> DataFrame:
     """A Markdown document per customer with orders: a pipe table, a rule, a total and its anchor; every eleventh customer's total is stale."""
     o = _orders(spark, sf_dir)
@@ -466,55 +445,6 @@ def pipe_tables(spark, sf_dir):
     return cells.groupBy("doc_id").agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("row_ix").alias("n_rows"))
 
 
-@query("SELECT doc_id, sha256(text) AS stamp, CASE WHEN doc_id % 3 = 0 THEN 'unstamped' WHEN doc_id % 3 = 1 THEN 'ok' ELSE 'stale' END AS state FROM documents")
-def sha_stamp(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents")
-    stamp = F.sha2("text", 256)
-    claimed = F.when(F.col("doc_id") % 3 == 1, stamp).when(F.col("doc_id") % 3 == 2, F.sha2(F.concat("text", F.lit("x")), 256))
-    return docs.select("doc_id", stamp.alias("stamp"), F.when(claimed.isNull(), "unstamped").when(claimed == stamp, "ok").otherwise("stale").alias("state"))
-
-
-@query("WITH s AS (SELECT n_name, r_name, levenshtein(n_name, r_name) AS d FROM nation, region), r AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY d, r_name) AS k FROM s) SELECT n_name, r_name AS nearest, CAST(d AS INT) AS distance FROM r WHERE k = 1")
-def did_you_mean(spark, sf_dir):
-    """The nearest region name of each nation: two tables of fixed size."""
-    names = _read(spark, sf_dir, "region").agg(F.sort_array(F.collect_list("r_name")).alias("names"))  # the 5 rows of region
-    rows = _read(spark, sf_dir, "nation").select("n_name").join(F.broadcast(names))
-    best = F.array_min(F.transform("names", lambda r: F.struct(F.levenshtein(F.col("n_name"), r).alias("d"), r.alias("r"))))
-    return rows.select("n_name", best["r"].alias("nearest"), best["d"].alias("distance"))
-
-
-@query("SELECT n_name AS name, CAST(COUNT(c_custkey) AS BIGINT) AS anchors FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
-def anchor_join(spark, sf_dir):
-    """Scalars with the anchors bound to them; those without any count 0."""
-    scalars = _read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name"))
-    anchors = _read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
-    return scalars.join(anchors, "n_nationkey", "left").select("name", F.coalesce("n", F.lit(0)).alias("anchors"))
-
-
-@query("SELECT n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
-def unused_scalar(spark, sf_dir):
-    used = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
-    return _read(spark, sf_dir, "nation").join(used, "n_nationkey", "left_anti").select(F.col("n_name").alias("name"))
-
-
-@query("WITH m AS (SELECT user_id, event_id, ts, event_type, last_value(CASE WHEN event_type = (SELECT MIN(event_type) FROM events) THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS owner FROM events) SELECT event_id, owner FROM m")
-def block_asof(spark, sf_dir):
-    """Each node with the latest marker at or before it in its document."""
-    e = _read(spark, sf_dir, "events")
-    marker = e.agg(F.min("event_type").alias("m")).first().m
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("event_id", F.last(F.when(F.col("event_type") == marker, F.col("event_id")), ignorenulls=True).over(w).alias("owner"))
-
-
-@query("WITH b AS (SELECT doc_id, k AS block, k * 400 AS from_at, k * 400 + 399 AS to_at FROM documents, unnest(range(0, CAST(ceil(n_chars / 400.0) AS BIGINT))) r(k)), a AS (SELECT doc_id, (doc_id * 37) % n_chars AS at FROM documents WHERE n_chars > 0) SELECT a.doc_id, CAST(a.at AS BIGINT) AS at, CAST(b.block AS BIGINT) AS block FROM a JOIN b ON a.doc_id = b.doc_id AND a.at BETWEEN b.from_at AND b.to_at")
-def interval_locate(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents").filter("n_chars > 0")
-    blocks = d.select("doc_id", F.explode(F.sequence(F.lit(0), ((F.col("n_chars") - 1) / 400).cast("int"))).alias("block"))
-    at = d.select("doc_id", ((F.col("doc_id") * 37) % F.col("n_chars")).alias("at"))
-    hit = at.join(blocks, "doc_id").filter((F.col("at") >= F.col("block") * 400) & (F.col("at") <= F.col("block") * 400 + 399))
-    return hit.select("doc_id", "at", F.col("block").cast("long").alias("block"))
-
-
 def _rule_hits(spark, sf_dir) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("table_ix"), F.lit(0).alias("row_ix"), F.lit(0).alias("col_ix"), F.col("doc_id").alias("k"))
     hit = lambda rule, when, sure: d.filter(when).select("doc_id", "table_ix", "row_ix", "col_ix", F.lit(rule).alias("rule"), F.lit(sure).alias("confirmed"), F.lit("1").alias("stored"), F.lit(rule).alias("expected"))
@@ -561,8 +491,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.values().unionByName(held)
 
 
-@query()
-def import_clause(spark, sf_dir):
-    """Import declarations of a corpus as rows: what each fence's text asks for."""
-    got = parse_clause("from prices.csv delimited ; labelled Id, Price at sha256:" + "0" * 64)
-    return spark.createDataFrame([(got.path, got.separator, got.labelled, got.names, got.stamp)], "path string, separator string, labelled boolean, names array<string>, stamp string")
+from . import corpus_queries  # noqa: E402,F401 - registers the queries over generated documents

@@ -8,8 +8,11 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, or below a local folder where that is unset."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/ledgerproof").rstrip("/")
+    """A new path below spark.checkpoint.dir. Only a session on one machine may do without it, and has a local folder."""
+    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not root and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = (root or "file:///tmp/checkpoints/ledgerproof").rstrip("/")
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -126,6 +126,20 @@ report slack
 """
 
 
+def test_blocked_sheets():
+    """A fault keeps back the sheets whose reports read it, a lattice's fault all of them, and what nothing reads none."""
+    two = SWEEP + "```vmark #other\nfar precision 2 = 1.00\nassert far > 0\n\nreport deltas on other.far\n```\n"
+    broken = two.replace("far precision 2 = 1.00", "far precision 2 = 1.00\nlost = nothing + 1")
+    sim = simulate(broken)
+    assert sim.blocked == [] and len(sim.reports) == 7
+    read = simulate(two.replace("far precision 2 = 1.00", "far precision 2 = nothing"))
+    assert len(read.blocked) == 1 and read.blocked[0].startswith("other: UNDEF other.far") and len(read.reports) == 6 and all(k.startswith("plan") for k in read.reports)
+    chain = simulate(two.replace("rate precision 2 = 100.00", "rate precision 2 = nothing"))
+    assert len(chain.blocked) == 1 and chain.blocked[0].startswith("plan: UNDEF plan.rate") and [k.split(":")[0] for k in chain.reports] == ["other"]
+    lattice = simulate(two.replace("lattice 10 = default 10", "lattice 7 = default 10"))
+    assert len(lattice.blocked) >= 2 and lattice.reports == {} and lattice.answers == []
+
+
 def test_document_sweep():
     sim = simulate(SWEEP)
     lines = {k.split("report ")[1].split()[0]: v for k, v in sim.reports.items()}
@@ -157,3 +171,58 @@ def test_sheet_sweep_equals_single_runs(spark):
     for q, given in enumerate(grids.points(params), 1):
         values = [quantize(a * given["x"] + given["y"], 2) for a in (D("10.00"), D("20.50"))]
         assert rows[q].s == sum(values) and rows[q].m == max(values)
+
+
+def test_quotients_that_end_a_rule(spark):
+    """A quotient is rounded exactly by its remainder: ties, signs, zero and digits that only just fit, equal to decimal evaluation."""
+    rng = random.Random(12)
+    rows = [(i, D(rng.randint(-(10**9), 10**9)).scaleb(-2), D(rng.randint(-400, 400)).scaleb(-1)) for i in range(300)]
+    rows += [(1000, D("0.05"), D("0.1")), (1001, D("-0.25"), D("0.2")), (1002, D("1.00"), D("8.0")), (1003, D("-1.00"), D("8.0")), (1004, D("5.00"), D("0.0")), (1005, D("0.00"), D("-3.0"))]
+    frame = spark.createDataFrame(rows, "i int, a decimal(14,2), b decimal(6,1)")
+    run = Workbook(spark).sheet("t", frame, "q precision 2 = a / b\nr precision 4 = ROUND(a / b, 1)\nz precision 0 = (a + 1) / (b * 4)\ns precision 3 = a * 1000 / SUM(a)").run()
+    plan = run.table("t")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    total = sum(a for _, a, _ in rows)
+    formulas = {"q": ("a / b", 2), "r": ("ROUND(a / b, 1)", 4), "z": ("(a + 1) / (b * 4)", 0), "s": ("a * 1000 / t", 3)}
+    for row in run.table("t").collect():
+        for name, (text, places) in formulas.items():
+            try:
+                want = quantize(evaluate(parse_expression(text), lambda r, row=row: {"a": row.a, "b": row.b, "t": total}[r.name], None), places)
+            except Fault:
+                want = None
+            assert row[name] == want, (name, row.a, row.b)
+            assert (row[f"{name}_error"] == "TYPE") == (want is None)
+
+
+def test_reduces_of_assertions(spark):
+    """Assertions may hold any reduce, rates included; all of one sheet are computed together."""
+    flows = spark.createDataFrame([(i, D(v)) for i, v in enumerate(("-900.00", "500.00", "600.00"))], "ix int, cash decimal(12,2)")
+    book = Workbook(spark).sheet("f", flows, "assert NPV(0.05, cash) > 0\nassert IRR(cash) > 10%\nassert SUM(cash) == 200\nassert NPV(0 - 2, cash) > 0\nassert NPV(0.5, cash) > 0", order_by="ix")
+    assert [h for _, _, h in book.run().assertions()] == [True, True, True, None, False]
+
+
+def test_rates_in_tasks_equal_the_driver(spark, monkeypatch):
+    """The same steps price a trial rate in the tasks or on the driver, whatever the number of flows."""
+    from ledgerproof.operators import workbook
+
+    rng = random.Random(9)
+    flows = [(i, D(-5000) if i < 3 else D(rng.randint(0, 900))) for i in range(60)]
+    frame = spark.createDataFrame(flows, "ix int, cash decimal(12,2)").repartition(5)
+    rule = "i precision 12 = IRR(cash)"
+    near = Workbook(spark).sheet("f", frame, rule, order_by="ix").run().values().first()
+    monkeypatch.setattr(workbook, "FEW_FLOWS", 0)
+    monkeypatch.setattr(workbook, "BLOCK", 7)
+    far = Workbook(spark).sheet("f", frame, rule, order_by="ix").run().values().first()
+    assert near == far and near.error is None
+    wavy = spark.createDataFrame([(i, D((-1) ** i)) for i in range(30)], "ix int, cash decimal(12,2)")
+    assert Workbook(spark).sheet("f", wavy, rule, order_by="ix").run().values().first().error == "TYPE"
+
+
+def test_days_added_from_either_side(spark):
+    from datetime import date
+
+    frame = spark.createDataFrame([(date(2024, 2, 28), D(2)), (date(2023, 12, 31), D(1))], "day date, n decimal(4,0)")
+    run = Workbook(spark).sheet("t", frame, "x = day + n\ny = n + day\nz = 30 + day").run()
+    got = run.table("t").collect()
+    assert [(r.x, r.y) for r in got] == [(date(2024, 3, 1),) * 2, (date(2024, 1, 1),) * 2] and got[0].z == date(2024, 3, 29)
+    assert evaluate(parse_expression("3 + EOMONTH(d, 0)"), lambda r: date(2024, 1, 5), None) == date(2024, 2, 3)
