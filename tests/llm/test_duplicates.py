@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -113,3 +114,23 @@ def test_embeddings(spark, monkeypatch):
     assert got[1005].n_links == 1 and got[1005].component_id == 1004 and not got[1005].kept and not got[None].kept
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert embeddings.enough(64, 0.9) >= 2
+
+
+def test_embeddings_of_one_direction(spark):
+    """Scaled copies are one node whatever their number, repeated ids stay rows, and columns with names of the operator do no harm."""
+    rng = np.random.default_rng(3)
+    base, other = rng.normal(size=16), rng.normal(size=16)
+    rows = [(i, (base * 2.0 ** (i % 5)).tolist()) for i in range(40)] + [(3, (base * 2).tolist()), (100, other.tolist()), (101, (-other).tolist()), (102, [0.0] * 16), (102, None)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("h1", "h2", "rep", "copies", "a", "n_links")})
+    got = embeddings.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    assert all(r.n_links == 40 and r.component_id == 0 for r in got if r.vec_id < 100)
+    assert all(r.n_links == 0 and r.component_id == r.vec_id and r.kept for r in got if r.vec_id >= 100)
+
+
+def test_kept_row_of_a_class(spark):
+    """The row that stays is one of the class, and the same one in every run."""
+    rows = [(1, "a b c d e f g", k) for k in (3, 1, 2)] + [(2, "A b  c d e f g", 0), (0, "something else entirely", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark int")
+    runs = {tuple(sorted((r.doc_id, r.mark) for r in simhash.kept(docs.repartition(n)).collect())) for n in (1, 3, 5)}
+    assert len(runs) == 1 and {i for i, _ in next(iter(runs))} == {0, 1}

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerproof.llm import records, sentencepieces
 from ledgerproof.llm.common import scratch
@@ -83,3 +84,33 @@ def test_records_round_trip(spark, odd, none):
     one = index.filter("doc_id = 7").first()
     assert records.fetch(folder, one.file, one.offset, one.length) == (7, next(i for k, _, i in rows if k == 7))
     assert records.roundtrip(none, WORDS, scratch(spark, "test-empty"), 2).count() == 0
+
+
+def test_keys_at_the_edges(spark):
+    """The least key and no key are told apart, rows of one key go to several tasks, and a very long text is one record."""
+    rows = [(-(2**63), "least"), (None, "no key"), (None, None), (2**63 - 1, "most"), (5, "long words " * 60_000)] + [(7, f"text {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("first", F.lit(1)).withColumn("same", F.lit(2)).repartition(4)
+    folder = scratch(spark, "test-records")
+    index = records.write(docs, WORDS, folder, end_id=2, parts=5)
+    got = records.read(spark, folder).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i, _ in rows)
+    assert index.filter("doc_id = 7").select("part").distinct().count() > 1
+    starts = sorted((r.start, r.n_tokens, r.doc_id) for r in got)
+    assert all(a[0] + a[1] == b[0] for a, b in zip(starts, starts[1:], strict=False))
+    known = [k for _, _, k in starts if k is not None]
+    assert known == sorted(known)
+    one = index.filter(f"doc_id = {-(2**63)}").first()
+    assert records.fetch(folder, one.file, one.offset, one.length)[0] == -(2**63)
+
+
+def test_every_kind_of_cut_is_checked():
+    """Words after line ends, line ends and runs of marks are compared with the library too: a wrong merge of any of them is refused."""
+    own = sentencepieces.MergeEncoder(PIECES)
+    merge, own.merge = own.merge, lambda words: [[*ids[:-1], (ids[-1] + 1) % 32000] if w == bad else ids for w, ids in zip(words, merge(words), strict=True)]
+    for bad in ("\n", "begun", "▁▁", "▁word"):
+        own.words.clear()
+        with pytest.raises(AssertionError):
+            own.encode(["word\nbegun word  \n"])
+    bad = None
+    own.words.clear()
+    assert own.encode(["word\nbegun word  \n"])[0][0] == own.library.encode("word\nbegun word  \n")
