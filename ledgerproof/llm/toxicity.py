@@ -2,8 +2,8 @@
 
 Terms are a text's distinct words and the first three to six letters of each (so that inflected forms meet). The machine
 adds linear weights and, for each pair of terms that stand together, the product of their factors: an insult weighs more
-next to a group's name. A sparse linear fit over every term seen in a few rows of a bounded, labelled sample, whose penalty alone
-decides, picks terms with an effect of their own; those with an effect only next to another one are picked by the score of their pair on what
+next to a group's name. A sparse linear fit over every term seen in a few rows of a bounded, labelled sample, with the penalty that serves
+a fifth of the rows best when they are held back, picks terms with an effect of their own; those with an effect only next to another one are picked by the score of their pair on what
 that fit leaves over. All others have no weight, so long clean texts don't add up noise. Fitting is numpy in one task; scoring reads every whole text.
 """
 
@@ -26,12 +26,14 @@ BUCKETS, PREFIXES, PAIRED = 1 << 21, (3, 4, 5, 6), 4
 HALF = BUCKETS // 2
 #: Labelled rows of a class in the training sample, terms of all its rows, and rows of it that a term must stand in.
 MOST_ROWS, MOST_TERMS, LEAST_ROWS = 4000, 8_000_000, 4
-#: Penalty of a term in standard deviations of its gradient, and steps of the sparse fit.
-PENALTY, STEPS = 1.9, 150
+#: Penalties of a term in standard deviations of its gradient, of which held-back rows choose one, and steps of the sparse fit for each.
+PENALTIES, STEPS = (4.5, 3.6, 2.8, 2.0), 60
 #: Score at which a pair counts (no pair in fewer than its square of rows can reach it), what its rows must have left over in all, and terms compared at once.
 PAIR_Z, PAIR_LEFT, PAIR_BLOCK = 6.0, 3.0, 512
 PAIR_ROWS = int(PAIR_Z**2)
 FACTORS, EPOCHS, RATE, BATCH, L1, L2 = 8, 30, 0.1, 256, 1e-3, 1e-4
+#: Epochs that compare penalties, and rows held back that are needed for it.
+CHOICE_EPOCHS, LEAST_BACK = 10, 40
 #: Words whose weighed terms a task keeps between batches.
 MOST_WORDS = 250_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -111,10 +113,11 @@ def _within(flat: np.ndarray, sizes: np.ndarray, terms_: np.ndarray, number: int
     return at[at >= 0], np.r_[0, np.cumsum(at >= 0)][np.r_[0, np.cumsum(sizes)]]
 
 
-def _sparse(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, weights: np.ndarray, n: int, bias: float) -> tuple[np.ndarray, np.ndarray]:
-    """(what is left of the labels, weights) of a linear fit over all terms: accelerated proximal steps.
+def _sparse(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, weights: np.ndarray, n: int, bias: float, mine: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(what is left of the labels, weights of terms) of a linear fit over all terms for each penalty, from the highest to the lowest: accelerated proximal steps.
 
-    A term's penalty is in proportion to the deviation of its gradient, so rare and common terms are judged alike.
+    A term's penalty is in proportion to the deviation of its gradient, so rare and common terms are judged alike. `mine`: the rows' weights in the
+    fit, 0 for rows held back.
     """
     bounds = np.r_[0, np.cumsum(sizes)].astype(np.int64)
     who = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
@@ -128,8 +131,9 @@ def _sparse(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, weights: np.ndarra
     def over_rows(v):
         return _sums(v.astype(np.float32)[at], bounds)
 
-    start = weights * (y - 1 / (1 + np.exp(-bias)))
+    start = mine * (y - 1 / (1 + np.exp(-bias)))
     scale = np.sqrt(np.maximum(over_terms(start**2), 1e-12))  # also makes the terms' columns comparable
+    scale[scale < 1e-5] = 1e6  # terms of held-back rows alone stay out
     vector = np.ones(len(y))  # the largest eigenvalue of the scaled rows' products bounds the step
     norm = 1.0
     for _ in range(12):
@@ -137,20 +141,22 @@ def _sparse(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, weights: np.ndarra
         norm = float(np.sqrt(vector @ vector)) or 1.0
         vector /= norm
     rate = 1 / (0.3 * float(weights.max()) * (norm + len(y) / max(start @ start, 1e-9)) * 1.05)
-    b, w, old_b, old_w, t = 0.0, np.zeros(n), 0.0, np.zeros(n), 1.0
-    ahead_b, ahead_w = b, w
     offset = 1 / np.sqrt(max(start @ start, 1e-9))
-    for _ in range(STEPS):
-        raw = bias + ahead_b * offset + over_rows(ahead_w / scale)
-        e = weights * (y - 1 / (1 + np.exp(-np.clip(raw, -40, 40))))
-        old_b, old_w = b, w
-        b = ahead_b + rate * e.sum() * offset
-        moved = ahead_w + rate * over_terms(e) / scale
-        w = np.sign(moved) * np.maximum(np.abs(moved) - rate * PENALTY, 0)
-        t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        ahead_b, ahead_w = b + (last - 1) / t * (b - old_b), w + (last - 1) / t * (w - old_w)
-    raw = bias + b * offset + over_rows(w / scale)
-    return y - 1 / (1 + np.exp(-np.clip(raw, -40, 40))), w / scale
+    b, w, fits = 0.0, np.zeros(n), []
+    for penalty in PENALTIES:
+        t, ahead_b, ahead_w = 1.0, b, w
+        for _ in range(STEPS):
+            raw = bias + ahead_b * offset + over_rows(ahead_w / scale)
+            e = mine * (y - 1 / (1 + np.exp(-np.clip(raw, -40, 40))))
+            old_b, old_w = b, w
+            b = ahead_b + rate * e.sum() * offset
+            moved = ahead_w + rate * over_terms(e) / scale
+            w = np.sign(moved) * np.maximum(np.abs(moved) - rate * penalty, 0)
+            t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+            ahead_b, ahead_w = b + (last - 1) / t * (b - old_b), w + (last - 1) / t * (w - old_w)
+        raw = np.clip(bias + b * offset + over_rows(w / scale), -40, 40)
+        fits.append((y - 1 / (1 + np.exp(-raw)), w / scale))
+    return fits
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -222,22 +228,41 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray | None =
     number = int(flat.max(initial=0)) + 1
     seen = np.flatnonzero(np.bincount(flat, minlength=number) >= LEAST_ROWS)
     kept, bounds = _within(flat, sizes, seen, number)
-    left, linear = _sparse(kept, np.diff(bounds), y, weights, len(seen), none.bias)
-    fine = np.union1d(np.flatnonzero(linear), _paired(kept, np.diff(bounds), left, len(seen), seen < HALF))
-    if not len(fine):
+    back = np.arange(len(y)) % 5 == 4
+    fits = _sparse(kept, np.diff(bounds), y, weights, len(seen), none.bias, np.where(back, 0.0, weights))
+    paired = _paired(kept, np.diff(bounds), fits[-1][0], len(seen), seen < HALF)
+    choices = [(np.union1d(np.flatnonzero(w), paired), w) for _, w in fits]
+    choices = [c for c in choices if len(c[0])]
+    if not choices:
         return none
-    kept, bounds = _within(flat, sizes, seen[fine], number)
-    kept = kept.astype(np.int64)
-    del flat
+
+    def trained(fine: np.ndarray, linear: np.ndarray, rows_of: np.ndarray, epochs: int) -> tuple[Machine, np.ndarray, np.ndarray]:
+        at, edges = _within(flat, sizes, seen[fine], number)
+        m = Machine(seen[fine], none.bias, linear[fine], np.random.default_rng(seed).normal(0, 0.02, (len(fine), FACTORS)))
+        _train(m, at.astype(np.int64), edges, y, weights, rows_of, epochs, seed)
+        return m, at, edges
+
+    def loss(m: Machine, at: np.ndarray, edges: np.ndarray) -> float:
+        some = np.flatnonzero(back)
+        raw = np.clip(m.raw([at[edges[i]: edges[i + 1]] for i in some]), -40, 40)
+        return float((weights[some] * np.log1p(np.exp(np.where(y[some] > 0.5, -raw, raw)))).sum())
+
+    if len(choices) > 1 and back.sum() >= LEAST_BACK:  # the first of the best, which has fewest terms
+        choices = [min(choices, key=lambda c: loss(*trained(*c, np.flatnonzero(~back), CHOICE_EPOCHS)))]
+    return trained(*choices[-1], np.arange(len(y)), EPOCHS)[0]
+
+
+def _train(m: Machine, kept: np.ndarray, bounds: np.ndarray, y: np.ndarray, weights: np.ndarray, rows: np.ndarray, epochs: int, seed: int) -> None:
+    """Adagrad steps over the given rows."""
     rng = np.random.default_rng(seed)
-    m = Machine(seen[fine], none.bias, linear[fine], rng.normal(0, 0.02, (len(fine), FACTORS)))
-    gw, gv, gb = np.full(len(fine), 1e-6), np.full(m.factors.shape, 1e-6), 1e-6
-    for _ in range(EPOCHS):
-        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // BATCH)):
+    n = len(m.chosen)
+    gw, gv, gb = np.full(n, 1e-6), np.full(m.factors.shape, 1e-6), 1e-6
+    for _ in range(epochs):
+        for part in np.array_split(rng.permutation(rows), max(1, len(rows) // BATCH)):
             mine = [kept[bounds[i]: bounds[i + 1]] for i in part]
             e = (1 / (1 + np.exp(-np.clip(m.raw(mine), -40, 40))) - y[part]) * weights[part] / len(part)
             at, who = np.concatenate(mine), np.repeat(np.arange(len(part)), [len(r) for r in mine])
-            step = np.bincount(at, e[who], len(fine))
+            step = np.bincount(at, e[who], n)
             gw += step**2
             rate = RATE / np.sqrt(gw)
             moved = m.linear - rate * step
@@ -245,12 +270,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray | None =
             for f in range(FACTORS):
                 v = m.factors[at, f]
                 total = np.bincount(who, v, len(part))
-                step = np.bincount(at, e[who] * (total[who] - v), len(fine)) + L2 * m.factors[:, f] / len(rows)
+                step = np.bincount(at, e[who] * (total[who] - v), n) + L2 * m.factors[:, f] / len(rows)
                 gv[:, f] += step**2
                 m.factors[:, f] -= RATE / np.sqrt(gv[:, f]) * step
             gb += e.sum() ** 2
             m.bias -= RATE / np.sqrt(gb) * e.sum()
-    return m
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[DataFrame, dict[int, int]]:
