@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, langid, lm, quotes, records, sentencepieces, simhash, toxicity, warc
+from . import bytepairs, decontaminate, embeddings, langid, lm, quotes, records, sentencepieces, simhash, toxicity, warc
 from .common import scratch, table
 
 #: Public vocabulary files; a task opens them by name, wherever its own installation keeps them.
-PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
+PIECES, WORDS, RANKS = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_template_decontamination(spark, sf_dir):
@@ -49,11 +49,17 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_rank_queue_bpe(spark, sf_dir):
+    from public_tokenizers import PATTERN
+
+    return bytepairs.encode_documents(table(spark, sf_dir, "documents"), RANKS, PATTERN)
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_template_decontamination, op2_token_records, op3_sentencepiece_agenda, op4_simhash_near_dedup, op5_log_bilinear_scores,
-        op6_language_id, op7_quotation_threads, op8_warc_revisits, op9_embedding_near_dedup, op10_toxicity,
+        op6_language_id, op7_quotation_threads, op8_warc_revisits, op9_embedding_near_dedup, op10_toxicity, op11_rank_queue_bpe,
     )
 }
 
