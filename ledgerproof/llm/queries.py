@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytepairs, decontaminate, embeddings, langid, lm, quotes, records, sentencepieces, simhash, toxicity, warc
+from . import bytepairs, decontaminate, embeddings, langid, lexical, lm, quotes, records, sentencepieces, simhash, spellings, toxicity, warc
 from .common import scratch, table
 
 #: Public vocabulary files; a task opens them by name, wherever its own installation keeps them.
@@ -55,17 +55,27 @@ def op11_rank_queue_bpe(spark, sf_dir):
     return bytepairs.encode_documents(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op12_spelling_variants(spark, sf_dir):
+    return spellings.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_template_decontamination, op2_token_records, op3_sentencepiece_agenda, op4_simhash_near_dedup, op5_log_bilinear_scores,
         op6_language_id, op7_quotation_threads, op8_warc_revisits, op9_embedding_near_dedup, op10_toxicity, op11_rank_queue_bpe,
+        op12_spelling_variants, op13_lexical_search,
     )
 }
 
 #: Payloads below 100 bytes never revisit; the least page_id of equal payloads is the response.
 ORACLE_SQL = {
     "op7_quotation_threads": quotes.SQL,
+    "op13_lexical_search": lexical.SQL,
     "op8_warc_revisits": """
 WITH heads AS (
     SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
