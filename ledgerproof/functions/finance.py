@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 from decimal import ROUND_HALF_UP, Context, Decimal, localcontext
 
 from ..lang.values import CONTEXT, Fault
@@ -41,49 +42,81 @@ def irr(flows: Sequence[Decimal]) -> Decimal:
     return irr_of(sum(a != b for a, b in zip(signs, signs[1:], strict=False)), values)
 
 
-def irr_of(sign_changes: int, values: Callable[[list[Decimal]], list[Decimal]]) -> Decimal:
-    """The root of a value function that can price several rates at once, for flows of which `sign_changes` follow another sign.
+@dataclass
+class Bracket:
+    """The search for the root of a value function that can price several rates at once. `asked` are the rates to price next; `tell` takes their values.
 
     With one sign change the value is monotone in the discount factor's sign pattern, so a bracket holds one root;
-    it is narrowed by a secant step that falls back to halving, and short exact decimals are recognised.
+    it is narrowed by a secant step that falls back to halving, and short exact decimals are recognised. The state is a few numbers and words, so that many
+    searches can advance together and be written between their steps.
     """
+
+    phase: str = "open"  # open, narrow, ends, short or done
+    asked: list[Decimal] = field(default_factory=lambda: [Decimal("-0.9"), Decimal(1)])
+    low: Decimal = Decimal("-0.9")
+    high: Decimal = Decimal(1)
+    v_low: Decimal = Decimal(0)
+    v_high: Decimal = Decimal(0)
+    last: str = ""
+    turn: int = 0
+    root: Decimal | None = None
+
+    def tell(self, values: list[Decimal]) -> None:
+        """TYPE faults where no rate is in reach. To be called in the context WIDE."""
+        if self.phase == "open":
+            self.v_low, self.v_high = values
+            if self.v_low and (self.v_low > 0) == (self.v_high > 0):
+                if self.high >= Decimal("1e12") and self.low <= Decimal("-0.999999999999"):
+                    raise Fault("TYPE", "IRR has no rate in reach")
+                self.high = self.high * 4 if self.high < Decimal("1e12") else self.high
+                self.low = (self.low - 9) / 10 if self.low > Decimal("-0.999999999999") else self.low
+                self.asked = [self.low, self.high]
+                return
+            self._next()
+        elif self.phase == "narrow":
+            (mid,), (v_mid,) = self.asked, values
+            if (v_mid > 0) == (self.v_low > 0):
+                self.low, self.v_low = mid, v_mid
+                if self.last == "low":
+                    self.v_high /= 2
+                self.last = "low"
+            else:
+                self.high, self.v_high = mid, v_mid
+                if self.last == "high":
+                    self.v_low /= 2
+                self.last = "high"
+            self.turn += 1
+            if self.high - self.low < ROOT_WIDTH:
+                self.phase, self.asked = "ends", [self.low, self.high]
+            else:
+                self._next()
+        elif self.phase == "ends":
+            at_low, at_high = values
+            self.root = self.low if at_low == 0 else self.high if at_high == 0 else (self.low + self.high) / 2
+            short = [self.root.quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_UP, context=WIDE) for places in range(13)]
+            self.phase, self.asked = "short", [r for r in short if r > -1]
+        else:
+            self.root = next((r for r, v in zip(self.asked, values, strict=True) if v == 0), self.root)
+            self.phase, self.asked = "done", []
+
+    def _next(self) -> None:
+        if self.turn == 400 or self.v_low == 0 or self.v_high == 0:
+            self.phase, self.asked = "ends", [self.low, self.high]
+            return
+        low, high, v_low, v_high = self.low, self.high, self.v_low, self.v_high
+        mid = (low + high) / 2 if self.turn % 3 == 2 or v_high == v_low else high - v_high * (high - low) / (v_high - v_low)
+        self.phase, self.asked = "narrow", [mid if low < mid < high else (low + high) / 2]
+
+
+def irr_of(sign_changes: int, values: Callable[[list[Decimal]], list[Decimal]]) -> Decimal:
+    """The root that a Bracket finds, for flows of which `sign_changes` follow another sign."""
     if sign_changes != 1:
         raise Fault("TYPE", "IRR needs flows that change sign exactly once")
-    with localcontext(WIDE) as c:
-        low, high = Decimal("-0.9"), Decimal(1)
-        v_low, v_high = values([low, high])
-        while v_low and (v_low > 0) == (v_high > 0):
-            if high >= Decimal("1e12") and low <= Decimal("-0.999999999999"):
-                raise Fault("TYPE", "IRR has no rate in reach")
-            high = high * 4 if high < Decimal("1e12") else high
-            low = (low - 9) / 10 if low > Decimal("-0.999999999999") else low
-            v_low, v_high = values([low, high])
-        last = None
-        for turn in range(400):
-            if v_low == 0 or v_high == 0:
-                break
-            mid = (low + high) / 2 if turn % 3 == 2 or v_high == v_low else high - v_high * (high - low) / (v_high - v_low)
-            if not low < mid < high:
-                mid = (low + high) / 2
-            (v_mid,) = values([mid])
-            if (v_mid > 0) == (v_low > 0):
-                low, v_low = mid, v_mid
-                if last == "low":
-                    v_high /= 2
-                last = "low"
-            else:
-                high, v_high = mid, v_mid
-                if last == "high":
-                    v_low /= 2
-                last = "high"
-            if high - low < ROOT_WIDTH:
-                break
-        at_low, at_high = values([low, high])
-        root = low if at_low == 0 else high if at_high == 0 else (low + high) / 2
-        short = [root.quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_UP, context=c) for places in range(13)]
-        short = [r for r in short if r > -1]
-        root = next((r for r, v in zip(short, values(short), strict=True) if v == 0), root)
-    return CONTEXT.plus(root)
+    with localcontext(WIDE):
+        search = Bracket()
+        while search.phase != "done":
+            search.tell(values(search.asked))
+    return CONTEXT.plus(search.root)
 
 
 def pmt(rate: Decimal, periods: Decimal, present: Decimal) -> Decimal:

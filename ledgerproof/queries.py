@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import texts
-from .operators import documents, grids, infer, investigate, repair, reports
+from .operators import documents, grids, infer, investigate, repair, reports, series
 from .operators.workbook import Workbook
 from .sources import corpus
 
@@ -158,6 +158,31 @@ def npv_orders(spark, sf_dir):
 # functions
 
 
+_YEARS = f"WITH {ORD}, f AS (SELECT o_custkey, year(day) AS y, CAST(SUM(total) AS DECIMAL(18,2)) AS v FROM o GROUP BY o_custkey, year(day)), g AS (SELECT o_custkey, MIN(y) AS lo, MAX(y) - MIN(y) + 1 = COUNT(*) AS whole FROM f GROUP BY o_custkey)"
+
+
+@query(
+    f"{_YEARS} SELECT o_custkey, CASE WHEN whole THEN CAST(ROUND(SUM(v * CASE y - lo " + " ".join(f"WHEN {k} THEN {Decimal('0.8') ** k:.8f}" for k in range(9)) + " END), 2) AS DECIMAL(38,2)) END AS npv, CASE WHEN NOT whole THEN 'TYPE' END AS error FROM f JOIN g USING (o_custkey) GROUP BY o_custkey, whole"
+)
+def npv_by_customer(spark, sf_dir):
+    """The present value of each customer's years at 25 %; a customer with a year left out is refused, not the others."""
+    flows = _orders(spark, sf_dir).groupBy("o_custkey", F.year("day").alias("y")).agg(F.sum("total").alias("v"))
+    return series.present_values(flows, ["o_custkey"], "y", "v", Decimal("0.25"))
+
+
+@query(f"WITH {ORD} SELECT o_custkey, CASE WHEN o_custkey % 7 <> 0 THEN CAST((o_custkey % 20 + 1) / 100.0 AS DECIMAL(38,6)) END AS irr, CASE WHEN o_custkey % 7 = 0 THEN 'TYPE' END AS error FROM o GROUP BY o_custkey")
+def irr_project(spark, sf_dir):
+    """The rate of return of a loan to each customer: what they ordered is lent, interest comes with each order and the loan back with the last, which is a period late for every seventh."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey", "total")
+    orders = _orders(spark, sf_dir).withColumn("k", F.row_number().over(w))
+    loans = orders.groupBy("o_custkey").agg((F.floor(F.sum("total")) * 100 + 100).cast("decimal(24,2)").alias("lent"), F.max("k").alias("n"))
+    interest = (F.col("lent") * (F.col("o_custkey") % 20 + 1) / 100).cast("decimal(24,2)")
+    final = F.col("k") == F.col("n")
+    paid = orders.select("o_custkey", "k").join(loans, "o_custkey").select("o_custkey", F.when(final & (F.col("o_custkey") % 7 == 0), F.col("k") + 1).otherwise(F.col("k")).alias("k"), (interest + F.when(final, F.col("lent")).otherwise(0)).alias("v"))
+    flows = paid.unionByName(loans.select("o_custkey", F.lit(0).alias("k"), (-F.col("lent")).alias("v")))
+    return series.rates_of_return(flows, ["o_custkey"], "k", "v")
+
+
 @query(
     """WITH c AS (SELECT c_custkey, CAST(c_acctbal AS DECIMAL(12,2)) AS bal FROM customer)
 SELECT c_custkey, CAST(ROUND(bal, 1) AS DECIMAL(20,1)) AS r1, CAST(ABS(bal) AS DECIMAL(20,2)) AS a, CAST(bal % 7.5 AS DECIMAL(20,2)) AS m,
