@@ -13,6 +13,7 @@ from ..functions.columns import Compiled, compile_expression, literal
 from ..functions.registry import REDUCES
 from ..lang.parser import parse_expression
 from ..lang.syntax import Call, Ref, walk
+from . import statistics
 
 #: Questions whose reduces share one scan.
 CHUNK = 64
@@ -56,10 +57,14 @@ def points(params: list[Param]) -> list[dict[str, Decimal]]:
 def sheet_answers(frame: DataFrame, rules: dict[str, tuple[str, int]], scalars: dict[str, str], params: list[Param]) -> DataFrame:
     """(q_ix, parameters, scalars) where rules over a sheet's columns read parameters.
 
-    `rules`: column to (formula, width); `scalars`: name to SUM/MIN/MAX/COUNT(column). Each chunk of questions is one aggregation: the sheet is
+    `rules`: column to (formula, width); `scalars`: name to SUM/MIN/MAX/COUNT(column). Where the scalars reduce one rule that is a sum of products of columns and parameters, the
+    sheet is read twice at most, whatever the number of questions (see statistics). Otherwise each chunk of questions is one aggregation: the sheet is
     read once for CHUNK questions and rows are never multiplied. Only sums leave the tasks.
     """
     spark = frame.sparkSession
+    separate = _separate(frame, rules, scalars, params)
+    if separate is not None:
+        return separate
     grid = points(params)
     schema = {f.name: f.dataType for f in frame.schema.fields}
 
@@ -95,6 +100,24 @@ def sheet_answers(frame: DataFrame, rules: dict[str, tuple[str, int]], scalars:
     return out if out is not None else spark.createDataFrame([], "q_ix long")
 
 
+def _separate(frame: DataFrame, rules: dict[str, tuple[str, int]], scalars: dict[str, str], params: list[Param]) -> DataFrame | None:
+    """The answers from statistics of the sheet, or None where the rule doesn't come apart."""
+    reduces = {n: statistics.reduce_of(parse_expression(t)) for n, t in scalars.items()}
+    columns = {r[1] for r in reduces.values() if r}
+    if None in reduces.values() or len(columns) != 1 or (name := columns.pop()) not in rules or not params:
+        return None
+    text, places = rules[name]
+    rule = parse_expression(text)
+    if any(isinstance(x, Ref) and x.name in rules for x in walk(rule)):
+        return None
+    widths = {p.name: p.scale for p in params}
+    try:
+        stats = statistics.Statistics(frame, rule, places, {n: r[0] for n, r in reduces.items()}, widths)
+    except statistics.Inseparable:
+        return None
+    return statistics.priced(stats, questions(frame.sparkSession, params), widths)
+
+
 def derive(answers: DataFrame, formulas: dict[str, tuple[str, int]]) -> DataFrame:
     """More scalars from parameters and scalars that stand in the answers already: name to (formula, width)."""
     for n, (text, places) in formulas.items():

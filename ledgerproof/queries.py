@@ -314,6 +314,16 @@ def sweep_answers(spark, sf_dir):
     return _answers(spark, sf_dir)[0].select("q_ix", "d", "t", "revenue")
 
 
+@query(
+    f"WITH {LI}, q AS (SELECT a * 20 + b + 1 AS q_ix, CAST(a * 0.01 AS DECIMAL(20,2)) AS d, CAST(b * 0.005 AS DECIMAL(20,3)) AS t FROM range(0, 25) x(a), range(0, 20) y(b)) "
+    "SELECT CAST(q_ix AS BIGINT) AS q_ix, d, t, CAST(SUM(CAST(ROUND(price * (1 - CAST(d AS DECIMAL(4,2))) * (1 + CAST(t AS DECIMAL(4,3))), 2) AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS revenue, CAST(MAX(CAST(ROUND(price * (1 - CAST(d AS DECIMAL(4,2))) * (1 + CAST(t AS DECIMAL(4,3))), 2) AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS most FROM q, li GROUP BY q_ix, d, t"
+)
+def sweep_fine(spark, sf_dir):
+    """A grid of 500 questions over all lines, each line rounded under each question, from two scans of the lines."""
+    params = [grids.Param("d", Decimal("0.00"), Decimal("0.01"), 25), grids.Param("t", Decimal("0.000"), Decimal("0.005"), 20)]
+    return grids.sheet_answers(_lineitem(spark, sf_dir), {"net": ("price * (1 - d) * (1 + t)", 2)}, {"revenue": "SUM(net)", "most": "MAX(net)"}, params)
+
+
 @query(f"WITH {_GRID_SQL} SELECT q_ix, d, t, feasible, concat_ws('; ', CASE WHEN NOT a0 THEN 'low' END, CASE WHEN NOT a1 THEN 'sum' END) AS broken FROM y")
 def sweep_ledger(spark, sf_dir):
     return grids.ledger(_answers(spark, sf_dir)[0], _GRID, ["low", "sum"])
@@ -364,9 +374,28 @@ def _invoice(spark, sf_dir) -> DataFrame:
 _INV = f"{LI}, x AS (SELECT l_orderkey, qty, price, CAST(ROUND(qty * price, 2) AS DECIMAL(18,2)) AS a, CAST(qty + price AS DECIMAL(18,2)) AS b, CAST(ROUND(price * 0.08, 2) AS DECIMAL(18,2)) AS c FROM li)"
 
 
-@query(f"WITH {_INV} SELECT 'a' AS target, 'qty * price' AS formula, CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(COUNT(*) FILTER (ROUND(qty * price, 2) = a) AS BIGINT) AS n_fit FROM x UNION ALL SELECT 'b', 'qty + price', CAST(COUNT(*) AS BIGINT), CAST(COUNT(*) FILTER (qty + price = b) AS BIGINT) FROM x UNION ALL SELECT 'qty', 'b - price', CAST(COUNT(*) AS BIGINT), CAST(COUNT(*) FILTER (b - price = qty) AS BIGINT) FROM x UNION ALL SELECT 'price', 'b - qty', CAST(COUNT(*) AS BIGINT), CAST(COUNT(*) FILTER (b - qty = price) AS BIGINT) FROM x")
+#: a / column in hundredths, rounded half up (all are positive).
+_QUOTIENT = "(2 * CAST(a * 100 AS HUGEINT) * 100 + CAST({0} * 100 AS HUGEINT)) // (2 * CAST({0} * 100 AS HUGEINT))"
+
+
+@query(f"WITH {_INV} SELECT 'a' AS target, 'qty * price' AS formula, CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(COUNT(*) FILTER (ROUND(qty * price, 2) = a) AS BIGINT) AS n_fit FROM x UNION ALL SELECT 'b', 'qty + price', CAST(COUNT(*) AS BIGINT), CAST(COUNT(*) FILTER (qty + price = b) AS BIGINT) FROM x UNION ALL SELECT 'qty', 'b - price', CAST(COUNT(*) AS BIGINT), CAST(COUNT(*) FILTER (b - price = qty) AS BIGINT) FROM x UNION ALL SELECT 'price', 'b - qty', CAST(COUNT(*) AS BIGINT), CAST(COUNT(*) FILTER (b - qty = price) AS BIGINT) FROM x UNION ALL "
+       f"SELECT 'price', 'a / qty', CAST(COUNT(*) AS BIGINT), CAST(COUNT(*) FILTER ({_QUOTIENT.format('qty')} = CAST(price * 100 AS HUGEINT)) AS BIGINT) FROM x UNION ALL SELECT 'qty', 'a / price', CAST(COUNT(*) AS BIGINT), CAST(COUNT(*) FILTER ({_QUOTIENT.format('price')} = CAST(qty * 100 AS HUGEINT)) AS BIGINT) FROM x")
 def infer_pairs(spark, sf_dir):
-    return infer.fits(_invoice(spark, sf_dir).drop("l_orderkey", "c"), most_misses=0).filter("not formula like '%/%'")
+    """Every sum, difference, product and quotient of two columns that a third one holds in all rows."""
+    return infer.fits(_invoice(spark, sf_dir).drop("l_orderkey", "c"), most_misses=0)
+
+
+@query(f"WITH {LI} SELECT 'w' || k || 'x' AS target, CASE k % 3 WHEN 0 THEN 'w' || k || 'a * w' || k || 'b' WHEN 1 THEN 'w' || k || 'a + w' || k || 'b' ELSE 'w' || k || 'b / w' || k || 'a' END AS formula, (SELECT COUNT(*) FROM li) AS n_rows, (SELECT COUNT(*) FROM li) AS n_fit FROM range(0, 24) t(k)")
+def infer_wide(spark, sf_dir):
+    """The rules of a sheet of 72 columns, a third of them products, sums and quotients of two others: 1.3 million candidates, of which two scans leave 24."""
+    fields = []
+    for k in range(24):
+        a, b = (F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", F.lit(f"{k}{side}")), F.lit(900_000)) + 100_000 for side in "ab")
+        a, b = ((c.cast("decimal(12,0)") / 100).cast("decimal(12,2)") for c in (a, b))
+        x = (a * b).cast("decimal(24,4)") if k % 3 == 0 else (a + b).cast("decimal(14,2)") if k % 3 == 1 else F.round(b.cast("decimal(30,12)") / a, 8).cast("decimal(20,8)")
+        fields += [a.alias(f"w{k}a"), b.alias(f"w{k}b"), x.alias(f"w{k}x")]
+    kept = infer.fits(_lineitem(spark, sf_dir).select(*fields), most_misses=0)
+    return kept.filter("target like '%x'")  # a sum's and a product's inverses hold as well
 
 
 @query(f"WITH {_INV}, y AS (SELECT *, a + CASE WHEN l_orderkey = (SELECT MIN(l_orderkey) FROM x) THEN 1 ELSE 0 END AS s FROM x) SELECT CAST(COUNT(*) FILTER (s <> a) AS BIGINT) AS misses, CAST(COUNT(*) AS BIGINT) AS n FROM y")
