@@ -28,6 +28,19 @@ def windows(text, size, form):
     return out
 
 
+def spelled(text, form):
+    """The template of a whole text, token by token."""
+    tokens, out = d.TOKEN.findall(text), []
+    for i, w in enumerate(tokens):
+        low = w.lower()
+        number = w[0].isdigit() or low in d.NUMBERS
+        unit = low in d.UNITS and not number and i > 0 and (tokens[i - 1][0].isdigit() or tokens[i - 1].lower() in d.NUMBERS)
+        kind = "number" if number else "unit" if unit else "name" if w[0].isupper() else "word"
+        slot = kind == "number" or form == "typed" and kind != "word"
+        out.append(f"<{kind}>" if slot else low)
+    return out
+
+
 def leaks(docs, items):
     found = set()
     for item, question in items:
@@ -37,7 +50,7 @@ def leaks(docs, items):
         forms = forms if any(forms.values()) else {"exact": windows(question, size, "exact")} if n else {}
         every = {at for w in forms.values() for at in w}
         for doc, text in docs:
-            matched, longest = set(), 0
+            matched, longest, aligned = set(), 0, []
             for form, mine in forms.items():
                 theirs = windows(text or "", size, form)
                 lines = {}
@@ -45,11 +58,24 @@ def leaks(docs, items):
                     for there, (other, filled) in theirs.items():
                         if codes == other:
                             lines.setdefault(there - at, []).append((at, list(zip(slots, filled, strict=True))))
-                for line in lines.values():
+                good = []
+                for shift, line in lines.items():
                     pairs = {p for _, x in line for p in x}
                     if not pairs or len({a for a, _ in pairs}) / len(pairs) >= d.CONSISTENT:
+                        good.append(shift)
                         matched |= {at for at, _ in line}
                         longest = max(longest, len(line) + size - 1)
+                aligned.append((form, good))
+            if every and 0 < len(every) < n - size + 1:
+                # some windows hold too few words: an alignment must have the whole item's template
+                best = 0
+                for form, lines in aligned:
+                    for shift in lines:
+                        mine, theirs = (spelled(x or "", form) for x in (question, text))
+                        best = max(best, sum(0 <= i + shift < len(theirs) and theirs[i + shift] == c for i, c in enumerate(mine)) / n)
+                if len(matched) / len(every) >= d.COVERAGE and best >= d.COVERAGE or longest >= d.RUN:
+                    found.add((doc, item))
+                continue
             if every and (len(matched) / len(every) >= d.COVERAGE or longest >= d.RUN):
                 found.add((doc, item))
     return found
@@ -63,6 +89,7 @@ def test_equal_to_plain_version(spark):
         return " ".join(rng.choice([rng.choice(words)] * 5 + [rng.choice(names), str(rng.randint(1, 30)), "12 kg", "+ 5"]) for _ in range(n))
 
     items = [(i, sentence(rng.choice([3, 5, 8, 12, 20, 40]))) for i in range(30)] + [(100, "What is 12 + 30 - 7?"), (101, "Compute 45 * 12."), (102, "17 18 19 20"), (103, ""), (104, None)]
+    items += [(110 + i, f"please add up the numbers {' '.join(str(rng.randint(1, 40)) for _ in range(k))} and name {rng.choice(names)}") for i, k in enumerate((3, 9, 14))]
     docs = []
     for i in range(120):
         text = sentence(rng.randint(0, 30))
@@ -107,3 +134,33 @@ def test_rows_are_judged_by_their_text(spark, odd, none):
     assert kept.columns == docs.columns and sorted(r.row for r in kept.collect()) == [2, 4]
     assert {(r.doc_id, r.item_id) for r in d.leaks(docs, items).collect()} == {(1, 1), (5, 1)}
     assert d.decontaminate(odd, items).count() == odd.count() and d.decontaminate(none, items).count() == 0
+
+
+SUM = "Compute the sum of the following numbers: 12 45 78 3 9 81 22 64 5 17 33 90 41 28 6 73 59 11 36 2"
+
+
+def test_the_beginning_of_an_item_is_no_leak(spark):
+    """An item whose later windows are numbers alone: its first words aren't the item; the whole of it is, with other numbers too."""
+    items = spark.createDataFrame([(1, SUM)], SCHEMAS[1])
+    rng = random.Random(1)
+    other = " ".join(str(rng.randint(1, 99)) if w.isdigit() else w for w in SUM.split())
+    docs = [(1, "Exercise. Compute the sum of the following numbers: 1 2 3 4 and hand it in."), (2, f"so {SUM} then"), (3, f"now {other} please"), (4, SUM.lower()), (5, " ".join(SUM.split()[:15]))]
+    got = {r.doc_id: r for r in d.leaks(spark.createDataFrame(docs, SCHEMAS[0]), items).collect()}
+    assert set(got) == {2, 3, 4} == {doc for doc, _ in leaks(docs, [(1, SUM)])}
+    assert got[2].coverage == 1 and not got[2].reparametrized and got[3].reparametrized
+    kept = d.decontaminate(spark.createDataFrame(docs, SCHEMAS[0]), items)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 5]
+
+
+def test_a_common_instruction(spark):
+    """Windows that all items share are looked up only for texts that hold a rarer one of an item; the leaks are the same."""
+    rng = random.Random(8)
+    words = [f"w{i}x" for i in range(300)]
+    words = ["".join(c for c in w if not c.isdigit()) + "abcdefghij"[i % 10] + "klmnopqrst"[i // 10 % 10] + "uvwxyz"[i // 100] for i, w in enumerate(words)]
+    items = [(i, "choose the best answer to the following question " + " ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 9, 20])))) for i in range(40)]
+    docs = [(i, "choose the best answer to the following question " + " ".join(rng.choice(words) for _ in range(15))) for i in range(40)] + [(100 + i, f"and {t} and") for i, t in items[:15]]
+    got = d.leaks(spark.createDataFrame(docs, SCHEMAS[0]), spark.createDataFrame(items, SCHEMAS[1])).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == leaks(docs, items)
+    made = d.item_windows(spark.createDataFrame(items, SCHEMAS[1])).select("template", "at", "size", "form", "hash", "slots").distinct()
+    common = made.groupBy("hash").count().filter("count >= 20").select("hash")
+    assert d._telling(made).join(common, "hash").select("template").distinct().count() < 20
