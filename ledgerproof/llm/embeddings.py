@@ -1,8 +1,9 @@
 """Near-duplicate vectors by counting collisions of one-dimensional projections.
 
-Every pair of signed random directions spans a one-dimensional projection (their sum). A vector stands in the sorted lists of
-those projections only where it is extreme: for the pairs among its TOP strongest directions. In each
-list a query-centred window takes the vectors whose projection is within a distance that near vectors keep; every such
+Every pair (in large tables every triple) of signed random directions spans a one-dimensional projection (their sum). A vector stands in the sorted lists of
+those projections only where it is extreme: for the combinations among its strongest directions. The number of directions grows with the table's, by the
+square root (cube root) of its vectors, so that the mean list holds no more of them at any size. (Strong directions lie near each other, the more so in few dimensions, so
+meetings still grow somewhat: from 50,000 to 200,000 random vectors 570 to 846 a vector in 64 dimensions, 238 to 262 in 384.) In each list a query-centred window takes the vectors whose projection is within a distance that near vectors keep; every such
 meeting of two vectors is a collision. Pairs with enough collisions are verified by cosine in double precision. The count that
 suffices is calibrated on random pairs of exactly the least similarity, through the same directions, so that
 RECALL of them pass; nearer pairs collide more often. Random directions treat all orientations alike, so the calibration
@@ -15,6 +16,8 @@ different tasks.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches
 from .components import components
 
-#: Random directions, strongest directions that file a vector, share of threshold pairs that calibration keeps.
-DIRECTIONS, TOP, RECALL = 512, 10, 0.97
+#: Share of threshold pairs that calibration keeps.
+RECALL = 0.97
+#: Fewest and most directions of pairs and of triples, strongest directions that file a vector, and the vectors up to which the fewest do.
+SHAPES = {2: (512, 8192, 10, 1 << 16), 3: (2048, 16384, 13, 1 << 25)}
 #: Half width of a window in standard deviations of the projected difference of a threshold pair.
 SPREAD = 2.5
 #: Vectors of a list that one task compares; longer lists are dealt in blocks.
@@ -35,21 +40,44 @@ MOST_IN_LIST = 1024
 SEED = 20
 
 
-@lru_cache(maxsize=4)
-def directions(dim: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dim]).normal(size=(dim, DIRECTIONS))
+class Shape(NamedTuple):
+    """How vectors are filed: directions in a combination, directions in all, strongest ones of a vector."""
 
+    order: int
+    directions: int
+    top: int
 
-def lists_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(list numbers, projections) of unit vectors: a row per vector, a column per pair of its strongest directions."""
-    p = x @ directions(x.shape[1])
-    top = min(TOP, DIRECTIONS - 1)
-    best = np.argpartition(-np.abs(p), top, axis=1)[:, :top]
+
+def shape_for(vectors: int) -> Shape:
+    """The shape whose lists stay short: there are as many lists as directions to the power of the order, so with twice the directions 2**order times the vectors fit."""
+    for order, (fewest, most, top, up_to) in SHAPES.items():
+        n = fewest
+        while vectors > up_to and n < most:
+            n, up_to = 2 * n, up_to << order
+        if vectors <= up_to:
+            break
+    return Shape(order, n, top)
+
+
+@lru_cache(maxsize=2)
+def directions(dim: int, count: int) -> np.ndarray:
+    return np.random.default_rng([SEED, dim]).normal(size=(dim, count))
+
+
+def lists_of(x: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """(list numbers, projections) of unit vectors: a row per vector, a column per combination of its strongest directions."""
+    p = x @ directions(x.shape[1], shape.directions)
+    best = np.argpartition(-np.abs(p), shape.top, axis=1)[:, :shape.top]
     value = np.take_along_axis(p, best, axis=1)
     signed = best * 2 + (value > 0)
-    a, b = np.triu_indices(top, 1)
-    low, high = np.minimum(signed[:, a], signed[:, b]), np.maximum(signed[:, a], signed[:, b])
-    return low * (2 * DIRECTIONS) + high, (np.abs(value[:, a]) + np.abs(value[:, b])) / np.sqrt(2)
+    order = np.argsort(signed, axis=1)
+    signed, value = np.take_along_axis(signed, order, axis=1), np.abs(np.take_along_axis(value, order, axis=1))
+    chosen = np.array(list(combinations(range(shape.top), shape.order)))
+    number, at = np.zeros((len(x), len(chosen)), np.int64), np.zeros((len(x), len(chosen)))
+    for column in chosen.T:
+        number = number * (2 * shape.directions) + signed[:, column]
+        at += value[:, column]
+    return number, at / np.sqrt(shape.order)
 
 
 def window(least: float) -> float:
@@ -58,7 +86,7 @@ def window(least: float) -> float:
 
 
 @lru_cache(maxsize=8)
-def enough(dim: int, least: float, trials: int = 4000) -> int:
+def enough(dim: int, least: float, shape: Shape = Shape(2, 512, 10), trials: int = 3000) -> int:
     """The highest collision count that RECALL of random pairs with cosine `least` reach (1 at least)."""
     rng = np.random.default_rng([SEED, dim, 1])
     x = rng.normal(size=(trials, dim))
@@ -67,27 +95,35 @@ def enough(dim: int, least: float, trials: int = 4000) -> int:
     y -= (y * x).sum(axis=1, keepdims=True) * x
     y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
     y = least * x + np.sqrt(1 - least**2) * y if dim > 1 else x
-    (kx, px), (ky, py) = lists_of(x), lists_of(y)
-    meet = (kx[:, :, None] == ky[:, None, :]) & (np.abs(px[:, :, None] - py[:, None, :]) <= window(least))
-    counts = np.sort(meet.sum(axis=(1, 2)))
-    return max(1, int(counts[int(trials * (1 - RECALL))]))
+    half, counts = window(least), []
+    for begin in range(0, trials, 250):
+        (kx, px), (ky, py) = lists_of(x[begin: begin + 250], shape), lists_of(y[begin: begin + 250], shape)
+        for a, p, b, q in zip(kx, px, ky, py, strict=True):
+            _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+            counts.append(np.count_nonzero(np.abs(p[i] - q[j]) <= half))
+    return max(1, int(np.sort(counts)[int(trials * (1 - RECALL))]))
+
+
+#: Products of vectors and directions that a task holds at once.
+PRODUCTS = 1 << 22
 
 
-def _file(batches):
+def _file(batches, shape: Shape):
     """(dim, list, at, rep) rows of each representative."""
     for batch in batches:
         reps, vectors = batch.column("rep").to_numpy(), batch.column("embedding")
         dims = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
         for dim in np.unique(dims):
-            mine = np.flatnonzero(dims == dim)
-            x = np.array(vectors.take(pa.array(mine)).flatten(), np.float64).reshape(len(mine), dim)
-            x /= np.abs(x).max(axis=1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            keys, at = lists_of(x)
-            width = keys.shape[1]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(keys.size, dim), pa.int32()), pa.array(keys.ravel()), pa.array(at.ravel()), pa.array(np.repeat(reps[mine], width)),
-            ], names=["dim", "list", "at", "rep"])
+            every, most = np.flatnonzero(dims == dim), max(1, PRODUCTS // shape.directions)
+            for begin in range(0, len(every), most):
+                mine = every[begin: begin + most]
+                x = np.array(vectors.take(pa.array(mine)).flatten(), np.float64).reshape(len(mine), dim)
+                x /= np.abs(x).max(axis=1, keepdims=True)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                keys, at = lists_of(x, shape)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(keys.size, dim), pa.int32()), pa.array(keys.ravel()), pa.array(at.ravel()), pa.array(np.repeat(reps[mine], keys.shape[1])),
+                ], names=["dim", "list", "at", "rep"])
 
 
 def _collide(batches, least: float):
@@ -143,7 +179,8 @@ def _cosines(batches):
 
 def near_pairs(reps: DataFrame, least: float = 0.9) -> DataFrame:
     """(a, b, cosine), a < b: pairs of representatives (rep long, embedding) found with cosine >= `least`."""
-    filed = materialize(reps.mapInArrow(_file, "dim int, list long, at double, rep long"), "lists")
+    shape = shape_for(reps.count())
+    filed = materialize(reps.mapInArrow(lambda b: _file(b, shape), "dim int, list long, at double, rep long"), "lists")
     sizes = filed.groupBy("dim", "list").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / MOST_IN_LIST).cast("int")
     rows = filed.join(sizes, ["dim", "list"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("n")
@@ -156,7 +193,7 @@ def near_pairs(reps: DataFrame, least: float = 0.9) -> DataFrame:
     dims = [r[0] for r in filed.select("dim").distinct().collect()]  # one row per dimension of the table
     limit = F.lit(1)
     for d in dims:
-        limit = F.when(F.col("dim") == d, F.lit(enough(d, least))).otherwise(limit)
+        limit = F.when(F.col("dim") == d, F.lit(enough(d, least, shape))).otherwise(limit)
     few = counted.filter(F.col("n") >= limit).select("a", "b")
     both = few.join(reps.select(F.col("rep").alias("a"), F.col("embedding").alias("va")), "a").join(reps.select(F.col("rep").alias("b"), F.col("embedding").alias("vb")), "b")
     return both.select("a", "b", "va", "vb").mapInArrow(_cosines, "a long, b long, cosine double").filter(F.col("cosine") >= least)
