@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.columns import closest_name, domain_fault
 from .lang.parser import parse_lines
-from .operators import documents, infer, investigate, reports, sweep
+from .operators import documents, infer, investigate, names, reports, sweep
 from .queries import _TOTALS, LI, ORD, _lineitem, _orders, _read, query
 from .sources import corpus
 from .sources.csv_import import parse_clause, stamp_state
@@ -62,6 +62,22 @@ def did_you_mean(spark, sf_dir):
     return _read(spark, sf_dir, "nation").select("n_name").join(F.broadcast(names)).select("n_name", best["name"].alias("nearest"), best["distance"].alias("distance"))
 
 
+_LESS = "left(p_name, p_partkey % length(p_name)) || substr(p_name, p_partkey % length(p_name) + 2)"
+
+
+@query(
+    f"WITH a AS (SELECT DISTINCT {_LESS} AS name FROM part), k AS (SELECT DISTINCT p_name AS nearest FROM part), p AS (SELECT name, nearest, levenshtein(name, nearest) AS d FROM a, k WHERE abs(length(name) - length(nearest)) <= 2), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY d, len(list_filter(range(1, least(length(name), length(nearest)) + 1), lambda i: left(name, i) = left(nearest, i))) DESC, nearest) AS k FROM p WHERE d <= 2) "
+    "SELECT a.name, nearest, CAST(d AS INT) AS distance FROM a LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (name)"
+)
+def suggest_names(spark, sf_dir):
+    """The part that each misspelt part name means, against all part names."""
+    at = F.col("p_partkey") % F.length("p_name")
+    part = _read(spark, sf_dir, "part")
+    less = F.concat(F.left("p_name", at), F.substring("p_name", (at + 2).cast("int"), F.length("p_name")))
+    return names.suggestions(part.select(less.alias("name")), part.select(F.col("p_name").alias("name")))
+
+
 @query("WITH d AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY r_name) AS k FROM nation, region) SELECT n_name, 'UNDEF' AS code, 'SUM(' || n_name || ')' AS formula FROM nation")
 def undefined_names(spark, sf_dir):
     """Documents whose one formula reads a column that the table doesn't have."""

@@ -465,12 +465,12 @@ def generated_filter(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", corpus.looks_generated(F.col("text")).alias("generated"))
 
 
-def _markdown(spark, sf_dir) -> DataFrame:
+def _markdown(spark, sf_dir, stale: int = 11) -> DataFrame:
     """A Markdown document per customer with orders: a pipe table, a rule, a total and its anchor; every eleventh customer's total is stale."""
     o = _orders(spark, sf_dir)
     line = F.concat(F.lit("| "), F.col("o_orderkey").cast("string"), F.lit(" | "), F.col("total").cast("string"), F.lit(" | "), (F.col("total") * 2).cast("decimal(16,2)").cast("string"), F.lit(" |"))
     grouped = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "total", line.alias("x")))), lambda r: r["x"]), "\n").alias("rows"), F.sum("total").alias("s"))
-    shown = (F.col("s") * 2 + F.when(F.col("o_custkey") % 11 == 0, F.lit(Decimal("0.50"))).otherwise(Decimal("0.00"))).cast("decimal(24,2)").cast("string")
+    shown = (F.col("s") * 2 + F.when(F.col("o_custkey") % stale == 0, F.lit(Decimal("0.50"))).otherwise(Decimal("0.00"))).cast("decimal(24,2)").cast("string")
     text = F.concat(F.lit("| Order | Net | Double |\n|---|---:|---:|\n"), "rows", F.lit("\n\n```vmark #t\nDouble = Net * 2\nall = SUM(Double)\n```\n\nIn all **"), shown, F.lit("**<!--vmark=t.all-->.\n"))
     return grouped.select(F.col("o_custkey").cast("string").alias("doc_id"), text.alias("text"))
 
@@ -524,16 +524,25 @@ def findings_order(spark, sf_dir):
     return reports.ordered(f, "user_id", "event_id")
 
 
-@query(f"WITH {_TOTALS} SELECT 'STALE' AS code, CAST(2 * COUNT(*) AS BIGINT) AS n FROM s WHERE o_custkey % 11 = 0 HAVING COUNT(*) > 0")
+@query(f"WITH {_TOTALS} SELECT 'STALE' AS code, CAST(2 * COUNT(*) AS BIGINT) AS n, CAST(COUNT(*) AS BIGINT) AS documents FROM s WHERE o_custkey % 5 = 0 OR o_custkey % 5 <> 2 AND o_custkey % 11 = 0 HAVING COUNT(*) > 0")
 def recheck_stream(spark, sf_dir):
-    """Documents written as a table, checked as a stream of its files, and the latest findings of each, by code."""
-    from .streaming.recheck import latest, watch_table
+    """Documents checked as a stream of files, then again with later and earlier versions: a fifth are changed, a fifth the same, a fifth deleted, and a fifth of the versions are out of date."""
+    from .streaming.recheck import compact, latest, watch_table
     from .streaming.scratch import folder
 
     base = folder(spark, "recheck")
-    _markdown(spark, sf_dir).withColumn("path", F.col("doc_id")).withColumn("at", F.lit("2026-01-01").cast("timestamp")).write.parquet(f"{base}/in")
-    watch_table(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
-    return latest(spark, f"{base}/out").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    run = lambda: watch_table(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
+    first = _markdown(spark, sf_dir).withColumn("path", F.col("doc_id"))
+    first.withColumn("at", F.lit("2026-01-02").cast("timestamp")).write.parquet(f"{base}/in")
+    run()
+    fifth = F.col("doc_id").cast("long") % 5
+    changed = _markdown(spark, sf_dir, 1).withColumn("path", F.col("doc_id")).filter(fifth.isin(0, 3))
+    again = first.filter(fifth.isin(1, 2)).withColumn("text", F.when(fifth == 1, F.col("text")))
+    versions = changed.unionByName(again).withColumn("at", F.when(fifth == 3, F.lit("2026-01-01")).otherwise(F.lit("2026-01-03")).cast("timestamp"))
+    versions.write.mode("append").parquet(f"{base}/in")
+    run()
+    compact(spark, f"{base}/out")
+    return latest(spark, f"{base}/out").groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,28 @@
-"""Checking documents again as they change: a file stream into the latest findings of each document."""
+"""Checking documents again as they change: a stream of document versions into the latest findings of each document.
+
+Each document has a small state: when its newest version was written, a digest of that text, and how many texts it has had. A version that is older than the state is passed over, a
+text that is the same is not checked again, and one without a text forgets the document. What changes goes out as rows, one for the version itself and
+one for each finding, so reading the newest version of each document is enough; `compact` folds what is read into one table and drops what it replaces.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from ..operators.documents import _finding_rows
+from ..plans.findings import SCHEMA
 
-from ..operators.documents import check_corpus
+#: A row of a version: `version` counts a document's different texts; `gone` says that it was deleted. Findings' columns are null in the row of the version itself.
+ROWS = f"doc_id string, path string, at timestamp, version long, gone boolean, {SCHEMA}"
+STATE = "at long, digest string, version long"
+_FINDING = [part.split()[0] for part in SCHEMA.split(", ")]
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, glob: str = "*.md", every: str | None = None, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
@@ -18,30 +32,89 @@ def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, glob: str
     return recheck(docs.withColumn("doc_id", F.sha2("path", 256)), out, checkpoint, every, after)
 
 
-def watch_table(spark: SparkSession, folder: str, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Check the documents (doc_id, path, at, text) of Parquet files as they are added to `folder`."""
+def watch_table(spark: SparkSession, folder: str, out: str, checkpoint: str, every: str | None = None, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Check the documents (doc_id, path, at, text) of Parquet files as they are added to `folder`; a null text deletes its document."""
     schema = "doc_id string, path string, at timestamp, text string"
-    return recheck(spark.readStream.schema(schema).parquet(folder), out, checkpoint, every)
+    return recheck(spark.readStream.schema(schema).parquet(folder), out, checkpoint, every, after)
+
+
+def _advance(key: tuple, versions: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """The rows of a document's newest version, where it is news. Of several versions in a batch only the newest counts; of those written at one time the one whose digest is greatest."""
+    at, digest, version = state.get if state.exists else (None, "", 0)
+    newest = None
+    for pdf in versions:
+        for when, path, text in zip(pdf["at"], pdf["path"], pdf["text"], strict=True):
+            stamp = -1 if pd.isna(when) else when.value
+            mine = "" if text is None else hashlib.sha256(text.encode()).hexdigest()
+            if newest is None or (stamp, mine) > newest[:2]:
+                newest = stamp, mine, when, path, text
+    stamp, mine, when, path, text = newest
+    if at is not None and (stamp, mine) <= (at, digest):
+        return  # older, or the same again
+    if at is not None and mine == digest:
+        state.update((stamp, digest, version))
+        return  # written again without a change: its findings stand
+    state.update((stamp, mine, version + 1))
+    void = dict.fromkeys(_FINDING)
+    rows = [void] + ([void | r for r in _finding_rows(text)] if text is not None else [])
+    head = {"doc_id": key[0], "path": path, "at": when, "version": version + 1, "gone": text is None}
+    yield pd.DataFrame([head | r for r in rows], columns=["doc_id", "path", "at", "version", "gone", *_FINDING]).astype({c: object for c in _FINDING})
 
 
 def recheck(docs: DataFrame, out: str, checkpoint: str, every: str | None = None, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Check a stream of document versions. Each micro-batch overwrites its own folder of `out`/batch=N, so a repeated batch is harmless.
+    """Check a stream of document versions (doc_id, path, at, text). Each micro-batch overwrites its own folder of `out`/batch=N, so a repeated batch is harmless.
 
-    `every`: a trigger interval such as "5 seconds"; without it the stream takes what is there and stops.
+    `every`: a trigger interval such as "5 seconds"; without it the stream takes what is there and stops. Texts whose content is known aren't checked again. Rows without an id are one document.
     """
     def one(batch: DataFrame, n: int) -> None:
-        found = check_corpus(batch)
-        rows = batch.select("doc_id", "path", "at").join(found.drop("path"), "doc_id", "left")
-        rows.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
         if after:
-            after(rows, n)
+            after(batch.sparkSession.read.parquet(f"{out}/batch={n}"), n)
 
-    writer = docs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    versions = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("at").cast("timestamp").alias("at"), "text")
+    rows = versions.groupBy("doc_id").applyInPandasWithState(_advance, ROWS, STATE, "update", GroupStateTimeout.NoTimeout)
+    writer = rows.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def _folders(spark: SparkSession, out: str) -> tuple[list[int], list[int]]:
+    """(bases, batches) that are written whole, by number; a base holds the newest versions up to its batch."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    whole = lambda name: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}/_SUCCESS"))
+    return tuple(sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}=") and whole(n)) for kind in ("base", "batch"))
+
+
+def _newest(spark: SparkSession, out: str) -> tuple[DataFrame, int, list[str]]:
+    """(all rows of each document's newest version, the last batch among them, the folders they come from)."""
+    bases, batches = _folders(spark, out)
+    last = bases[-1] if bases else -1
+    paths = [f"{out}/base={last}"] * bool(bases) + [f"{out}/batch={n}" for n in batches if n > last]
+    fields = spark.createDataFrame([], ROWS).schema
+    rows = spark.read.schema(fields).parquet(*paths) if paths else spark.createDataFrame([], fields)
+    newest = rows.groupBy("doc_id").agg(F.max("version").alias("version"))
+    found = rows.join(newest, (rows.doc_id.eqNullSafe(newest.doc_id)) & (rows.version == newest.version), "left_semi")
+    return found, max([last, *batches]), paths
+
+
 def latest(spark: SparkSession, out: str) -> DataFrame:
-    """The findings of each document's newest version; a document without findings has no row."""
-    rows = spark.read.parquet(out)
-    newest = rows.groupBy("doc_id").agg(F.max(F.struct("at", "batch")).alias("m")).select("doc_id", "m.at", "m.batch")
-    return rows.join(newest, ["doc_id", "at", "batch"]).filter("code is not null")
+    """The findings of each document's newest version; a document without findings has no row, nor has one that was deleted."""
+    return _newest(spark, out)[0].filter("code is not null")
+
+
+def compact(spark: SparkSession, out: str) -> int:
+    """Fold all batches into one base of newest versions and delete what it replaces; the number of its rows. Deleted documents keep one row, so that a base is enough.
+
+    Readers of the folder find either the old folders or the base, which counts once it is written whole.
+    """
+    rows, last, paths = _newest(spark, out)
+    target = f"{out}/base={last}"
+    if not paths or paths == [target]:
+        return rows.count()
+    rows.write.mode("overwrite").parquet(target)
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for path in paths:
+        fs.delete(fs_path(path), True)
+    return spark.read.parquet(target).count()
