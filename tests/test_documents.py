@@ -11,32 +11,30 @@ from ledgerproof.operators.reports import explain, findings_json, findings_text,
 from ledgerproof.plans.findings import summary
 from ledgerproof.sources.csv_import import gate, parse_clause, parse_csv, stamp_state
 
-INVOICE = """# Greenhouse order
-
-```vmark
-levy = 20%
-per_credit [SEK/CR] = 11.5000
-```
-
-| Plant | Trays | Price [SEK] | Sum [SEK] | Levy [SEK] | Due [SEK] |
-|------|----:|-----:|----:|----:|----:|
-| Basil | 14 | 35.50 | 497.00 | 99.40 | 596.40 |
-| **Thyme** | 9 | 41.00 | 369.00 | 73.80 | 442.80 |
-| Chives | 30 | 12.25 | 367.50 | 73.50 | 441.00 |
-
-```vmark #order
-Sum              = Trays * Price
-Levy precision 2 = Sum * levy
-Due              = Sum + Levy
-
-sum_all [SEK] = SUM(Sum)
-due_all [SEK] = SUM(Due)
-credits [CR] precision 2 = due_all / per_credit
-assert due_all > sum_all
+LOG = """# Boiler log
+
+Water goes in at the foot of the shaft and is measured at its head.
+
+| Run | Minutes | Start [C] | End [C] | Rise [C] | Pace |
+|-----|---:|---:|---:|---:|---:|
+| dawn | 40 | 18.5 | 61.0 | 42.5 | 1.063 |
+| noon | 25 | 20.0 | 48.0 | 28.0 | 1.120 |
+| dusk | 50 | 19.2 | 70.4 | 51.2 | 1.024 |
+| late | 16 | 22.4 | 30.4 | 8.0 | 0.500 |
+
+```vmark #boiler
+limit [C] = 75.0
+Rise = End - Start
+Pace precision 3 = Rise / Minutes
+peak [C] = MAX(End)
+runtime = SUM(Minutes)
+typical [C] precision 1 = AVG(Rise)
+assert peak < limit
 ```
 
-Plants **1233.50**<!--vmark=order.sum_all-->, due **1480.20 SEK**<!--vmark=order.due_all|unit-->, 128.71<!--vmark=order.credits-->.
+The water reached **70.4 C**<!--vmark=boiler.peak|unit-->, rose by 32.4<!--vmark=boiler.typical--> as a rule, and the boiler burnt for 131<!--vmark=boiler.runtime--> minutes.
 """
+COLDER = LOG.replace("| noon | 25 | 20.0 |", "| noon | 25 | 21.0 |")
 
 
 def codes(text, **more):
@@ -44,42 +42,53 @@ def codes(text, **more):
 
 
 def test_clean():
-    r = check(INVOICE)
+    r = check(LOG)
     assert r.findings == [] and r.exit_code == 0
-    assert r.values["order", "credits"] == Decimal("128.71")
-    assert fmt(INVOICE)[0] == INVOICE
+    assert r.values["boiler", "typical"] == Decimal("32.4") and r.values["boiler", "runtime"] == Decimal(131)
+    assert fmt(LOG)[0] == LOG
 
 
 def test_drift_and_repair():
-    text = INVOICE.replace("| Chives | 30 |", "| Chives | 40 |").replace("596.40 |", "596.90 |")
+    text = COLDER.replace("| 0.500 |", "| 0.600 |")
     r = check(text)
-    assert summary(r.findings) == {"problems": 10, "stale": 10, "errors": 0}
+    assert summary(r.findings) == {"problems": 5, "stale": 5, "errors": 0}
     fixed, counts, left = fmt(text)
-    assert counts == {"cell": 4, "anchor": 3} and left == []
+    assert counts == {"cell": 3, "anchor": 1} and left == []
     assert check(fixed).findings == [] and fmt(fixed)[0] == fixed
     changed = [(a, b) for a, b in zip(text.split("\n"), fixed.split("\n"), strict=True) if a != b]
-    assert len(changed) == 3
+    assert len(changed) == 3 and "| noon | 25 | 21.0 | 48.0 | 27.0 | 1.080 |" in fixed
 
 
 @pytest.mark.parametrize(("old", "new", "code"), [
-    ("Trays * Price", "Trays * Pric", "UNDEF"), ("SUM(Sum)", "Sum", "VECTOR"), ("SUM(Sum)", "SUN(Sum)", "UNDEF"), ("SUM(Sum)", "SUM(Sum, 1)", "TYPE"),
-    ("Sum + Levy", "Sum + Trays", "UNIT"), ("= Sum * levy", "= Sum / 0", "TYPE"), ("assert due_all > sum_all", "assert due_all < sum_all", "ASSERT"),
-    ("sum_all [SEK] = SUM(Sum)", "sum_all = due_all", "CYCLE"), ("order.credits-->", "order.credit-->", "ANCHOR"), ("| Chives | 30 |", "| Chives | 12/11/2026 |", "DATE"),
-    ("| 12.25 |", "| $12.25 |", "UNIT"), ("levy = 20%", "levy = 20%\nlevy = 5%", "DUP"), ("credits [CR] precision 2", "credits [CR]", "PRECISION"), ("levy = 20%", "levy = 20%\nspare = 1", "WARN"),
+    ("End - Start", "End - Strat", "UNDEF"), ("MAX(End)", "End", "VECTOR"), ("MAX(End)", "MAXX(End)", "UNDEF"), ("SUM(Minutes)", "SUM(Minutes, 1)", "TYPE"),
+    ("End - Start", "End - Minutes", "UNIT"), ("Rise / Minutes", "Rise / 0", "TYPE"), ("assert peak < limit", "assert peak > limit", "ASSERT"),
+    ("peak [C] = MAX(End)", "peak = limit", "CYCLE"), ("boiler.runtime-->", "boiler.runtim-->", "ANCHOR"), ("| noon | 25 |", "| noon | 12/11/2026 |", "DATE"),
+    ("| 48.0 |", "| $48.0 |", "UNIT"), ("limit [C] = 75.0", "limit [C] = 75.0\nlimit [C] = 5.0", "DUP"), ("typical [C] precision 1", "typical [C]", "PRECISION"), ("limit [C] = 75.0", "limit [C] = 75.0\nspare = 1", "WARN"),
 ])
 def test_findings(old, new, code):
-    text = INVOICE.replace(old, new)
+    text = LOG.replace(old, new)
     if code == "CYCLE":
-        text = text.replace("due_all [SEK] = SUM(Due)", "due_all = sum_all")
+        text = text.replace("limit [C] = 75.0", "limit = peak")
     assert code in codes(text)
 
 
+def test_a_rate_between_zero_and_one():
+    """A percentage as a scalar, and a rule that takes it off."""
+    doc = "```vmark\nloss = 4%\n```\n\n| Sack | Grain | Flour |\n|--|--|--|\n| a | 50 | 48.0 |\n| b | 25 | 24.1 |\n\n```vmark #mill\nFlour precision 1 = Grain * (1 - loss)\n```\n"
+    assert [(f.code, f.stored, f.computed) for f in check(doc).findings] == [("STALE", "24.1", "24.0")]
+
+
+def test_doubled_names_are_not_suggested():
+    doc = "| A | A | Ab |\n|--|--|--|\n| 1 | 2 | 3 |\n\n```vmark #t\nx = SUM(A)\n```\n"
+    assert [(f.code, f.suggestion) for f in check(doc).findings if f.code == "UNDEF"] == [("UNDEF", "Ab")]
+
+
 def test_suppression_and_coverage():
-    broken = INVOICE.replace("Trays * Price", "Trays * Pric")
+    broken = LOG.replace("MAX(End)", "MAX(Ende)")
     assert [c for c in codes(broken) if c != "WARN"] == ["UNDEF", "NOTE"]
     assert [f.message for f in check(broken).findings if f.code == "NOTE"] == ["1 assertion not verified (upstream errors)"]
-    ring = INVOICE.replace("sum_all [SEK] = SUM(Sum)", "sum_all = due_all").replace("due_all [SEK] = SUM(Due)", "due_all = sum_all")
-    assert [(a.text, a.holds) for a in check(ring).assertions] == [("due_all > sum_all", None)]
+    ring = LOG.replace("peak [C] = MAX(End)", "peak = limit").replace("limit [C] = 75.0", "limit = peak")
+    assert [(a.text, a.holds) for a in check(ring).assertions] == [("peak < limit", None)]
     table = "| a | b |\n|--|--|\n| 1 | 2 |\n"
     assert codes(table) == ["COVERAGE"] and codes(table + "\n<!--vmark:no-formulas-->\n") == []
 
@@ -220,15 +229,14 @@ def test_charts_in_a_check():
 
 
 def test_reports():
-    r = check(INVOICE.replace("| Chives | 30 |", "| Chives | 40 |"))
+    r = check(COLDER)
     assert "problems" in findings_text("x.md", r.findings) and '"summary"' in result_json(r)
     plan = {p["id"]: p for p in explain(r)}
-    assert plan["order.Due"]["needs"] == ["order.Sum", "order.Levy"] and plan["order.Levy"]["width"] == 2
+    assert plan["boiler.Pace"]["needs"] == ["boiler.Rise"] and plan["boiler.Pace"]["width"] == 3 and plan["boiler.Rise"]["width"] == 1
 
 
 def test_corpus(spark):
-    stale = INVOICE.replace("| Chives | 30 |", "| Chives | 40 |")
-    docs = spark.createDataFrame([("a", INVOICE), ("b", stale), ("c", "no tables"), ("d", None), ("e", "```vmark #x\ny = (\n```")], "doc_id string, text string")
+    docs = spark.createDataFrame([("a", LOG), ("b", COLDER), ("c", "no tables"), ("d", None), ("e", "```vmark #x\ny = (\n```")], "doc_id string, text string")
     found = check_corpus(docs)
     got = {r.doc_id: (r.problems, r.stale) for r in tally(found).collect()}
     assert set(got) == {"b", "e"} and got["e"] == (1, 0)
