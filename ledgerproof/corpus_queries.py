@@ -173,7 +173,7 @@ def interval_locate(spark, sf_dir):
 # masking, totals and reports of a corpus
 
 
-_PIECE = "left(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), 40)"
+_PIECE = "trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'))"
 
 
 @query(
@@ -183,7 +183,7 @@ _PIECE = "left(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), 40)"
 )
 def mask_length(spark, sf_dir):
     """Front matter, indented code after a blank line, quotations, fences and comments are blanks; all else, list items too, stays where it was."""
-    piece = F.left(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), F.lit(40))
+    piece = F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
     parts = ["---\r\nt: ", "\r\n---\r\n", "\n    ", "\n\n    ", "\n\n- ", "\n    ", "\n> ", "\n```\n", "\n```\n", " <!-- ", " --> "]
     text = F.concat(F.lit(parts[0]), piece, *[x for part in parts[1:] for x in (F.lit(part), piece)])
     return _read(spark, sf_dir, "documents").select("doc_id", corpus.mask(text.substr(F.lit(1), F.length(text))).alias("masked"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import texts
 from .operators import documents, grids, infer, investigate, repair, reports, series
+from .operators.profile import profile
 from .operators.workbook import Workbook
 from .sources import corpus
 
@@ -278,14 +279,15 @@ def display_rules(spark, sf_dir):
     return c.select("c_custkey", texts.fixed(F.col("bal"), 1).alias("fixed"), texts.percent(F.col("bal"), 3).alias("pct"), texts.nbsp(F.concat("c_name", F.lit(" x"))).alias("nbsp"), texts.with_prefix(F.col("bal").cast("string"), "$").alias("dollars"))
 
 
-@query("SELECT 4 AS width, CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(DISTINCT c_custkey % 3) AS BIGINT) AS decorations, 'num' AS kind FROM customer")
+@query(
+    "WITH c AS (SELECT c_custkey, c_custkey % 3 AS d, CAST(abs(CAST(c_acctbal AS DECIMAL(12,2))) AS VARCHAR) AS b FROM customer), t AS (SELECT c_custkey, d, CASE d WHEN 0 THEN '$' || b WHEN 1 THEN b || '%' ELSE b END AS x FROM c), f AS (SELECT arg_min(d, c_custkey) AS first FROM t) "
+    "SELECT CAST(MAX(CASE d WHEN 1 THEN 4 ELSE 2 END) AS INT) AS width, CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(DISTINCT d) AS BIGINT) AS decorations, CAST(COUNT(*) AS BIGINT) AS nums, MIN(c_custkey) FILTER (d <> first) AS deviant_at, arg_min(x, c_custkey) FILTER (d <> first) AS deviant FROM t, f"
+)
 def column_profile(spark, sf_dir):
-    """Width, number of different decorations and kind of a text column."""
+    """Width, number of different decorations, numbers and the first cell that is decorated unlike those before it, of a text column."""
     bal, k = F.abs("bal").cast("string"), F.col("c_custkey") % 3
-    frame = _customers(spark, sf_dir).select(F.when(k == 0, F.concat(F.lit("$"), bal)).when(k == 1, F.concat(bal, F.lit("%"))).otherwise(bal).alias("t"))
-    t = F.col("t")
-    row = frame.agg(F.max(texts.places(t)).alias("width"), F.count(F.lit(1)).alias("n"), F.countDistinct(texts.decoration(t)).alias("decorations"), F.bool_or(texts.kind_of(t) == "num").alias("num"))
-    return row.select("width", "n", "decorations", F.when(F.col("num"), "num").otherwise("str").alias("kind"))
+    frame = _customers(spark, sf_dir).select("c_custkey", F.when(k == 0, F.concat(F.lit("$"), bal)).when(k == 1, F.concat(bal, F.lit("%"))).otherwise(bal).alias("t"))
+    return profile(frame, ["t"], "c_custkey").select("width", "n", "decorations", "nums", "deviant_at", "deviant")
 
 
 # sweeps
@@ -304,9 +306,11 @@ def _answers(spark, sf_dir) -> tuple[DataFrame, Decimal]:
     return grids.with_assertions(got, [f"revenue >= {low}", "d + t <= 0.11"]), base
 
 
-@query("SELECT CAST(a.i * 4 + b.i + 1 AS BIGINT) AS q_ix, CAST(a.i * 0.05 AS DECIMAL(20,2)) AS d, CAST(b.i * 0.02 AS DECIMAL(20,2)) AS t FROM range(3) a(i), range(4) b(i)")
+@query("SELECT CAST(s * 4 + t + 1 AS BIGINT) AS q_ix, CAST(s * 0.05 AS DECIMAL(20,2)) AS d, CAST(t * 0.02 AS DECIMAL(20,2)) AS t FROM range(0, (SELECT COUNT(*) FROM supplier)) x(s), range(0, 4) y(t)")
 def grid(spark, sf_dir):
-    return grids.questions(spark, _GRID)
+    """A grid of a point for each supplier and four rates."""
+    n = _read(spark, sf_dir, "supplier").count()
+    return grids.questions(spark, [grids.Param("d", Decimal("0.00"), Decimal("0.05"), n), grids.Param("t", Decimal("0.00"), Decimal("0.02"), 4)])
 
 
 @query(f"WITH {_GRID_SQL} SELECT q_ix, d, t, revenue FROM ans")
