@@ -2,8 +2,9 @@
 
 Terms are a text's distinct words and the first three to six letters of each (so that inflected forms meet). The machine
 adds linear weights and, for each pair of terms that stand together, the product of their factors: an insult weighs more
-next to a group's name. A sparse linear fit over every term seen in a few rows of a bounded, labelled sample, with the penalty that serves
-a fifth of the rows best when they are held back, picks terms with an effect of their own; those with an effect only next to another one are picked by the score of their pair on what
+next to a group's name. A sparse linear fit over every term seen in a few rows of a bounded, labelled sample, with the least penalty that serves
+a fifth of the rows, held back, no worse than the best one (by one standard error), picks terms with an effect of their own; those with an effect only
+next to another one are picked by the score of their pair on what
 that fit leaves over. All others have no weight, so long clean texts don't add up noise. Fitting is numpy in one task; scoring reads every whole text.
 """
 
@@ -242,13 +243,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray | None =
         _train(m, at.astype(np.int64), edges, y, weights, rows_of, epochs, seed)
         return m, at, edges
 
-    def loss(m: Machine, at: np.ndarray, edges: np.ndarray) -> float:
+    def losses(m: Machine, at: np.ndarray, edges: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(back)
         raw = np.clip(m.raw([at[edges[i]: edges[i + 1]] for i in some]), -40, 40)
-        return float((weights[some] * np.log1p(np.exp(np.where(y[some] > 0.5, -raw, raw)))).sum())
-
-    if len(choices) > 1 and back.sum() >= LEAST_BACK:  # the first of the best, which has fewest terms
-        choices = [min(choices, key=lambda c: loss(*trained(*c, np.flatnonzero(~back), CHOICE_EPOCHS)))]
+        return weights[some] * np.log1p(np.exp(np.where(y[some] > 0.5, -raw, raw)))
+
+    if len(choices) > 1 and back.sum() >= LEAST_BACK:
+        # few rows are held back: the most terms whose loss isn't worse than the least one by more than the differences between rows explain
+        each = [losses(*trained(*c, np.flatnonzero(~back), CHOICE_EPOCHS)) for c in choices]
+        best = min(each, key=np.sum)
+        excess = [(x - best).sum() - np.sqrt(len(best)) * (x - best).std() for x in each]
+        choices = [c for c, more in zip(choices, excess, strict=True) if more <= 0]
     return trained(*choices[-1], np.arange(len(y)), EPOCHS)[0]
 
 
