@@ -558,4 +558,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.values().unionByName(held)
 
 
-from . import corpus_queries  # noqa: E402,F401 - registers the queries over generated documents
+from . import corpus_queries, document_queries  # noqa: E402,F401 - register the queries over generated documents
