@@ -83,6 +83,20 @@ def test_doubled_names_are_not_suggested():
     assert [(f.code, f.suggestion) for f in check(doc).findings if f.code == "UNDEF"] == [("UNDEF", "Ab")]
 
 
+def test_display_rules_of_ones_own():
+    from ledgerproof.operators.documents import DISPLAY_RULES, register_display
+
+    doc = "```vmark #t\nn = 12\n```\n**{}**<!--vmark=t.n|dozens-->\n"
+    assert codes(doc.format("1 dz")) == ["ANCHOR"]
+    register_display("dozens", "num", lambda v, places, unit: f"{v / 12:f} dz")
+    try:
+        assert codes(doc.format("1 dz")) == [] and fmt(doc.format("2 dz"))[0] == doc.format("1 dz")
+        with pytest.raises(ValueError):
+            register_display("dozens", "num", str)
+    finally:
+        del DISPLAY_RULES["dozens"]
+
+
 def test_suppression_and_coverage():
     broken = LOG.replace("MAX(End)", "MAX(Ende)")
     assert [c for c in codes(broken) if c != "WARN"] == ["UNDEF", "NOTE"]
