@@ -12,6 +12,7 @@ import gzip
 import hashlib
 import uuid
 import zlib
+from datetime import UTC, datetime
 from itertools import accumulate
 from urllib.parse import quote
 
@@ -26,7 +27,6 @@ from .common import binary_texts, file_system, materialize, slices, small_batche
 #: Payloads below this many bytes are always written whole.
 LEAST_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # a fixed value of the format
-DATE = "1970-01-01T00:00:00Z"
 CRLF = b"\r\n"
 #: Bytes of compressed data inflated at once, and of an archive that one task reads.
 READ_BYTES, RANGE_BYTES = 64 << 10, 64 << 20
@@ -43,20 +43,24 @@ def page_of(urn: str | None) -> int | None:
     return int(urn.split(":")[2]) if urn and urn.startswith("<urn:page:") else None
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
-    """One record as bytes. Revisits carry no payload, but name its size, digest and first response."""
+def target(url: str | None) -> str:
+    return quote(url or "about:blank", safe="%/:=&?~#+!$,;'@()*[]")
+
+
+def record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, first_url: str | None = None) -> bytes:
+    """One record as bytes. Revisits carry no payload, but name its size, digest and first response, with that one's address and date (it is written with them)."""
     kind = "response" if refers_to is None else "revisit"
     fields = [
         ("WARC-Type", kind),
         ("WARC-Record-ID", record_id(page, digest)),
         ("WARC-Date", date),
-        ("WARC-Target-URI", quote(url or "about:blank", safe="%/:=&?~#+!$,;'@()*[]")),
+        ("WARC-Target-URI", target(url)),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("X-Payload-Length", str(len(payload))),
         ("Content-Type", "text/html; charset=utf-8"),
     ]
     if refers_to is not None:
-        fields += [("WARC-Refers-To", record_id(refers_to, digest)), ("WARC-Profile", PROFILE)]
+        fields += [("WARC-Refers-To", record_id(refers_to, digest)), ("WARC-Refers-To-Target-URI", target(first_url)), ("WARC-Refers-To-Date", date), ("WARC-Profile", PROFILE)]
     body = payload if refers_to is None else b""
     fields.append(("Content-Length", str(len(body))))
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields)
@@ -98,15 +102,15 @@ def members(stream, most_bytes: int | None = None, read_bytes: int = READ_BYTES)
 
 
 def resolve(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, payload_digest, refers_to): a row per page that revisits an earlier one's payload.
+    """(page_id, payload_digest, refers_to, first_url): a row per page that revisits an earlier one's payload, with the address of that one.
 
     Among pages with equal payloads of at least `least_bytes`, those with the least page_id are responses (all of
     them where a page_id is repeated). A page without an id is always a response. Null html is the empty payload.
     """
-    heads = headers(pages).filter((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
-    first = heads.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
-    first = first.filter("n > 1").drop("n")
-    return heads.join(first, "payload_digest").filter("page_id > refers_to").select("page_id", "payload_digest", "refers_to").distinct()
+    heads = headers(pages).filter((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "payload_digest", "url")
+    first = heads.groupBy("payload_digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = first.filter("n > 1").select("payload_digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("first_url"))
+    return heads.join(first, "payload_digest").filter("page_id > refers_to").select("page_id", "payload_digest", "refers_to", "first_url").distinct()
 
 
 def headers(pages: DataFrame) -> DataFrame:
@@ -115,13 +119,14 @@ def headers(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
 
 
-def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, date: str = DATE) -> DataFrame:
-    """Write every page as a response or revisit record; returns the index of the archives.
+def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, date: str | None = None) -> DataFrame:
+    """Write every page as a response or revisit record of `date` (the time of writing, unless it is given); returns the index of the archives.
 
     Each attempt of a task writes a file of its own name, and the index, a Parquet table in `folder`/index, names those of the job that ended.
     """
     spark = pages.sparkSession
     small_batches(spark)
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     full = headers(pages).drop("payload_bytes").join(resolve(pages, least_bytes), ["page_id", "payload_digest"], "left")
 
     def run(batches):
@@ -131,10 +136,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, date: s
         try:
             for whole in batches:
                 for batch in slices(whole, "payload"):
-                    c = {n: batch.column(n).to_pylist() for n in ("page_id", "url", "payload_digest", "refers_to")}
+                    c = {n: batch.column(n).to_pylist() for n in ("page_id", "url", "payload_digest", "refers_to", "first_url")}
                     packed = []
-                    for page, url, payload, digest, to in zip(c["page_id"], c["url"], binary_texts(batch.column("payload")), c["payload_digest"], c["refers_to"], strict=True):
-                        packed.append(gzip.compress(record(page, url, payload, digest, to, date), 6, mtime=0))
+                    for page, url, payload, digest, to, first in zip(c["page_id"], c["url"], binary_texts(batch.column("payload")), c["payload_digest"], c["refers_to"], c["first_url"], strict=True):
+                        packed.append(gzip.compress(record(page, url, payload, digest, to, date, first), 6, mtime=0))
                     if out is None:
                         fs.create_dir(path, recursive=True)
                         out = fs.open_output_stream(f"{path}/{name}", compression=None)
@@ -150,7 +155,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, date: s
             if out is not None:
                 out.close()
 
-    full.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
+    full.select("page_id", "url", "payload", "payload_digest", "refers_to", "first_url").mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 

@@ -40,3 +40,22 @@ def test_ranges_and_repeated_ids(spark, monkeypatch):
     found = got.collect()
     assert sorted((r.page_id, r.payload_digest) for r in found) == sorted((i, hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows)
     assert len({warc.record_id(i, hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows}) == len(rows)
+
+
+def test_revisits_name_the_original_and_the_time_of_writing(spark):
+    import io
+    import re
+
+    text = "same payload " * 3_000_000  # far beyond what is read at once
+    pages = spark.createDataFrame([(7, "http://b/2", text), (4, "http://a/1?q=ü", text)], "page_id long, url string, html string").repartition(2)
+    for date in (None, "2020-02-03T04:05:06Z"):
+        folder = scratch(spark, "test-warc")
+        index = {r.page_id: r for r in warc.write(pages, folder, date=date).collect()}
+        fs, path = warc.file_system(folder)
+        with fs.open_input_file(f"{path}/{index[7].file}") as data:
+            (raw,) = warc.members(io.BytesIO(data.read_at(index[7].length, index[7].offset)))
+        fields, block = warc.parse_record(raw)
+        assert block == b"" and fields["WARC-Refers-To-Target-URI"] == "http://a/1?q=%C3%BC" and fields["WARC-Refers-To-Date"] == fields["WARC-Date"]
+        assert fields["WARC-Date"] == date if date else re.fullmatch(r"20\d\d-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"]) and fields["WARC-Date"] > "2021"
+        got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.read(spark, folder).collect()}
+        assert got == {4: ("response", None, len(text)), 7: ("revisit", 4, len(text))}
