@@ -4,12 +4,16 @@ Every pair (in large tables every triple) of signed random directions spans a on
 those projections only where it is extreme: for the combinations among its strongest directions. The number of directions grows with the table's, by the
 square root (cube root) of its vectors, so that the mean list holds no more of them at any size. (Strong directions lie near each other, the more so in few dimensions, so
 meetings still grow somewhat: from 50,000 to 200,000 random vectors 570 to 846 a vector in 64 dimensions, 238 to 262 in 384.) In each list a query-centred window takes the vectors whose projection is within a distance that near vectors keep; every such
-meeting of two vectors is a collision. Pairs with enough collisions are verified by cosine in double precision. The count that
+meeting of two vectors is a collision. Pairs with enough collisions are verified. The count that
 suffices is calibrated on random pairs of exactly the least similarity, through the same directions, so that
 RECALL of them pass; nearer pairs collide more often. Random directions treat all orientations alike, so the calibration
 holds for any data of that dimension.
 
-Vectors of one direction are one representative with a multiplicity. A list longer than MOST_IN_LIST is compared in blocks dealt to
+Lists that begin with one direction are one task's, and a vector is filed there once, with its strongest directions, projections and components in 255 steps. So the first
+list where two vectors meet is enough to count all their collisions, and to bound their cosine: where the bounds leave no doubt, a task tells how many links each vector has and
+a forest that connects them, which is in proportion to the vectors and not to the pairs. Pairs in doubt, a hundredth or so around the least cosine, are verified in double precision.
+
+Vectors of one direction are one representative with a multiplicity. More than MOST_IN_LIST vectors of one first direction are compared in blocks dealt to
 different tasks.
 """
 
@@ -20,14 +24,13 @@ from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
-from .components import components
+from .components import components, roots_of
 
 #: Share of threshold pairs that calibration keeps.
 RECALL = 0.97
@@ -35,8 +38,8 @@ RECALL = 0.97
 SHAPES = {2: (512, 8192, 10, 1 << 16), 3: (2048, 16384, 13, 1 << 25)}
 #: Half width of a window in standard deviations of the projected difference of a threshold pair.
 SPREAD = 2.5
-#: Vectors of a list that one task compares; longer lists are dealt in blocks.
-MOST_IN_LIST = 1024
+#: Vectors of one first direction that a task compares; more are dealt in blocks.
+MOST_IN_LIST = 4096
 SEED = 20
 
 
@@ -66,12 +69,7 @@ def directions(dim: int, count: int) -> np.ndarray:
 
 def lists_of(x: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """(list numbers, projections) of unit vectors: a row per vector, a column per combination of its strongest directions."""
-    p = x @ directions(x.shape[1], shape.directions)
-    best = np.argpartition(-np.abs(p), shape.top, axis=1)[:, :shape.top]
-    value = np.take_along_axis(p, best, axis=1)
-    signed = best * 2 + (value > 0)
-    order = np.argsort(signed, axis=1)
-    signed, value = np.take_along_axis(signed, order, axis=1), np.abs(np.take_along_axis(value, order, axis=1))
+    signed, value = _strongest(x, shape)
     chosen = np.array(list(combinations(range(shape.top), shape.order)))
     number, at = np.zeros((len(x), len(chosen)), np.int64), np.zeros((len(x), len(chosen)))
     for column in chosen.T:
@@ -104,14 +102,19 @@ def enough(dim: int, least: float, shape: Shape = Shape(2, 512, 10), trials: int
     return max(1, int(np.sort(counts)[int(trials * (1 - RECALL))]))
 
 
-#: Products of vectors and directions that a task holds at once.
-PRODUCTS = 1 << 22
+#: Products of vectors and directions that a task holds at once, and meetings that it looks at together.
+PRODUCTS, MEETINGS = 1 << 22, 1 << 17
 
 
-def _file(batches, shape: Shape):
-    """(dim, list, at, rep) rows of each representative."""
+def _record(dim: int, shape: Shape) -> np.dtype:
+    """What a vector takes along: its strongest directions (signed, ascending) and projections, its components in 255 steps with their size, and how far these are from it."""
+    return np.dtype([("signed", "<i4" if shape.directions > 1 << 14 else "<u2", shape.top), ("value", "<f4", shape.top), ("steps", "i1", dim), ("size", "<f8"), ("off", "<f8"), ("copies", "<i8")])
+
+
+def _units(batches, shape: Shape):
+    """(dim, places in the batch, batch, unit vectors) in parts of one dimension."""
     for batch in batches:
-        reps, vectors = batch.column("rep").to_numpy(), batch.column("embedding")
+        vectors = batch.column("embedding")
         dims = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
         for dim in np.unique(dims):
             every, most = np.flatnonzero(dims == dim), max(1, PRODUCTS // shape.directions)
@@ -119,49 +122,163 @@ def _file(batches, shape: Shape):
                 mine = every[begin: begin + most]
                 x = np.array(vectors.take(pa.array(mine)).flatten(), np.float64).reshape(len(mine), dim)
                 x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                keys, at = lists_of(x, shape)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(keys.size, dim), pa.int32()), pa.array(keys.ravel()), pa.array(at.ravel()), pa.array(np.repeat(reps[mine], keys.shape[1])),
-                ], names=["dim", "list", "at", "rep"])
+                yield int(dim), mine, batch, x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _strongest(x: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """(signed directions ascending, projections): the strongest ones of unit vectors."""
+    p = x @ directions(x.shape[1], shape.directions)
+    best = np.argpartition(-np.abs(p), shape.top, axis=1)[:, :shape.top]
+    value = np.take_along_axis(p, best, axis=1)
+    signed = best * 2 + (value > 0)
+    order = np.argsort(signed, axis=1)
+    return np.take_along_axis(signed, order, axis=1), np.abs(np.take_along_axis(value, order, axis=1))
 
 
-def _collide(batches, least: float):
-    """(dim, a, b, n): collisions of the vectors in each block pair; rows come sorted by (dim, list, left, right, at)."""
+def _sizes(batches, shape: Shape):
+    """(dim, first, n): vectors of a batch by each direction that can be the first of a combination."""
+    for dim, _, _, x in _units(batches, shape):
+        first, n = np.unique(_strongest(x, shape)[0][:, : shape.top - shape.order + 1], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), dim), pa.int32()), pa.array(first, pa.int32()), pa.array(n, pa.int64())], names=["dim", "first", "n"])
+
+
+def _file(batches, shape: Shape):
+    """(dim, first, rep, body): a row of each representative for each direction that can be the first of a combination."""
+    firsts = shape.top - shape.order + 1
+    for dim, mine, batch, x in _units(batches, shape):
+        reps, copies = (batch.column(c).to_numpy()[mine] for c in ("rep", "copies"))
+        body = np.zeros(len(x), _record(dim, shape))
+        body["signed"], body["value"] = _strongest(x, shape)
+        body["size"] = np.abs(x).max(axis=1) / 127
+        body["steps"] = np.rint(x / body["size"][:, None])
+        body["off"] = np.linalg.norm(x - body["steps"] * body["size"][:, None], axis=1)
+        body["copies"] = copies
+        rows = np.repeat(body, firsts)
+        ends = pa.py_buffer((np.arange(len(rows) + 1) * body.dtype.itemsize).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(rows), dim), pa.int32()), pa.array(body["signed"][:, :firsts].ravel(), pa.int32()), pa.array(np.repeat(reps, firsts)), pa.Array.from_buffers(pa.binary(), len(rows), [None, ends, pa.py_buffer(rows.tobytes())]),
+        ], names=["dim", "first", "rep", "body"])
+
+
+def _meetings(run: np.ndarray, first: np.ndarray, cross: np.ndarray, own: np.ndarray, body: np.ndarray, shape: Shape, half: float):
+    """(i, j, list): rows that meet in a list, found by the lists whose first direction is the rows' own. `list` tells its other directions' places in row i."""
+    at_first = np.argmax(body["signed"] == first[:, None], axis=1)
+    rows, lists, places, chosen = [], [], [], list(combinations(range(shape.top), shape.order))
+    for k, places_of in enumerate(chosen):
+        mine = np.flatnonzero(at_first == places_of[0])
+        number, at = np.zeros(len(mine), np.int64), body["value"][mine, places_of[0]].astype(np.float64)
+        for column in places_of[1:]:
+            number = number * (2 * shape.directions) + body["signed"][mine, column]
+            at += body["value"][mine, column]
+        rows.append(mine)
+        lists.append(number)
+        places.append(np.stack([at / np.sqrt(shape.order), np.full(len(mine), float(k))]))
+    rows, lists, places = np.concatenate(rows), np.concatenate(lists), np.concatenate(places, axis=1)
+    order = np.lexsort((places[0], lists, run[rows]))
+    rows, lists, at, k = rows[order], lists[order], places[0][order], places[1][order].astype(np.int64)
+    i, lag = np.arange(len(rows)), 1
+    while len(i):
+        i = i[i + lag < len(rows)]
+        j = i + lag
+        near = (run[rows[i]] == run[rows[j]]) & (lists[i] == lists[j]) & (at[j] - at[i] <= half)
+        i, j = i[near], j[near]
+        a, b = rows[i], rows[j]
+        hit = ~cross[a] | (own[a] != own[b])  # in a pair of blocks only across
+        if hit.any():
+            yield a[hit], b[hit], k[i[hit]]
+        lag += 1
+
+
+def _counted(x: np.ndarray, y: np.ndarray, shape: Shape, half: float) -> tuple[np.ndarray, np.ndarray]:
+    """(collisions, number of the first combination of x that collides) of pairs of records."""
+    same = x["signed"][:, :, None] == y["signed"][:, None, :]
+    shared = same.any(axis=2)
+    apart = x["value"].astype(np.float64) - np.take_along_axis(y["value"], same.argmax(axis=2), axis=1)
+    n, first = np.zeros(len(x), np.int64), np.full(len(x), -1)
+    for k, places in enumerate(combinations(range(shape.top), shape.order)):
+        met = shared[:, list(places)].all(axis=1) & (np.abs(apart[:, list(places)].sum(axis=1)) <= half * np.sqrt(shape.order) * (1 + 1e-6))
+        first[met & (n == 0)] = k
+        n += met
+    return n, first
+
+
+#: Rows of a task: the links of node a that are certain (n, b is null), a pair that connects (n is 0), a pair whose cosine decides (n is null).
+FOUND = "a long, b long, n long"
+
+
+def _collide(batches, least: float, shape: Shape, open_all: bool = False):
+    """FOUND rows of the vectors that collide often enough; rows come sorted by (dim, first, left, right).
+
+    A pair is looked at in the first of the lists where it meets, so no task needs to know what others found. Its collisions are counted from what both vectors took
+    along. Components in steps give the cosine up to the two vectors' distances from them: within these bounds it is certain, other pairs are left open (`open_all`: all are).
+    """
     half = window(least)
 
-    def pairs(pdf: pd.DataFrame):
-        change = np.zeros(len(pdf), bool)
-        for c in ("dim", "list", "left", "right"):
-            v = pdf[c].to_numpy()
-            change[1:] |= v[1:] != v[:-1]
-        run, at, rep, own = np.cumsum(change), pdf["at"].to_numpy(), pdf["rep"].to_numpy(), pdf["own"].to_numpy()
-        cross, dim = (pdf["left"] != pdf["right"]).to_numpy(), pdf["dim"].to_numpy()
-        i = np.arange(len(pdf) - 1)
-        lag = 1
-        while len(i):
-            i = i[i + lag < len(pdf)]
-            i = i[(run[i] == run[i + lag]) & (at[i + lag] - at[i] <= half)]
-            j = i + lag
-            hit = ~cross[i] | (own[i] != own[j])  # in a pair of blocks only across
-            if hit.any():
-                a, b = np.minimum(rep[i[hit]], rep[j[hit]]), np.maximum(rep[i[hit]], rep[j[hit]])
-                yield pd.DataFrame({"dim": dim[i[hit]], "a": a, "b": b})
-            lag += 1
-
-    held = None
-    for pdf in batches:
-        if not len(pdf):
+    def looked_at(dim: int, t: pa.Table):
+        kind, column = _record(dim, shape), lambda c: t.column(c).to_numpy()
+        body = np.frombuffer(b"".join(t.column("body").to_pylist()), kind)
+        rep, own, left, right, first = (column(c) for c in ("rep", "own", "left", "right", "first"))
+        change = np.zeros(len(rep), bool)
+        for c in (first, left, right):
+            change[1:] |= c[1:] != c[:-1]
+        run, need = np.cumsum(change), enough(dim, least, shape)
+        exact = np.float32 if dim * 127 * 127 < 1 << 24 else np.float64
+        steps, sure = body["steps"].astype(exact), []
+        for i, j, k in _meetings(run, first, left != right, own, body, shape, half):
+            for begin in range(0, len(i), MEETINGS):
+                a, b, at = (v[begin: begin + MEETINGS] for v in (i, j, k))
+                cosine = np.einsum("ij,ij->i", steps[a], steps[b]).astype(np.float64) * body["size"][a] * body["size"][b]
+                slack = body["off"][a] + body["off"][b] * (1 + body["off"][a]) + 1e-9
+                near = cosine + slack >= least
+                a, b, at, cosine, slack = a[near], b[near], at[near], cosine[near], slack[near]
+                n, begins = _counted(body[a], body[b], shape, half)
+                good = (n >= need) & (begins == at)
+                a, b, certain = a[good], b[good], (cosine - slack >= least)[good] & (not open_all)
+                if len(a) > certain.sum():
+                    u, v = rep[a[~certain]], rep[b[~certain]]
+                    yield np.minimum(u, v), np.maximum(u, v), None
+                if certain.any():
+                    sure.append((a[certain], b[certain]))
+            if sum(len(a) for a, _ in sure) > MEETINGS:
+                yield from told(sure, rep, body["copies"])
+                sure = []
+        if sure:
+            yield from told(sure, rep, body["copies"])
+
+    def told(sure, rep, copies):
+        a, b = (np.concatenate(c) for c in zip(*sure, strict=True))
+        who, at = np.unique(np.concatenate([rep[a], rep[b]]), return_inverse=True)
+        n = np.zeros(len(who), np.int64)
+        np.add.at(n, at, np.concatenate([copies[b], copies[a]]))
+        yield who, None, n
+        nodes, roots = roots_of(rep[a], rep[b])
+        apart = nodes != roots  # an edge for each node at most connects what the pairs connect
+        yield nodes[apart], roots[apart], np.zeros(apart.sum(), np.int64)
+
+    def rows(t: pa.Table):
+        dims = t.column("dim").to_numpy()
+        for dim in np.unique(dims):
+            for a, b, n in looked_at(int(dim), t.filter(pa.array(dims == dim))):
+                void = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), void if b is None else pa.array(b, pa.int64()), void if n is None else pa.array(n, pa.int64())], names=["a", "b", "n"])
+
+    held = []
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not len(t):
             continue
-        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        last = held.iloc[-1]
-        same = np.logical_and.reduce([held[c].to_numpy() == last[c] for c in ("dim", "list", "left", "right")])
-        cut = len(held) - int(same.sum())
-        if cut:
-            yield from pairs(held.iloc[:cut].reset_index(drop=True))
-            held = held.iloc[cut:].reset_index(drop=True)
-    if held is not None:
-        yield from pairs(held)
+        change = np.zeros(len(t), bool)
+        for c in ("dim", "first", "left", "right"):
+            v = t.column(c).to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+            change[0] |= bool(held) and held[-1].column(c)[-1].as_py() != v[0]
+        cuts = np.flatnonzero(change)
+        if len(cuts) and (held or cuts[-1]):
+            yield from rows(pa.concat_tables([*held, t.slice(0, cuts[-1])]))
+            held, t = [], t.slice(cuts[-1])
+        held.append(t)
+    if held:
+        yield from rows(pa.concat_tables(held))
 
 
 def _cosines(batches):
@@ -177,28 +294,33 @@ def _cosines(batches):
             yield pa.RecordBatch.from_arrays([batch.column("a").take(mine), batch.column("b").take(mine), pa.array(cosine)], names=["a", "b", "cosine"])
 
 
-def near_pairs(reps: DataFrame, least: float = 0.9) -> DataFrame:
-    """(a, b, cosine), a < b: pairs of representatives (rep long, embedding) found with cosine >= `least`."""
+def _met(reps: DataFrame, least: float, open_all: bool = False) -> DataFrame:
+    """FOUND rows of representatives (rep, copies, embedding)."""
     shape = shape_for(reps.count())
-    filed = materialize(reps.mapInArrow(lambda b: _file(b, shape), "dim int, list long, at double, rep long"), "lists")
-    sizes = filed.groupBy("dim", "list").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / MOST_IN_LIST).cast("int")
-    rows = filed.join(sizes, ["dim", "list"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("n")
+    spark = reps.sparkSession
+    filed = reps.mapInArrow(lambda b: _file(b, shape), "dim int, first int, rep long, body binary")
+    sizes = reps.mapInArrow(lambda b: _sizes(b, shape), "dim int, first int, n long").groupBy("dim", "first").agg(F.sum("n").alias("n")).filter("n > 1")
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / MOST_IN_LIST).cast("int")).drop("n")
+    # a row for each first direction: as many as directions, whatever the table's size
+    rows = filed.join(F.broadcast(sizes), ["dim", "first"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "dim", "list", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "at", "rep", "own"
+        "dim", "first", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "rep", "own", "body"
     )
-    order = ["dim", "list", "left", "right"]
-    met = dealt.repartition(*order).sortWithinPartitions(*order, "at").mapInPandas(lambda b: _collide(b, least), "dim int, a long, b long")
-    counted = met.groupBy("dim", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    dims = [r[0] for r in filed.select("dim").distinct().collect()]  # one row per dimension of the table
-    limit = F.lit(1)
-    for d in dims:
-        limit = F.when(F.col("dim") == d, F.lit(enough(d, least, shape))).otherwise(limit)
-    few = counted.filter(F.col("n") >= limit).select("a", "b")
-    both = few.join(reps.select(F.col("rep").alias("a"), F.col("embedding").alias("va")), "a").join(reps.select(F.col("rep").alias("b"), F.col("embedding").alias("vb")), "b")
+    order, tasks = ["dim", "first", "left", "right"], max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return dealt.repartition(tasks, *order).sortWithinPartitions(*order).mapInArrow(lambda b: _collide(b, least, shape, open_all), FOUND)
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """(a, b, cosine) of those pairs (a, b) whose cosine in double precision is `least` or more."""
+    both = pairs.join(reps.select(F.col("rep").alias("a"), F.col("embedding").alias("va")), "a").join(reps.select(F.col("rep").alias("b"), F.col("embedding").alias("vb")), "b")
     return both.select("a", "b", "va", "vb").mapInArrow(_cosines, "a long, b long, cosine double").filter(F.col("cosine") >= least)
 
 
+def near_pairs(reps: DataFrame, least: float = 0.9) -> DataFrame:
+    """(a, b, cosine), a < b: pairs of representatives (rep long, embedding) found with cosine >= `least`, a row each."""
+    return _verified(_met(reps.withColumn("copies", F.lit(1).cast("long")), least, open_all=True).select("a", "b"), reps, least)
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept for every row.
 
@@ -219,13 +341,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
     fine = fine.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"))
     classes = fine.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "classes")
-    reps = fine.withColumnRenamed("vec_id", "rep").join(classes.select("rep", "h1", "h2"), ["rep", "h1", "h2"], "left_semi").dropDuplicates(["rep", "h1", "h2"]).select("rep", "embedding")
+    reps = fine.withColumnRenamed("vec_id", "rep").join(classes, ["rep", "h1", "h2"]).dropDuplicates(["rep", "h1", "h2"]).select("rep", "copies", "embedding")
     reps = materialize(reps, "reps")
-    links = materialize(near_pairs(reps, least).select("a", "b"), "near")
+    found = materialize(_met(reps, least), "near")
+    links = materialize(_verified(found.filter("n is null").select("a", "b"), reps, least).select("a", "b"), "links")
     weight = classes.select(F.col("rep").alias("b"), "copies")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(weight, "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    certain = found.filter("b is null").select("a", F.col("n").alias("copies"))
+    degree = both.join(weight, "b").select("a", "copies").unionByName(certain).groupBy("a").agg(F.sum("copies").alias("others"))
+    joined = links.unionByName(found.filter("n = 0").select("a", "b"))
+    found = components(joined.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.join(degree, classes.rep == degree.a, "left").join(found, classes.rep == found.node, "left").select(
         "h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
