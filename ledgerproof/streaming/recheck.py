@@ -23,6 +23,7 @@ from ..plans.findings import SCHEMA
 ROWS = f"doc_id string, path string, at timestamp, version long, gone boolean, {SCHEMA}"
 STATE = "at long, digest string, version long"
 _FINDING = [part.split()[0] for part in SCHEMA.split(", ")]
+_COLUMNS = ["doc_id", "path", "at", "version", "gone", *_FINDING]
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, glob: str = "*.md", every: str | None = None, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
@@ -55,10 +56,10 @@ def _advance(key: tuple, versions: Iterator[pd.DataFrame], state) -> Iterator[pd
         state.update((stamp, digest, version))
         return  # written again without a change: its findings stand
     state.update((stamp, mine, version + 1))
-    void = dict.fromkeys(_FINDING)
-    rows = [void] + ([void | r for r in _finding_rows(text)] if text is not None else [])
-    head = {"doc_id": key[0], "path": path, "at": when, "version": version + 1, "gone": text is None}
-    yield pd.DataFrame([head | r for r in rows], columns=["doc_id", "path", "at", "version", "gone", *_FINDING]).astype({c: object for c in _FINDING})
+    head = [key[0], path, when, version + 1, text is None]
+    found = _finding_rows(text) if text is not None else []
+    # objects as they are: to find and change the type of each column would cost more than the check itself
+    yield pd.DataFrame([head + [r.get(c) for c in _FINDING] for r in [{}, *found]], columns=_COLUMNS, dtype=object)
 
 
 def recheck(docs: DataFrame, out: str, checkpoint: str, every: str | None = None, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
