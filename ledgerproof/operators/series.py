@@ -10,12 +10,14 @@ from __future__ import annotations
 from decimal import Decimal, localcontext
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.finance import WIDE, Bracket, irr
+from ..functions.finance import WIDE, Bracket, irr, irr_shown
 from ..lang.values import CONTEXT, SPARK_DIGITS, Fault, fits, quantize
 from ..streaming.scratch import written
+from .documents import dealt
 
 #: Rows of a series that one task prices alone, and rows of a block of a longer one.
 FEW, BLOCK = 20_000, 20_000
@@ -116,15 +118,23 @@ def rates_of_return(frame: DataFrame, by: list[str], order_by: str, column: str,
     heads, flows = _series(frame, by, order_by, column)
     heads, flows = written(heads, "series"), written(flows, "flows")
 
-    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
-        try:
-            value, error = _shown(irr(pdf.sort_values("ix")["v"].tolist()), places)
-        except Fault as f:
-            value, error = None, f.code
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "value": [value], "error": [error]})
+    def alone(batches):
+        for batch in batches:
+            out = []
+            for flows_of in batch.column("v").to_pylist():
+                shown = irr_shown(flows_of, places)
+                try:
+                    out.append((shown, None) if shown is not None else _shown(irr(flows_of), places))
+                except Fault as f:
+                    out.append((None, f.code))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array([v for v, _ in out], pa.decimal128(38, places)), pa.array([e for _, e in out], pa.string())], names=["key", "value", "error"]
+            )
 
     schema = f"key string, value decimal(38,{places}), error string"
-    values = flows.filter(F.col("n") <= FEW).groupBy("key").applyInPandas(alone, schema)
+    # a row for each series, dealt to many tasks: there is little to shuffle, but work in each row
+    few = flows.filter(F.col("n") <= FEW).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ix", "v"))).alias("flows")).select("key", F.col("flows.v").alias("v"))
+    values = dealt(few, "key").mapInArrow(alone, schema)
     long = flows.filter(F.col("n") > FEW)
     if not long.isEmpty():
         values = values.unionByName(_together(long, places, schema))

@@ -5,7 +5,7 @@ from decimal import Decimal
 
 import pytest
 
-from ledgerproof.functions.finance import irr, npv
+from ledgerproof.functions.finance import irr, irr_shown, npv
 from ledgerproof.lang.values import Fault, quantize
 from ledgerproof.operators import series
 
@@ -87,3 +87,25 @@ def test_a_value_of_too_many_digits(spark):
     rows = [("x", 1, k, Decimal("9999999999999999.99")) for k in range(200)]
     got = rows_of(series.present_values(frame(spark, rows), ["a", "b"], "at", "v", Decimal("-0.5")), "npv")
     assert got == {("x", 1): (None, "PRECISION")}
+
+
+def test_a_rate_is_told_by_two_prices():
+    """The rounded rate without the search is the search's, wherever it is told at all; ties, several signs and rates far out are left to the search."""
+    rng, told = random.Random(5), 0
+    some = [[v for *_, v in loans(rng, [("x", k)])] for k in range(300)] + [[Decimal(-100)] + [Decimal(r)] * k + [Decimal(100 + r)] for r in range(-8, 30) for k in range(4)]
+    for flows in some:
+        got = irr_shown(flows, 6)
+        told += got is not None
+        assert got is None or got == quantize(irr(flows), 6)
+    assert told > 0.8 * len(some)
+    for flows in ([Decimal(-1), Decimal("1.0000005")], [Decimal(-1), Decimal(3), Decimal(-1)], [Decimal(-1), Decimal(5)], [Decimal(1)], []):
+        assert irr_shown(flows, 6) is None
+
+
+def test_short_series_of_one_file_are_priced_in_several_tasks(spark, tmp_path):
+    rows = [(None, k, at, Decimal(-100 if at == 0 else 60)) for k in range(400) for at in range(3)]
+    frame(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/rows")
+    got = series.rates_of_return(spark.read.parquet(f"{tmp_path}/rows"), ["b"], "at", "v")
+    held = got.select("irr").mapInPandas(lambda batches: iter([__import__("pandas").DataFrame({"n": [sum(map(len, batches))]})]), "n long")
+    assert sum(r.n for r in held.collect()) == 400
+    assert "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString() and "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
