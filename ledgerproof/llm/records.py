@@ -12,6 +12,8 @@ names exist for readers, so a task that is run again or twice leaves at most an
 
 from __future__ import annotations
 
+import re
+import string
 import struct
 import uuid
 import zlib
@@ -29,6 +31,11 @@ from .common import binary_texts, file_system, held, slices, small_batches, voca
 
 #: Words whose ids a task's process keeps between batches; the table is emptied beyond that.
 MOST_WORDS = 1_000_000
+#: Words of letters that the library is given at once.
+LINE = 64
+#: Marks that stand behind letters as a pre-token of their own (an apostrophe may not), and words of letters and such marks.
+MARKS = "".join(c for c in string.punctuation if c != "'")
+MARKED = re.compile(rf"[^\W\d_]+[{re.escape(MARKS)}]+").fullmatch
 #: Bytes of a file read at once.
 READ_BYTES = 8 << 20
 POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected (a fixed value)
@@ -138,17 +145,60 @@ class WordEncoder:
             raise ValueError("this tokenizer looks across white space: texts can't be cut into words")
         self.wide = self.library.get_vocab_size() > 65536
         self.words: dict[bytes, bytes] = {}
+        self.last = self._last()
+        pre = self.library.pre_tokenizer
+        self.marked = pre is not None and all(len(pre.pre_tokenize_str("a" + c)) == 2 for c in MARKS)
+
+    def _last(self) -> np.ndarray | None:
+        """Which ids end a pre-token, where the vocabulary tells: a BPE whose last symbols have a suffix, of which every byte has one."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        vocab = self.library.get_vocab()
+        if not suffix or not all(c + suffix in vocab for c in ByteLevel.alphabet()):
+            return None
+        last = np.zeros(max(vocab.values()) + 1, bool)
+        last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        return last
+
+    def _lines(self, texts: list[str], needs: list[int]) -> list[bytes]:
+        """Ids of words of letters, with marks behind them or not, encoded LINE at a time. A word has at least as many pre-tokens as it needs (letters one,
+        marks one), so a line with just as many as all its words need has no more for any."""
+        lines = [(texts[at: at + LINE], needs[at: at + LINE]) for at in range(0, len(texts), LINE)]
+        out: list[bytes] = []
+        for (line, need), x in zip(lines, self.library.encode_batch_fast([" ".join(line) for line, _ in lines], add_special_tokens=False), strict=True):
+            ids, after = np.array(x.ids, "<u4"), np.cumsum(need)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != after[-1]:  # a letter that normalising takes apart
+                out += self._alone(line)
+                continue
+            raw, ends = ids.tobytes(), (ends[after - 1] * 4).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[bytes]) -> None:
+        """Take words that aren't in the table yet into it."""
+        for at in range(0, len(new), 20_000):
+            part = new[at: at + 20_000]
+            texts = [w.decode() for w in part]
+            if self.last is None:
+                self.words.update(zip(part, self._alone(texts), strict=True))
+                continue
+            needs = [1 if t.isalpha() else 2 if self.marked and MARKED(t) else 0 for t in texts]
+            plain = [k for k, n in enumerate(needs) if n]
+            self.words.update(zip([part[k] for k in plain], self._lines([texts[k] for k in plain], [needs[k] for k in plain]), strict=True))
+            others = [k for k, n in enumerate(needs) if not n]
+            self.words.update(zip([part[k] for k in others], self._alone([texts[k] for k in others]), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         if len(self.words) > MOST_WORDS:
             self.words.clear()
         cut = [t.split() for t in texts]
-        new = list(set().union(*cut) - self.words.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at: at + 20_000]
-            coded = self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.words.update(zip(part, [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in coded], strict=True))
+        self.learn(list(set().union(*cut) - self.words.keys()))
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 

@@ -114,3 +114,27 @@ def test_every_kind_of_cut_is_checked():
     bad = None
     own.words.clear()
     assert own.encode(["word\nbegun word  \n"])[0][0] == own.library.encode("word\nbegun word  \n")
+
+
+def test_words_in_lines_have_the_ids_of_words_alone():
+    """Words of letters and marks go through the library many at a time; letters that normalising takes apart and words that need it go alone."""
+    import random
+    import struct
+
+    from ledgerproof.llm import records
+
+    rng, letters = random.Random(3), "abcdeEXZéèñßİǅΣςˀ中한²Ⅷ́'s"
+    words = list({"".join(rng.choices(letters, k=rng.randrange(1, 9))) + rng.choice(["", "", ".", "...", ",", "$$$", "'s", "'.", "́", "!́", "_", "≠"]) for _ in range(20_000)})
+    own = records.WordEncoder("word_bpe_49k.json")
+    assert own.last is not None and own.marked
+    lines, passed = own._lines, []
+    own._lines = lambda texts, needs: passed.extend(texts) or lines(texts, needs)
+    text = " ".join(words)
+    (got,) = own.encode([text.encode()])
+    assert list(struct.unpack(f"<{len(got) // 4}I", got)) == own.library.encode(text, add_special_tokens=False).ids
+    own.words.clear()
+    own.learn([w.encode() for w in words])
+    for w in words[:3000]:
+        ids = own.library.encode(w, add_special_tokens=False).ids
+        assert own.words[w.encode()] == struct.pack(f"<{len(ids)}I", *ids), w
+    assert len(passed) > 5000
