@@ -62,9 +62,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def in_arrow(rows: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow over small batches."""
+    """mapInArrow over small batches. What a task has freed goes back to the system at its end, not to the next task of its process."""
     small_batches(rows.sparkSession)
-    return rows.mapInArrow(run, schema)
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return rows.mapInArrow(whole, schema)
 
 
 def where_text(docs: DataFrame, decide) -> DataFrame:
@@ -79,6 +84,7 @@ def where_text(docs: DataFrame, decide) -> DataFrame:
         for texts in batches:
             parts = [decide(part.column("t").to_pylist()) for part in slices(pa.RecordBatch.from_arrays([texts], names=["t"]), "t", 1 << 19)]
             yield pa.array([bool(x) for part in parts for x in part], pa.bool_())
+        give_back()
 
     return docs.filter(F.arrow_udf(good, "boolean")(F.col("text")))
 
@@ -164,7 +170,7 @@ _held: dict[tuple, object] = {}
 def held(key: tuple, make):
     """What a task's process keeps for later tasks of the same operator; another operator's is let go first."""
     if key not in _held:
-        _held.clear()
+        let_go()
         _held[key] = make()
     return _held[key]
 
@@ -174,6 +180,11 @@ def let_go() -> None:
     if _held:
         _held.clear()
         gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Hand empty pages of this process back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, held, in_arrow, in_one_task, materialize, slices, texts_of, where_text
+from .common import crc_fold, held, in_arrow, in_one_task, let_go, materialize, slices, texts_of, where_text
 from .hashing import mix
 
 #: Hash buckets, and prefix lengths in letters. Words and beginnings of PAIRED letters have the lower half of the buckets: these are screened in pairs.
@@ -299,6 +299,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[D
     ids = picked.filter(F.col("place") < limit).select("doc_id", "toxic", "place")
 
     def run(batches):
+        let_go()
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = [buckets_of(t).astype(np.int32) for t in texts_of(batch.column("text"))]
