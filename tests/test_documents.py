@@ -272,3 +272,26 @@ def test_report_names_chart_paths_and_units():
     placed, found = paths(r)
     assert placed == {("s", "c"): "a.svg"} and [f.code for f in found] == ["ARTIFACT"]
     assert unit_proposals(r) == [("s", "all", "kg")]
+
+
+def test_names_of_a_rule_are_looked_up_once_for_all_rows(monkeypatch):
+    from ledgerproof.operators import documents
+
+    looked, real = [], documents.resolve
+    monkeypatch.setattr(documents, "resolve", lambda *a: looked.append(a) or real(*a))
+
+    def lookups(n: int) -> int:
+        looked.clear()
+        rows = "\n".join(f"| {k} | {2 * k} |" for k in range(n))
+        assert not [f for f in documents.check(f"| A | B |\n|--|--|\n{rows}\n\n```vmark #t\nB = A * 2\n```\n").findings if f.problem]
+        return len(looked)
+
+    assert lookups(3) == lookups(300)
+
+
+def test_equal_lines_of_two_documents_are_statements_of_their_own():
+    from ledgerproof.lang.parser import parse_lines
+
+    (a,), _ = parse_lines("x = 1 + 2", 5)
+    (b,), _ = parse_lines("x = 1 + 2", 50)
+    assert (a.at, b.at) == (5, 50) and a.expr == b.expr
