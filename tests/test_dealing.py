@@ -25,3 +25,16 @@ def test_rows_without_escapes_have_the_same_cells():
         # an escape after the row takes the slow way; its own cell is left out
         slow = [c for c in cells(line.rstrip() + ("" if line.rstrip().endswith("|") else "|") + " \\x |")][:-1]
         assert cells(line) == slow
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerproof.sources import corpus
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([("1", "| A |\n|--|\n| 1 |\n")], "doc_id string, text string")
+    for step in (lambda: documents.per_document(docs, lambda text: [{"n": 1}], "n int"), lambda: docs.select(corpus.mask(F.col("text")))):
+        spark.conf.unset(limit)
+        step()
+        assert int(spark.conf.get(limit)) <= 8 << 20
