@@ -6,8 +6,8 @@ spelled in byte pieces. The agenda runs over many words at once: each step takes
 from a flat array of pair ranks, merges it, and ranks only the pairs that changed.
 
 Merges never cross a place where no piece holds the two characters side by side; texts are cut
-there (before a run of word marks, and around line ends), so that equal words are merged once for each
-task and kept in a bounded table. New words are checked against the sentencepiece library batch by
+there (before a run of word marks, and around line ends), so that equal words are merged once and kept in
+two bounded tables: a full one becomes the older, and what is met again moves back. New words are checked against the sentencepiece library batch by
 batch, so every id of the result belongs to a word that the library encodes alike; `check="texts"` compares every whole text's ids too,
 which costs as much again as the library's own encoding.
 """
@@ -15,7 +15,6 @@ which costs as much again as the library's own encoding.
 from __future__ import annotations
 
 import hashlib
-import re
 from itertools import chain
 
 import numpy as np
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import chunked, held, in_arrow, slices, texts_of, vocabulary
 
 MARK = "▁"
-#: Words kept between batches of a task's process; the table is emptied beyond that.
-MOST_WORDS = 250_000
+#: Words of each of the two tables that a task's process keeps between batches; words merged at once.
+MOST_WORDS, AT_ONCE = 250_000, 25_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -50,7 +49,7 @@ class MergeEncoder:
         if any(x[1] == MARK and x[0] != MARK for x in inner):
             raise ValueError("a piece goes on past a word mark: words can't be merged on their own")
         alone = "".join(c for c in "\n\r\t" if not any(c in x for x in inner))
-        self.cut = re.compile(f"[{re.escape(alone)}]|{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+") if alone else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.alone = np.array([ord(c) for c in alone], np.uint8)
         # symbols: vocabulary ids, then the characters that stand only inside pieces, then one for all others
         self.symbols = dict(self.normal)
         self.spelled = list(pieces)
@@ -71,24 +70,46 @@ class MergeEncoder:
                     keys.append(a << 32 | b)
                     ranks.append(rank[i])
                     ids.append(i)
-        order = np.argsort(np.array(keys, np.int64))
-        self.keys, self.ranks, self.joined = np.array(keys, np.int64)[order], np.array(ranks, np.int32)[order], np.array(ids, np.int64)[order]
+        self._file(np.array(keys, np.int64), np.array(ranks, np.int32), np.array(ids, np.int64))
         self.of_char = np.full(0x110000, self.other, np.int64)
         for c, i in self.symbols.items():
             if len(c) == 1:
                 self.of_char[ord(c)] = i
         # a text of one cut, after which another begins: what a cut without a mark is checked behind
         self.lead = (alone[0], list(lib.encode(alone[0]))) if alone else None
-        self.numbers = list(range(n))  # one object for each id, shared by all words
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.spellings: dict[str, str] = {}
+        self.numerals = [str(i) for i in range(n)]
+        self.kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        self.words: dict[bytes, bytes] = {}  # cuts in UTF-8 with blanks for marks, and their packed ids
+        self.older: dict[bytes, bytes] = {}
+
+    def _file(self, keys: np.ndarray, ranks: np.ndarray, ids: np.ndarray) -> None:
+        """File the pairs by a hash of both symbols, each in the next free place: three of four places stay free."""
+        self.places = 1 << (4 * len(keys)).bit_length()
+        self.keys, self.ranks, self.joined = np.full(self.places, -1, np.int64), np.full(self.places, NONE, np.int32), np.zeros(self.places, np.int64)
+        left, at = np.arange(len(keys)), self._place(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[at] < 0)
+            places, first = np.unique(at[free], return_index=True)
+            mine = left[free[first]]
+            self.keys[places], self.ranks[places], self.joined[places] = keys[mine], ranks[mine], ids[mine]
+            rest = np.ones(len(left), bool)
+            rest[free[first]] = False
+            left, at = left[rest], at[rest] + 1 & self.places - 1
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - self.places.bit_length())).view(np.int64)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of the pairs (NONE where their join is no piece) and the ids of the joins."""
         key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        there = self.keys[at] == key
-        return np.where(there, self.ranks[at], NONE), self.joined[at]
+        at = self._place(key)
+        found = self.keys[at]
+        on = np.flatnonzero((found != key) & (found >= 0))  # places of other pairs
+        while len(on):
+            at[on] = at[on] + 1 & self.places - 1
+            found = self.keys[at[on]]
+            on = on[(found != key[on]) & (found >= 0)]
+        return self.ranks[at], self.joined[at]
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each word (a cut of a normalised text), all agendas run in step."""
@@ -149,18 +170,39 @@ class MergeEncoder:
             out.append(got)
         return out
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Merge the words of a batch that aren't in the table yet, and check them against the library."""
+    def cuts(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct cuts of all texts (blanks are marks), the number of each cut in turn, and how many cuts end with each text.
+
+        A text is given a mark in front. A cut is one character that stands alone, or a run of marks and what follows it up to the next mark or such a character.
+        """
+        raw = [f" {t.replace(MARK, ' ')}".encode() if t else b"" for t in texts]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        buffer = b"".join(raw)
+        data = np.frombuffer(buffer, np.uint8)
+        alone, blank = np.isin(data, self.alone), data == ord(" ")
+        begins = alone.copy()
+        begins[1:] |= alone[:-1] | blank[1:] & ~blank[:-1]
+        starts = np.r_[0, ends[:-1]]
+        begins[starts[starts < ends]] = True
+        at = np.flatnonzero(begins)
+        offsets = np.r_[at, len(data)].astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(buffer)]).dictionary_encode()
+        return found.dictionary.to_pylist(), found.indices.to_numpy(), np.searchsorted(at, ends)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Merge those of distinct words that are in no table yet, and check them against the library; all words are in the newer table then."""
         if len(self.words) > MOST_WORDS:
-            self.words.clear()
-            self.spellings.clear()
-        new = list(set().union(*texts) - self.words.keys())
-        for part in chunked(new, 25_000):
-            ids = self.merge(part)
-            self._check_words(part, ids)
-            number = self.numbers.__getitem__
-            self.words.update(zip(part, [tuple(map(number, x)) for x in ids], strict=True))
-            self.spellings.update(zip(part, [",".join(map(str, x)) for x in ids], strict=True))
+            self.words, self.older = {}, self.words
+        new = [w for w, x in zip(words, map(self.words.get, words), strict=True) if x is None]
+        old = list(map(self.older.get, new))
+        self.words.update((w, x) for w, x in zip(new, old, strict=True) if x is not None)
+        for part in chunked((w for w, x in zip(new, old, strict=True) if x is None), AT_ONCE):
+            marked = [w.decode().replace(" ", MARK) for w in part]
+            ids = self.merge(marked)
+            self._check_words(marked, ids)
+            raw = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
+            ends = (np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) * self.kind.itemsize).tolist()
+            self.words.update(zip(part, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
 
     def _check_words(self, words: list[str], ids: list[list[int]]) -> None:
         """Every word's ids must be the library's. It puts a mark before a text, so a word that begins with a mark is given without it.
@@ -178,12 +220,26 @@ class MergeEncoder:
             bad = next(t for t, x in zip(texts, want, strict=True) if x != self.library.encode(t))
             raise AssertionError(f"the merges of {bad!r} differ from the library's")
 
+    def coded(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The ids of all whole texts in a row, and where each text's begin and end."""
+        words, cut, stops = self.cuts(texts)
+        self.learn(words)
+        packed = list(map(self.words.__getitem__, words))
+        sizes = np.fromiter(map(len, packed), np.int32, len(packed)) // self.kind.itemsize
+        begins, n = (np.cumsum(sizes, dtype=np.int32) - sizes)[cut], sizes[cut]
+        ends = np.cumsum(n, dtype=np.int32)
+        bounds = np.r_[0, np.r_[0, ends][stops]].tolist()
+        flat = np.frombuffer(b"".join(packed), self.kind)
+        return flat[np.repeat(begins - (ends - n), n) + np.arange(bounds[-1], dtype=np.int32)], bounds
+
     def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """(ids, the ids in decimal joined by commas) of each whole text."""
-        cuts = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.learn(cuts)
-        ids, spelled = self.words.__getitem__, self.spellings.__getitem__
-        return [(list(chain.from_iterable(map(ids, words))), ",".join(map(spelled, words))) for words in cuts]
+        ids, bounds = self.coded(texts)
+        each = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
+        return [(x, self.spelling(x)) for x in each]
+
+    def spelling(self, ids: list[int]) -> str:
+        return ",".join(map(self.numerals.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, runs of byte pieces read as UTF-8, marks as blanks but for the first."""
@@ -214,22 +270,20 @@ def encode_documents(docs: DataFrame, path: str, check: str = "words", text: str
     def run(batches):
         own = encoder(path)
         for whole in batches:
-            for batch in slices(whole, "t", 1 << 20):
+            for batch in slices(whole, "t", 4 << 20):
                 texts = texts_of(batch.column("t"))
-                coded = own.encode(texts)
-                ids = [x for x, _ in coded]
-                if check == "texts" and ids != own.library.encode(texts, num_threads=1):
-                    raise AssertionError("the ids of a text differ from the library's")
-                decoded = own.library.decode(ids, num_threads=1)
-                columns = [
-                    batch.column("k"),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(s.encode()).hexdigest() for _, s in coded]),
-                    pa.array([hashlib.sha256(s.encode()).hexdigest() for s in decoded]),
-                ]
+                flat, bounds = own.coded(texts)
+                spelled, decoded = [], []
+                for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):  # a text at a time: lists of ids are large
+                    ids = flat[a:b].tolist()
+                    if check == "texts" and ids != own.library.encode(texts[k]):
+                        raise AssertionError("the ids of a text differ from the library's")
+                    spelled.append(hashlib.sha256(own.spelling(ids).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(own.library.decode(ids).encode()).hexdigest())
+                columns = [batch.column("k"), pa.array(np.diff(bounds), pa.int64()), pa.array(spelled, pa.string()), pa.array(decoded, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import struct
 import zlib
@@ -138,3 +139,37 @@ def test_words_in_lines_have_the_ids_of_words_alone():
         ids = own.library.encode(w, add_special_tokens=False).ids
         assert own.words[w.encode()] == struct.pack(f"<{len(ids)}I", *ids), w
     assert len(passed) > 5000
+
+
+def test_frequent_pieces_are_merged_once_when_a_table_is_full(monkeypatch):
+    """A full table isn't thrown away: words that every batch holds aren't merged again, and both tables are bounded."""
+    monkeypatch.setattr(sentencepieces, "MOST_WORDS", 40)
+    own = sentencepieces.MergeEncoder(PIECES)
+    merge, merged = own.merge, []
+    own.merge = lambda words: merged.extend(words) or merge(words)
+    for k in range(60):
+        text = f"common words stay {' '.join(f'rare{k}x{i}' for i in range(12))}"
+        assert own.encode([text])[0][0] == own.library.encode(text)
+    assert merged.count("▁common") == merged.count("▁words") == merged.count("▁stay") == 1
+    assert len(own.words) <= 56 and len(own.older) <= 56
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab \n\r\t▁é中😀\x00\x85 "), max_size=12), min_size=1, max_size=5))
+def test_cuts_are_runs_of_marks_and_what_follows(batch):
+    import re
+
+    own = common_pieces()
+    alone = "".join(map(chr, own.alone))
+    rule = re.compile(f"[{re.escape(alone)}]|▁*[^▁{re.escape(alone)}]+|▁+")
+    want = [rule.findall("▁" + t.replace(" ", "▁")) if t else [] for t in batch]
+    words, numbers, stops = own.cuts(batch)
+    got = [words[i].decode().replace(" ", "▁") for i in numbers]
+    assert [got[a:b] for a, b in zip([0, *stops], stops, strict=False)] == want
+    assert len(set(words)) == len(words)
+    assert own.encode(batch) == [(x, ",".join(map(str, x))) for x in own.library.encode(batch)]
+
+
+@functools.lru_cache(maxsize=1)
+def common_pieces():
+    return sentencepieces.MergeEncoder(PIECES)
