@@ -89,3 +89,18 @@ def test_nothing_to_find(spark):
     empty = spark.createDataFrame([], "a decimal(9,2), b decimal(9,2), c decimal(9,2)")
     assert rows_of(infer.fits(empty, most_misses=0)) == rows_of(infer.fits(empty))
     assert infer.fits(empty.select("a", "b"), most_misses=0).collect() == []
+
+
+def test_a_scan_counts_few_rules(spark, monkeypatch):
+    """Rules that a sample leaves are counted a few at a time: one scan for all of them is too long a method for the JVM to compile."""
+    columns = []
+    for k in range(8):
+        a, b = (F.pmod(F.xxhash64("id", F.lit(f"{k}{side}")), F.lit(900)).cast("decimal(8,0)") + 100 for side in "ab")
+        columns += [a.cast("decimal(9,0)").alias(f"a{k}"), b.cast("decimal(9,0)").alias(f"b{k}"), (a + b).cast("decimal(10,0)").alias(f"x{k}")]
+    frame = spark.range(200).select(*columns)
+    scans, counted = [], infer._counted
+    monkeypatch.setattr(infer, "_counted", lambda f, triples, scale: scans.append(triples) or counted(f, triples, scale))
+    got = {(r.target, r.formula, r.n_rows, r.n_fit) for r in infer.fits(frame, most_misses=0).collect()}
+    assert got == {x for k in range(8) for x in ((f"x{k}", f"a{k} + b{k}", 200, 200), (f"a{k}", f"x{k} - b{k}", 200, 200), (f"b{k}", f"x{k} - a{k}", 200, 200))}
+    assert sum(map(len, scans)) == 24 and max(map(len, scans)) <= 8
+    assert all(len({c for t, _, a, b in s for c in (t, a, b)}) <= 12 for s in scans)
