@@ -116,3 +116,15 @@ def test_a_hot_shingle_in_blocks(spark, monkeypatch):
     want = brute(rows)
     got = {r.doc_id: r.component_id for r in copies.classes(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     assert got == want and len(set(want.values())) > 9
+
+
+def test_the_stage_links_by_fingerprints_too(spark):
+    """Texts that SimHash links, though few of their different shingles agree, are near copies to the pipeline; an id that they share with another text links nothing."""
+    from ledgerproof.llm.simhash import fingerprint
+
+    cycle = "one two three four five six seven " * 300
+    rows = [(k, cycle + " ".join(f"{c}{n}" for n in range(14))) for k, c in ((4, "a"), (5, "b"), (6, "c"))] + [(5, "another text of the same id"), (7, "another text of the same id, with more words in it")]
+    a, b = (fingerprint(rows[k][1].encode(), 3) for k in (0, 1))
+    assert (a ^ b).bit_count() <= 2 and brute(rows[:2]) == {4: 4, 5: 5}
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    assert sorted(tuple(r) for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == sorted([rows[0], rows[3], rows[4]])
